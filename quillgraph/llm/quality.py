@@ -5,12 +5,17 @@ raw text's, from all documents. A document's log importance weight sums, over it
 raw share. The sample is a Gumbel top-k: every document's weight gets Gumbel noise drawn from its id, and the
 k largest keys stay, which samples k documents without replacement in proportion to their weights.
 
-Two adjustments make the weight fit for filtering texts of very different lengths: the counts are
-shrunk towards the raw model, and ratios within a dead zone count as none, so a document of plain words weighs
-the same at any length, and only n-grams that good documents avoid pull it down. k is the number of documents whose
+Three adjustments make the weight fit for filtering texts of very different lengths: each n-gram counts once a document (one long or
+repetitive document says no more than another), counts are shrunk towards the raw model, and a ratio counts only where the target's count falls
+short of the raw model's by more than chance, and falls short likewise among the labelled documents (raw texts that no label covers, such as
+one vast group of copies, then cannot make their words look bad), and the rejected documents that have it are not just copies of a few
+(a 64-bit linear-counting sketch of their min-hashes tells). So a document of plain words weighs the same at any length, and only n-grams that good documents avoid pull it down. k is the number of documents whose
 weight reaches a cut that separates the labelled sample best.
 
-Bounds: the models have ``2 * buckets`` numbers each; the labelled sample has at most about ``max_labelled`` rows (drawn by a hash of the id);
+Every n-gram is hashed twice, and the ratio nearer to zero of its two buckets counts: a rare word that shares a bucket with a word that tells is
+not taken for it.
+
+Bounds: the models have ``4 * buckets`` numbers each (unigrams and bigrams, two hashes); the labelled sample has at most about ``max_labelled`` rows (drawn by a hash of the id);
 all counts, weights, the cut's rank and the k-th key cover all documents.
 
 Rows: null text is empty (weight 0: kept); null ids have noise by their text's length only; rows of equal keys at the k-th place
@@ -30,18 +35,24 @@ from pyspark.sql import functions as F
 from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, tasks_of, text_column
 
 BUCKETS, MAX_LABELLED = 1 << 18, 200_000
-#: Pseudo-counts by which target counts are shrunk towards the raw model; log ratios below which an n-gram says nothing.
-SHRINK, DEAD_ZONE = 4.0, 1.5
+#: Pseudo-counts by which target counts are shrunk towards the raw model; log ratios and standard deviations below which an n-gram says nothing.
+SHRINK, DEAD_ZONE, DEVIATIONS = 2.0, 1.2, 3.0
+#: Distinct groups of copies, as a share of the rejected documents that have an n-gram, below which it says nothing.
+LEAST_SPREAD = 0.4
 #: Gumbel noise is divided by this before it is added to log weights.
 SHARPNESS, SEED = 2.0, 7
 #: Classes of bytes: 0 white space, 1 letters, digits and bytes of other scripts, 2 the rest.
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _CLASS = np.array([0 if chr(c) in " \t\n\r\x0b\x0c" else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of each n-gram of the concatenated texts; unigrams have the first half of the buckets."""
+def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First bucket, second bucket and document of each distinct n-gram of each of the concatenated texts; and a min-hash of each text's words, likely shared by near copies.
+
+    Buckets: unigrams' first, bigrams' first, unigrams' second, bigrams' second; ``buckets`` each, a power of two up to 2**18."""
     start0, end0 = int(offsets[0]), int(offsets[-1])
     data, bounds = data[start0:end0], offsets - start0
+    signs, none = np.zeros(len(bounds) - 1, np.uint64), np.zeros(0, np.int64)
     kind = _CLASS[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = edge[-1] = True
@@ -49,18 +60,27 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     edge[bounds] = True
     cuts = np.flatnonzero(edge)
     if len(cuts) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, signs
     start, end = cuts[:-1], cuts[1:]
     real = kind[start] > 0
     start, end = start[real], end[real]
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = run_hash(prefix_hash(data), start, end)
+        return none, none, none, signs
+    h = run_hash(prefix_hash(_LOWER[data]), start, end)
     doc = np.searchsorted(bounds, start, side="right") - 1
     two = doc[1:] == doc[:-1]
+    first = np.flatnonzero(np.append(True, ~two))
+    signs[doc[first]] = mix(np.minimum.reduceat(mix(h), first))
     pair = mix(h[:-1] * np.uint64(0xA24BAED4963EE407) + h[1:])[two]
-    size = np.uint64(buckets - 1)
-    return np.concatenate([(h & size).astype(np.int64), (pair & size).astype(np.int64) + buckets]), np.concatenate([doc, doc[1:][two]])
+    bits = buckets.bit_length() - 1
+    packed = []  # document, kind, first and second bucket in one number
+    for k, (x, of) in enumerate(((h, doc), (pair, doc[1:][two]))):
+        both = (x >> np.uint64(64 - 2 * bits)).astype(np.int64)
+        packed.append(((of * 2 + k) << (2 * bits)) | both)
+    key = np.sort(np.concatenate(packed))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    which = (key >> (2 * bits)) & 1
+    return which * buckets + ((key >> bits) & (buckets - 1)), (2 + which) * buckets + (key & (buckets - 1)), key >> (2 * bits + 1), signs
 
 
 def _labelled(labels: DataFrame, most: int, id_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -85,53 +105,68 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def ratios(docs: DataFrame, good: np.ndarray, id_col: str, text_col: str, buckets: int = BUCKETS) -> np.ndarray:
+def ratios(docs: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text_col: str, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratio of each n-gram bucket, zero within the dead zone."""
     blocks, spark = 64, docs.sparkSession
-    width = 2 * buckets // blocks
-    sample = spark.sparkContext.broadcast(good)
+    size = 4 * buckets
+    width = size // blocks
+    sample = spark.sparkContext.broadcast((good, bad))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        raw, target, other = (np.zeros(size, np.int64) for _ in range(3))
+        spread = np.zeros(size, np.uint64)
         for b in it:
             data, offsets = binary_parts(b.column(1))
-            chosen = _is_in(_ids(b.column(0)), sample.value)
+            chosen, rejected = (_is_in(_ids(b.column(0)), x) for x in sample.value)
             for s, e in slices(np.diff(offsets)):
-                bucket, doc = features(data, offsets[s : e + 1], buckets)
-                raw += np.bincount(bucket, minlength=2 * buckets)
-                target += np.bincount(bucket[chosen[s:e][doc]], minlength=2 * buckets)
+                one, two, doc, signs = features(data, offsets[s : e + 1], buckets)
+                good_ones, bad_ones = chosen[s:e][doc], rejected[s:e][doc]
+                sign = np.uint64(1) << (signs[doc[bad_ones]] & np.uint64(63))
+                for bucket in (one, two):
+                    raw += np.bincount(bucket, minlength=size)
+                    target += np.bincount(bucket[good_ones], minlength=size)
+                    other += np.bincount(bucket[bad_ones], minlength=size)
+                    np.bitwise_or.at(spread, bucket[bad_ones], sign)
         if raw.any():
             for k in range(blocks):
-                part = np.stack([raw[k * width : (k + 1) * width], target[k * width : (k + 1) * width]])
+                part = np.stack([x[k * width : (k + 1) * width] for x in (raw, target, other, spread.view(np.int64))])
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in it:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(2, width)
+                part = np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(4, width)
+                have = sums.setdefault(k, np.zeros((4, width), np.int64))
+                have[:3] += part[:3]
+                have[3] |= part[3]
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
     each = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t")).mapInArrow(count, schema)
-    counts = np.zeros((2, 2 * buckets), np.int64)
-    for row in each.repartition(blocks, "block").mapInArrow(total, schema).collect():  # 2 * buckets pairs of numbers, whatever the input
-        counts[:, row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], np.int64).reshape(2, width)
-    out = np.zeros(2 * buckets)
-    for half in (slice(0, buckets), slice(buckets, None)):
-        raw, target = counts[0, half].astype(float), counts[1, half].astype(float)
-        if target.sum():
+    counts = np.zeros((4, size), np.int64)
+    for row in each.repartition(blocks, "block").mapInArrow(total, schema).collect():  # 4 * buckets numbers of four kinds, whatever the input
+        counts[:, row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], np.int64).reshape(4, width)
+    out = np.zeros(size)
+    for half in (slice(k * buckets, (k + 1) * buckets) for k in range(4)):
+        raw, target, other = (x[half].astype(float) for x in counts[:3])
+        groups = -64 * np.log(np.maximum(1 - np.bitwise_count(counts[3, half].view(np.uint64)) / 64, 1e-300))
+        if target.sum() and other.sum():
             expected = raw * (target.sum() / raw.sum())
             r = np.log((target + SHRINK) / (expected + SHRINK))
-            r[np.abs(r) < DEAD_ZONE] = 0
-            out[half] = np.minimum(r, 0)  # what is merely commoner among good documents must not buy off the rest
+            among = (target + other) * (target.sum() / (target.sum() + other.sum()))
+            low = (r < -DEAD_ZONE) & (np.log((target + 1) / (among + 1)) < -DEAD_ZONE)
+            low &= groups >= LEAST_SPREAD * other
+            for x in (expected, among):
+                low &= x - target > DEVIATIONS * np.sqrt(x + 1)
+            out[half] = np.where(low, r, 0)  # what is merely commoner among good documents must not buy off the rest
     return out
 
 
 def with_log_weight(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", only_id: bool = False) -> DataFrame:
     """``docs`` with ``__log_weight`` and ``__key``; with ``only_id`` just (id, __log_weight, __key)."""
-    buckets = len(ratio) // 2
+    buckets = len(ratio) // 4
     model = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
     rest = [] if only_id else docs.columns
     cols = [F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("__bytes"), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(rest))]
@@ -142,8 +177,8 @@ def with_log_weight(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id",
             data, offsets = binary_parts(b.column(1))
             weight = np.zeros(b.num_rows)
             for s, e in slices(np.diff(offsets)):
-                bucket, doc = features(data, offsets[s : e + 1], buckets)
-                weight[s:e] = np.bincount(doc, model.value[bucket], minlength=e - s)
+                one, two, doc, _ = features(data, offsets[s : e + 1], buckets)
+                weight[s:e] = np.bincount(doc, np.maximum(model.value[one], model.value[two]), minlength=e - s)
             keep = [i for i in range(b.num_columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(weight)], [*(b.schema.names[i] for i in keep), "__log_weight"])
 
@@ -193,7 +228,7 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS, k: int | None = None) -> tuple[np.ndarray, float, DataFrame]:
     """(ratios, key of the last kept, written scores (id, __log_weight, __key)); ``k`` overrides the number kept."""
     good, bad = _labelled(labels, max_labelled, id_col)
-    ratio = ratios(docs, good, id_col, text_col, buckets)
+    ratio = ratios(docs, good, bad, id_col, text_col, buckets)
     scores = staged(with_log_weight(docs, ratio, id_col, text_col, only_id=True), "scores")
     if k is None:
         if not len(good) or not len(bad):
