@@ -7,7 +7,8 @@ Groups are drawn by a seeded hash and packed independently: the largest amount o
 fixed expected size, and only piece lengths are shuffled, never ids or texts.
 
 Tokenising: the tokenizer drops white space and no token spans it, so a text's ids are those of its
-words, one by one; the distinct words of a worker are kept in a bounded table.
+words, one by one. A worker keeps the ids of the words it meets first, the frequent ones among them, in a bounded table, and encodes others
+each time, many in one call: a special token that no such word has stands between them.
 
 Rows: null text is empty text and yields the end id alone; repeated rows are packed each for itself; a null id is kept as null.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from .common import tasks_of, text_column
 SEQUENCE_TOKENS, END_ID = 4096, 2
 #: Expected documents in a group.
 GROUP_DOCS = 16_384
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
 KEPT_CHARS = 64
 _WORDS = re.compile("[^ \t\n\r]+")
 _tokenizers: dict[str, "WordIds"] = {}
@@ -43,43 +45,71 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self._clear()
 
-    def _clear(self) -> None:
+        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), None)
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
         self.at: dict[str, int] = {}
-        self.offsets = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-
-    def _add(self, words: list[str]) -> None:
-        for s in range(0, len(words), 20_000):
-            part = words[s : s + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            n, used = len(self.at), int(self.offsets[len(self.at)])
-            ends = used + np.cumsum([len(x) for x in ids])
-            while len(self.offsets) < n + len(part) + 1:
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            while len(self.flat) < ends[-1]:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.offsets[n + 1 : n + 1 + len(part)] = ends
-            self.flat[used : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(ends[-1]) - used)
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+        self.offsets, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and where each word's end."""
+        parts, ends, at = [], [], 0
+        odd = {i for i, w in enumerate(words) if len(w) > KEPT_CHARS or "<|" in w or "|>" in w}  # they go alone
+        for s in range(0, len(words), 256):
+            block = words[s : s + 256]
+            if self.mark and not any(i in odd for i in range(s, s + len(block))):
+                ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(block), add_special_tokens=False).ids, np.uint32)
+                cut = np.flatnonzero(ids == self.mark_id)
+                if len(cut) == len(block) - 1:
+                    parts.append(ids[ids != self.mark_id])
+                    ends.append(at + np.append(cut, len(ids)) - np.arange(len(block)))
+                    at += len(parts[-1])
+                    continue
+            for w in block:
+                parts.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
+                at += len(parts[-1])
+                ends.append(np.array([at]))
+        return (np.concatenate(parts), np.concatenate(ends)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _add(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        n, used = len(self.at), int(self.offsets[len(self.at)])
+        while len(self.offsets) < n + len(words) + 1:
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        while len(self.flat) < used + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.offsets[n + 1 : n + 1 + len(words)] = used + ends
+        self.flat[used : used + len(flat)] = flat
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def ids(self, text: str) -> np.ndarray:
         words = _WORDS.findall(text)
-        new = set(words) - self.at.keys()
+        at = self.at
+        new = sorted({w for w in words if w not in at}, key=len) if words else []
         if new:
-            if len(self.at) + len(new) > KNOWN_WORDS:
-                self._clear()
-                new = set(words)
-            self._add(sorted(new))
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        start, end = self.offsets[which], self.offsets[which + 1]
-        lengths = end - start
-        upto = np.cumsum(lengths)
-        out = self.flat[np.repeat(start - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
-        if len(self.at) > KNOWN_WORDS or any(len(w) > KEPT_CHARS for w in new):
-            self._clear()
-        return out
+            flat, ends = self.encode(new)
+            short = bisect_right(new, KEPT_CHARS, key=len)
+            if len(at) + short <= KNOWN_WORDS:
+                self._add(new[:short], flat[: ends[short - 1] if short else 0], ends[:short])
+                extra, flat, ends = new[short:], flat[ends[short - 1] if short else 0 :], ends[short:] - (ends[short - 1] if short else 0)
+            else:
+                extra = new
+        if new and extra:
+            more = dict(zip(extra, range(-1, -len(extra) - 1, -1), strict=True))  # below zero: not in the kept table
+            which = np.fromiter((at[w] if w in at else more[w] for w in words), np.int64, len(words))
+            here = np.flatnonzero(which >= 0)
+            there = np.flatnonzero(which < 0)
+            bounds = np.append(0, ends)
+            start, length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            start[here], length[here] = self.offsets[which[here]], self.offsets[which[here] + 1] - self.offsets[which[here]]
+            start[there], length[there] = bounds[-1 - which[there]], bounds[-which[there]] - bounds[-1 - which[there]]
+            kept = np.repeat(which >= 0, length)
+            at_ = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            out = np.empty(len(at_), np.uint32)
+            out[kept], out[~kept] = self.flat[at_[kept]], flat[at_[~kept]]
+            return out
+        which = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        start, length = self.offsets[which], self.offsets[which + 1] - self.offsets[which]
+        return self.flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())]
 
 
 def _word_ids(path: str) -> WordIds:

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_column
 
-#: Runs whose length a worker keeps; the table is emptied when full.
-KNOWN_RUNS = 400_000
+#: Runs whose length a worker keeps: the first it meets, the frequent ones among them; others are encoded each time.
+KNOWN_RUNS = 800_000
+#: Bytes of text whose runs are encoded together.
+BATCH_BYTES = 4 << 20
 #: Runs longer than this are not kept.
 KEPT_CHARS = 64
 #: What stands for a space in pieces.
@@ -47,27 +49,26 @@ class RunLengths:
             out.update(zip(runs[s:e], map(len, self.model.encode(runs[s:e], num_threads=1)), strict=True))
         return out
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.splits or MARK in text:
-            return len(self.model.encode(text, num_threads=1))
-        runs = text.split(" ")
-        if "" in runs:
-            runs = [x[1:] for x in _RUNS.findall(" " + text)]
-        distinct, known = set(runs), self.known
-        new = distinct - known.keys()
-        if new and len(known) + len(new) > KNOWN_RUNS:
-            known.clear()
-            new = distinct
-        learned = self._learn(list(new))
-        known.update(learned)
-        out = sum(map(known.__getitem__, runs))
-        for x in learned:
-            if len(x) > KEPT_CHARS:
-                del known[x]
-        if len(known) > KNOWN_RUNS:  # the runs of one long text alone
-            known.clear()
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; their distinct runs are looked up or encoded together."""
+        out, split = [0] * len(texts), {}
+        for i, text in enumerate(texts):
+            if not self.splits or MARK in text:
+                out[i] = len(self.model.encode(text, num_threads=1))
+            elif text:
+                split[i] = text.split(" ")
+                if "" in split[i]:
+                    split[i] = [x[1:] for x in _RUNS.findall(" " + text)]
+        distinct, known = set().union(*split.values()), self.known
+        learned = self._learn([x for x in distinct if x not in known])
+        short = {x: n for x, n in learned.items() if len(x) <= KEPT_CHARS}
+        table = known
+        if len(known) + len(short) <= KNOWN_RUNS:
+            known.update(short)
+        if len(known) + len(short) > KNOWN_RUNS or len(short) < len(learned):
+            table = {x: learned[x] if x in learned else known[x] for x in distinct}
+        for i, runs in split.items():
+            out[i] = sum(map(table.__getitem__, runs))
         return out
 
 
@@ -84,8 +85,10 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         model = _model(model_path)
         for b in it:
             texts = b.column(1)
-            tokens = np.fromiter((model.count(t.as_py()) for t in texts), np.int64, b.num_rows)
-            size = np.fromiter((x.as_py() for x in pa.compute.binary_length(texts)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(tokens)], ["id", "n_bytes", "n_tokens"])
+            size = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens: list[int] = []
+            for s, e in slices(size, BATCH_BYTES):
+                tokens += model.counts(texts[s : e].to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("t")).mapInArrow(run, "id long, n_bytes long, n_tokens long")
