@@ -8,17 +8,19 @@ fixed expected size, and only piece lengths are shuffled, never ids or texts.
 
 Tokenising: the tokenizer drops white space and no token spans it, so a text's ids are those of its
 words, one by one. A worker keeps the ids of the words it meets first, the frequent ones among them, in a bounded table, and encodes others
-each time, many in one call: a special token that no such word has stands between them.
+each time; plain Latin words go to the tokenizer's merges without its other steps.
 
 Rows: null text is empty text and yields the end id alone; repeated rows are packed each for itself; a null id is kept as null.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ GROUP_DOCS = 16_384
 KNOWN_WORDS = 800_000
 KEPT_CHARS = 64
 _WORDS = re.compile("[^ \t\n\r]+")
+_PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\\[-`{-~]*)\\Z")
+#: Byte-level spelling: printable Latin-1 characters stand for their byte, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLING = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _tokenizers: dict[str, "WordIds"] = {}
 
 
@@ -46,30 +52,27 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
 
-        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), None)
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
+        self.model = self.tokenizer.model
+        spelled = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in spelled["pre_tokenizer"].get("pretokenizers", [])] if spelled["pre_tokenizer"] else []
+        lowers = "Lowercase" in [x["type"] for x in (spelled["normalizer"] or {}).get("normalizers", [])]
+        #: Whether plain words may go to the merges directly; checked against the whole tokenizer on words of every kind.
+        self.direct = lowers and kinds == ["Split", "ByteLevel"] and all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Word", "word,", "Éàß...", "!!", "ÑÖø|", "a_-", "x#*$%&", "ÿ"))
         self.at: dict[str, int] = {}
         self.offsets, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids of a word of Latin letters and closing signs: its letters, lower-cased and spelled as bytes, and the signs are a unit each."""
+        if not (m := _PLAIN.match(word)):
+            return None
+        units = ("".join(map(_SPELLING.__getitem__, m[1].lower().encode())), m[2])
+        return [t.id for u in units if u for t in self.model.tokenize(u)]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and where each word's end."""
-        parts, ends, at = [], [], 0
-        odd = {i for i, w in enumerate(words) if len(w) > KEPT_CHARS or "<|" in w or "|>" in w}  # they go alone
-        for s in range(0, len(words), 256):
-            block = words[s : s + 256]
-            if self.mark and not any(i in odd for i in range(s, s + len(block))):
-                ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(block), add_special_tokens=False).ids, np.uint32)
-                cut = np.flatnonzero(ids == self.mark_id)
-                if len(cut) == len(block) - 1:
-                    parts.append(ids[ids != self.mark_id])
-                    ends.append(at + np.append(cut, len(ids)) - np.arange(len(block)))
-                    at += len(parts[-1])
-                    continue
-            for w in block:
-                parts.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
-                at += len(parts[-1])
-                ends.append(np.array([at]))
-        return (np.concatenate(parts), np.concatenate(ends)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids = [(self._plain(w) if self.direct else None) or self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) if len(ends) else 0), ends
 
     def _add(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
         n, used = len(self.at), int(self.offsets[len(self.at)])
