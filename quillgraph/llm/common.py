@@ -130,3 +130,12 @@ def find_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def batches(rows: pa.Table | None, schema: pa.Schema, most: int = 50_000) -> Iterator[pa.RecordBatch]:
     if rows is not None and rows.num_rows:
         yield from rows.cast(schema).to_batches(max_chunksize=most)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone(id)``, whatever their columns are called; null ids stay."""
+    name = "gone"
+    while name in docs.columns:
+        name = "_" + name
+    there = gone.select(F.col("id").alias(name)).distinct()
+    return docs.join(there, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, mix, prefix_hash, run_hash, slices, text_column
+from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, text_column, without_ids
 
 LEAST_MATCH, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 16 << 20
@@ -230,7 +230,5 @@ def _tile(seeds: Block, h: np.ndarray, where: np.ndarray, seed: np.ndarray, firs
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents that no benchmark item contaminates, with all their columns."""
-    from .common import staged
-
-    gone = staged(contaminations(docs, benchmark, id_col, text_col, **kw).where("id is not null").select(F.col("id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = contaminations(docs, benchmark, id_col, text_col, **kw)
+    return without_ids(docs, staged(found.where("id is not null").select("id").distinct(), "contaminated"), id_col)

@@ -30,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that have 32 charact
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 #: Sensitivity of the words of a target name.
 NAME_WEIGHT = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "key": 0.5, "private": 0.5, "access": 0.4, "api": 0.3, "bearer": 0.7, "signature": 0.4}
+#: Names that are sensitive as a whole, however they are joined.
+KEY_NAMES = ("apikey", "accesskey", "privatekey", "secretkey", "signingkey", "authtoken", "accesstoken")
 LEAST_SCORE, LEAST_LITERAL = 0.8, 8
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|credential|private|bearer|auth|access", re.IGNORECASE | re.ASCII)
 _PAIR = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]{0,127})["']?[ \t]*(?::=|=>|[:=])(?!=)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]]+))""", re.ASCII)
@@ -41,6 +43,8 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 def sensitivity(name: str) -> float:
     """Of a target name, from the words in it: the strongest, and a part of the others."""
+    if any(k in re.sub("[^a-z]", "", name.lower()) for k in KEY_NAMES):
+        return 1.0
     weights = sorted((NAME_WEIGHT.get(w.lower(), 0.0) for w in _WORD.findall(name)), reverse=True)
     return weights[0] + 0.6 * sum(weights[1:3]) if weights else 0.0
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_roots, staged, tasks_of, text_column
+from .common import find_roots, staged, text_column, without_ids
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, BITS = 4, 4, 64
@@ -161,5 +161,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents but for near copies: of each group the one with the smallest id stays, with all its columns (rows of one id stay or go together)."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return without_ids(docs, found.where("id <> component_id").select("id"), id_col)

@@ -41,7 +41,8 @@ class RunLengths:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         plain = [MARK + x for x in self.model.encode(["a", " a"], out_type=str)[0]]
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and plain == [MARK + MARK + "a"]
-        self.known: dict[str, int] = {}
+        #: A lone space's run is its mark alone, which cannot be encoded as the text after it: there is none.
+        self.known: dict[str, int] = {"": len(self.model.encode("a ")) - len(self.model.encode("a"))}
 
     def _learn(self, runs: list[str]) -> dict[str, int]:
         out = {}
