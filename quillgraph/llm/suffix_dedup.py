@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INVERSE, binary_parts, mix, powers, prefix_hash, slices, staged, tasks_of, text_column
+from .common import BASE_INVERSE, binary_parts, mix, powers, prefix_hash, release, slices, staged, tasks_of, text_column
 
 LENGTH, GRAM = 100, 32
 #: Intervals gathered before they are dealt; bytes of text and intervals that a task takes in the later steps.
-FLUSH, TASK_BYTES, TASK_INTERVALS = 400_000, 48 << 20, 1_000_000
+FLUSH, TASK_BYTES, TASK_INTERVALS = 150_000, 48 << 20, 300_000
 #: A text longer than this is cut into pieces for step 1. Its intervals at the cuts are shorter than others of their anchor, which step 3 settles.
-LONG_BYTES = 1 << 20
+LONG_BYTES = 1 << 19
+#: Suffixes sorted at once in step 3, but for those of one anchor.
+SLOT_SUFFIXES = 150_000
 #: Suffixes with one prefix beyond which equal strings are first put together by 128 bits of hash.
 LARGE_GROUP = 20_000
 BASE2 = 0xC2B2AE3D27D4EB4F
@@ -288,7 +290,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         for b in it:
             data, offsets = binary_parts(b.column(1))
             ids, prints = _ids(b.column(0)), _prints(b.column(1))
-            for s, e in slices(np.diff(offsets)):
+            for s, e in slices(np.diff(offsets), LONG_BYTES):
                 first, last = int(offsets[s]), int(offsets[e])
                 for o in range(first, max(first + 1, last), LONG_BYTES) if e == s + 1 else (first,):  # a long text in pieces that overlap by length - 1
                     cut = offsets[s : e + 1] if e > s + 1 else np.array([o, min(last, o + LONG_BYTES + length - 1)])
@@ -299,6 +301,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     if count > FLUSH:
                         yield from flush()
                         held, count = [], 0
+                        release()
         if held:
             yield from flush()
 
@@ -320,6 +323,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 else:
                     held.setdefault(dest, []).append(unpack(x.as_py()))
         for bucket in sorted(held):
+            release()
             doc, prints, key, t, t2, at, n = (np.concatenate(c) for c in zip(*held.pop(bucket), strict=True))
             order = np.lexsort((at, doc, t2, t, key))
             doc, prints, key, t, t2, at, n = (c[order] for c in (doc, prints, key, t, t2, at, n))
@@ -406,7 +410,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 bodies.append(np.frombuffer(x, np.uint8, -1, 8 + metas[-1].nbytes))
             meta, body = np.concatenate(metas), np.concatenate(bodies)
             starts = np.cumsum(meta["n"].astype(np.int64) + length - 1) - (meta["n"] + length - 1)
-            slot = (mix(meta["key"] + np.uint64(77)) % np.uint64(max(1, -(-len(meta) // 30_000)))).astype(np.int64)
+            slot = (mix(meta["key"] + np.uint64(77)) % np.uint64(max(1, -(-int(meta["n"].sum()) // SLOT_SUFFIXES)))).astype(np.int64)
             for k in np.unique(slot):  # some anchors at a time: memory follows the slot
                 mine = np.flatnonzero(slot == k)
                 n = meta["n"][mine].astype(np.int64)
@@ -448,7 +452,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         if ids:
             yield batch()
 
-    fine = buckets
+    fine = 4 * buckets
     dealt = given.mapInArrow(deal, blob)
     settled = staged(dealt.repartition(buckets, "dest").mapInArrow(settle, blob), "settled")
     close = beside(settled.where("kind = 1")).mapInArrow(surroundings, blob)
