@@ -34,6 +34,24 @@ def search(names: DataFrame, query: Column, name: str, node: str, most: int | No
     return out.orderBy("name", "node").limit(most) if most else out
 
 
+def mentions(texts: DataFrame, text: str, names: DataFrame, name: str, most: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
+    """Every row of ``texts`` with every row of ``names`` whose name it contains. Empty and null names and texts match nothing.
+
+    The names are the query set: they go out in blocks of some ``most`` rows and ``most_bytes`` bytes, one pass over the texts a block, so what
+    is broadcast does not grow with them and none is left out. Equal names are matched once.
+    """
+    names = names.where(F.length(name) > 0)
+    spellings = names.select(F.col(name).alias("__name")).distinct()
+    size = spellings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__name")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // most), -(-size["b"] // most_bytes))
+    out = None
+    for k in range(blocks):
+        part = spellings.where(F.pmod(F.xxhash64("__name"), F.lit(blocks)) == k)
+        hits = texts.join(F.broadcast(part), F.instr(F.col(text), F.col("__name")) > 0)
+        out = hits if out is None else out.unionAll(hits)
+    return out.join(names.withColumnRenamed(name, "__spelt"), F.col("__name") == F.col("__spelt")).withColumnRenamed("__name", name).drop("__spelt")
+
+
 def decoded_spans(head: DataFrame, tail: DataFrame, first: float = 0.4, later: float = 0.7) -> DataFrame:
     """``head(line_id, type_idx, pos, delta, p)``, ``tail(line_id, pos, p)`` -> (line_id, type_idx, start, length): both ends over the threshold, which is lower at delta 0."""
     cut = F.when(F.col("delta") == 0, first).otherwise(later)
@@ -46,3 +64,18 @@ def cleaned_entities(entities: Column) -> Column:
     """If any entity lies in another element (an equal one included), only those that do, by first index; else all, distinct, in order."""
     inner = F.filter(entities, lambda e, i: F.exists(F.transform(entities, lambda x, j: x.contains(e) & (i != j)), lambda b: b))
     return F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.array_distinct(entities))
+
+
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Adds ``step``: each row's place, from 1, among its key's in the given order (a sort that spills; no group is held in memory)."""
+    return rows.withColumn("step", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def grouped_entities(spans: DataFrame, vocabulary: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """``spans(line_id, type_idx, start, text)``, ``vocabulary(idx, label)`` -> (line_id, label, entities), cleaned, in order of place.
+
+    A type without a reading in ``labels`` (code -> name) is dropped. Vocabularies have some tens of rows."""
+    readings = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    named = vocabulary.select(F.col("idx").alias("type_idx"), F.try_element_at(readings, F.col("label")).alias("name")).where("name is not null")
+    each = spans.join(named, "type_idx").groupBy("line_id", "name").agg(F.sort_array(F.collect_list(F.struct("start", "text"))).alias("xs"))
+    return each.select("line_id", F.col("name").alias("label"), cleaned_entities(F.col("xs.text")).alias("entities"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain, text
 from ..operators import counts, evidence, graph, hierarchy, triples
-from ..sources import readers
+from ..sources import extraction, readers
 from .views import ERA_SQL, YEARS, Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,10 +149,8 @@ def person_search(v):
 
 @query("SELECT item_id, count(*) AS docs FROM benchmark JOIN documents ON contains(documents.text, split_part(benchmark.text, ' ', 2) || ' ' || split_part(benchmark.text, ' ', 3)) GROUP BY 1")
 def text_contains_alias(v):
-    # The aliases are a stated query set of bounded size (the benchmark items), matched against all texts.
     b = v.table("benchmark").select("item_id", F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3))).alias("alias"))
-    d = v.table("documents").select("text")
-    return d.join(F.broadcast(b.limit(10_000)), F.instr(d["text"], b["alias"]) > 0).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    return evidence.mentions(v.table("documents").select("text"), "text", b, "alias").groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -580,8 +578,49 @@ def entities_clean(v):
     return rows.select("raw", F.array_join(evidence.cleaned_entities(F.split("raw", ",")), ",").alias("kept"))
 
 
-@query("SELECT * FROM (VALUES ('array', 2), ('object', 1), ('lines', 2), ('fenced', 1), ('thinking', 1), ('garbage', 0)) AS t(kind, n)")
+@query("SELECT * FROM (VALUES ('array', 2), ('object', 1), ('lines', 2), ('fenced', 1), ('thinking', 1), ('literal', 1), ('literals', 2), ('garbage', 0)) AS t(kind, n)")
 def json_recover(v):
     one, two = '{"type":"node","label":"Person"}', '{"type":"node","label":"Place"}'
-    rows = [("array", f"[{one},{two}]"), ("object", one), ("lines", f"{one}\n{two}"), ("fenced", f"```json\n{one}\n```"), ("thinking", f"<think>{{x}}</think>\n{one}"), ("garbage", "no")]
+    rows = [("array", f"[{one},{two}]"), ("object", one), ("lines", f"{one}\n{two}"), ("fenced", f"```json\n{one}\n```"), ("thinking", f"<think>{{x}}</think>\n{one}"), ("literal", "{'type': 'node', 'label': 'Person',}"), ("literals", "```\n[{'type': 'node', 'label': None}, {'type': 'node', 'label': 'b'}]\n```"), ("garbage", "no")]
     return readers.recovered_records(v.spark.createDataFrame(rows, "kind string, raw string"), "raw").select("kind", F.size("records").alias("n"))
+
+
+@query("SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN '[]' WHEN l_linenumber = 2 THEN NULL ELSE 'a' || l_linenumber END AS raw FROM lineitem")
+def model_answers(v):
+    def client():
+        def ask(prompt):
+            if prompt == "1":
+                raise RuntimeError("no answer")
+            return ["a", " ", "\n", prompt]
+
+        return ask
+
+    lines = v.table("lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 2, F.col("l_linenumber").cast("string")).alias("prompt"))
+    return extraction.answers(lines, "prompt", client).select("l_orderkey", "raw")
+
+
+# --- events of a person ----------------------------------------------------------------------------------------------
+
+RELATION_SQL = "SELECT person_id, place_id, '0' AS event_id, '生' AS label, 0 AS ord FROM birth UNION ALL SELECT person_id, place_id, event_id, CASE WHEN kind = 'office' THEN '职任' ELSE '任务执行' END, CASE WHEN kind = 'office' THEN 1 ELSE 2 END FROM event"
+
+
+def _related(v: Views) -> DataFrame:
+    office = F.col("kind") == "office"
+    events = v.event().select("person_id", "place_id", "event_id", F.when(office, "职任").otherwise("任务执行").alias("label"), F.when(office, 1).otherwise(2).alias("ord"))
+    return v.birth().select("person_id", "place_id", F.lit("0").alias("event_id"), F.lit("生").alias("label"), F.lit(0).alias("ord")).unionAll(events)
+
+
+@query(sql(f"SELECT label, count(*) AS n FROM ({RELATION_SQL}) GROUP BY 1", "birth", "event"))
+def events_by_relation(v):
+    return counts.rows_per(_related(v), "label")
+
+
+@query(sql(f"SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY ord, event_id, place_id) AS step, place_id, label FROM ({RELATION_SQL})", "birth", "event"))
+def migration_path(v):
+    return evidence.numbered(_related(v), "person_id", "ord", "event_id", "place_id").select("person_id", "step", "place_id", "label")
+
+
+@query("SELECT s_suppkey AS person_id FROM supplier UNION SELECT c_custkey FROM customer UNION SELECT l_suppkey FROM lineitem")
+def candidate_people(v):
+    parts = [v.table(t).select(F.col(c).alias("person_id")) for t, c in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("lineitem", "l_suppkey"))]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
