@@ -8,7 +8,7 @@ fixed expected size, and only piece lengths are shuffled, never ids or texts.
 
 Tokenising: the tokenizer drops white space and no token spans it, so a text's ids are those of its
 words, one by one. A worker keeps the ids of the words it meets first, the frequent ones among them, in a bounded table, and encodes others
-each time; plain Latin words go to the tokenizer's merges without its other steps.
+each time; plain Latin words go to the tokenizer's merges without its other steps, their letters and closing signs as units of their own.
 
 Rows: null text is empty text and yields the end id alone; repeated rows are packed each for itself; a null id is kept as null.
 """
@@ -18,9 +18,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,9 @@ SEQUENCE_TOKENS, END_ID = 4096, 2
 GROUP_DOCS = 16_384
 KNOWN_WORDS = 800_000
 KEPT_CHARS = 64
-_WORDS = re.compile("[^ \t\n\r]+")
-_PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\\[-`{-~]*)\\Z")
+_WORDS = re.compile(b"[^ \t\n\r]+")
+#: Latin letters in UTF-8, then closing signs.
+_PLAIN = re.compile(b"((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:;=-@\\[-`{-~]*)\\Z")
 #: Byte-level spelling: printable Latin-1 characters stand for their byte, the others follow from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLING = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -55,26 +55,58 @@ class WordIds:
         self.model = self.tokenizer.model
         spelled = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in spelled["pre_tokenizer"].get("pretokenizers", [])] if spelled["pre_tokenizer"] else []
-        lowers = "Lowercase" in [x["type"] for x in (spelled["normalizer"] or {}).get("normalizers", [])]
+        self.lowers = "Lowercase" in [x["type"] for x in (spelled["normalizer"] or {}).get("normalizers", [])]
+        #: Whether the tokenizer drops all six of the white space that bytes.split() cuts at.
+        self.splits = all(self._whole(f"a{c}b") == self._whole("a") + self._whole("b") for c in " \t\n\r\x0b\x0c")
         #: Whether plain words may go to the merges directly; checked against the whole tokenizer on words of every kind.
-        self.direct = lowers and kinds == ["Split", "ByteLevel"] and all(self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Word", "word,", "Éàß...", "!!", "ÑÖø|", "a_-", "x#*$%&", "ÿ"))
-        self.at: dict[str, int] = {}
+        self.direct = self.lowers and kinds == ["Split", "ByteLevel"] and all([i for u in _PLAIN.match(w.encode()).groups() for i in self._unit(u)] == self._whole(w) for w in ("Word", "word,", "Éàß...", "!!", "ÑÖø|", "a_-", "x#*$%&", "ÿ"))
+        self.at: dict[bytes, int] = {}
         self.offsets, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
-    def _plain(self, word: str) -> list[int] | None:
-        """Ids of a word of Latin letters and closing signs: its letters, lower-cased and spelled as bytes, and the signs are a unit each."""
-        if not (m := _PLAIN.match(word)):
-            return None
-        units = ("".join(map(_SPELLING.__getitem__, m[1].lower().encode())), m[2])
-        return [t.id for u in units if u for t in self.model.tokenize(u)]
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids one after another, and where each word's end."""
-        ids = [(self._plain(w) if self.direct else None) or self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) if len(ends) else 0), ends
-
-    def _add(self, words: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _unit(self, unit: bytes) -> list[int]:
+        """Ids of a run of Latin letters, which is lower-cased and spelled as bytes, or of a run of signs."""
+        spelled = unit.decode().lower()
+        if not unit.isascii():
+            spelled = "".join(map(_SPELLING.__getitem__, spelled.encode()))
+        return [t.id for t in self.model.tokenize(spelled)] if unit else []
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, in lower case where that changes no ids.
+
+        It could, next to a combining mark (some compose with small letters only; their bytes start with CC or CD) and in special strings."""
+        if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return text.split() if self.splits else _WORDS.findall(text)
+
+    def encode(self, words: set[bytes]) -> dict[bytes, list[int]]:
+        """Ids of words that are not in the table, and of the parts of plain ones: letters and signs are units, each looked up or encoded once."""
+        out: dict[bytes, list[int]] = {}
+        at, both = self.at, []
+        for w in words:
+            m = _PLAIN.match(w) if self.direct else None
+            if not m:
+                out[w] = self._whole(w.decode())
+            elif m[1] and m[2]:
+                both.append((w, m[1], m[2]))
+            else:
+                out[w] = self._unit(w)
+        for w, *parts in both:
+            ids: list[int] = []
+            for u in parts:
+                if u in out:
+                    ids += out[u]
+                elif (k := at.get(u)) is not None:
+                    ids += self.flat[self.offsets[k] : self.offsets[k + 1]].tolist()
+                else:
+                    out[u] = self._unit(u)
+                    ids += out[u]
+            out[w] = ids
+        return out
+
+    def _add(self, words: list[bytes], flat: np.ndarray, ends: np.ndarray) -> None:
         n, used = len(self.at), int(self.offsets[len(self.at)])
         while len(self.offsets) < n + len(words) + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
@@ -84,35 +116,39 @@ class WordIds:
         self.flat[used : used + len(flat)] = flat
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def ids(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text)
-        at = self.at
-        new = sorted({w for w in words if w not in at}, key=len) if words else []
-        if new:
-            flat, ends = self.encode(new)
-            short = bisect_right(new, KEPT_CHARS, key=len)
-            if len(at) + short <= KNOWN_WORDS:
-                self._add(new[:short], flat[: ends[short - 1] if short else 0], ends[:short])
-                extra, flat, ends = new[short:], flat[ends[short - 1] if short else 0 :], ends[short:] - (ends[short - 1] if short else 0)
-            else:
-                extra = new
-        if new and extra:
-            more = dict(zip(extra, range(-1, -len(extra) - 1, -1), strict=True))  # below zero: not in the kept table
-            which = np.fromiter((at[w] if w in at else more[w] for w in words), np.int64, len(words))
-            here = np.flatnonzero(which >= 0)
-            there = np.flatnonzero(which < 0)
-            bounds = np.append(0, ends)
-            start, length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-            start[here], length[here] = self.offsets[which[here]], self.offsets[which[here] + 1] - self.offsets[which[here]]
-            start[there], length[there] = bounds[-1 - which[there]], bounds[-which[there]] - bounds[-1 - which[there]]
-            kept = np.repeat(which >= 0, length)
-            at_ = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            out = np.empty(len(at_), np.uint32)
-            out[kept], out[~kept] = self.flat[at_[kept]], flat[at_[~kept]]
-            return out
-        which = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+    def ids(self, text: bytes) -> np.ndarray:
+        words, at = self.words(text), self.at
+        which = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(which < 0)
+        there, flat = missing[:0], self.flat
+        if len(missing):
+            unknown = [words[i] for i in missing.tolist()]
+            fresh = self.encode(set(unknown))
+            kept = [w for w in fresh if len(w) <= KEPT_CHARS][: KNOWN_WORDS - len(at)]
+            self._add(kept, *_joined([fresh[w] for w in kept]))
+            flat = self.flat
+            which[missing] = np.fromiter(map(at.get, unknown, repeat(-1)), np.int64, len(unknown))
+            there = np.flatnonzero(which < 0)  # not in the kept table, that is
         start, length = self.offsets[which], self.offsets[which + 1] - self.offsets[which]
-        return self.flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        if len(there):
+            rest = list(dict.fromkeys(words[i] for i in there.tolist()))
+            more, ends = _joined([fresh[w] for w in rest])
+            number = dict(zip(rest, range(len(rest)), strict=True))
+            own = np.fromiter((number[words[i]] for i in there.tolist()), np.int64, len(there))
+            bounds = np.append(0, ends)
+            start[there], length[there] = bounds[own], bounds[own + 1] - bounds[own]
+        at_ = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        if not len(there):
+            return flat[at_]
+        out, held = np.empty(len(at_), np.uint32), np.repeat(which >= 0, length)
+        out[held], out[~held] = flat[at_[held]], more[at_[~held]]
+        return out
+
+
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one after another, and where each list's end."""
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) if len(ends) else 0), ends
 
 
 def _word_ids(path: str) -> WordIds:
@@ -140,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             if rows:
                 yield _table(rows, with_ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
 def _table(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
