@@ -163,6 +163,22 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("known", [300, packing.KNOWN_WORDS])
+def test_word_ids_equal_the_tokenizers(monkeypatch, known):
+    """Combining marks, special strings, odd white space and capitals; with a table too small for all words, too."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", known)
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.WordIds(path)
+    letters = np.array(list("aBcJ TI'sS.,!<|>endoft\u030c\u0307\u0301\u0308ÀéßÖ\x0b\x1c\x85\xa0\u212aİ9-_日"))
+    rng = np.random.default_rng(5)
+    texts = ["", "J\u030c T\u0308", "<|endoftext|> <|EndOfText|> A<|STARTOFTEXT|>,", "Don'T it'S, WORD!!,word?! ÀÉ!", "x" * 5000 + " " + "Ab," * 3000]
+    texts += ["".join(letters[rng.integers(0, len(letters), rng.integers(1, 25))]) for _ in range(3000)]
+    assert all(words.ids(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
+    assert len(words.at) <= known
+
+
 def test_first_fit_decreasing():
     sizes = np.sort(np.random.default_rng(2).integers(1, 100, 300))[::-1]
     bins, offsets, used = packing.first_fit_decreasing(sizes, 100)
