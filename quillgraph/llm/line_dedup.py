@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Lines (split at newlines, compared without surrounding white space) are hashed. Overlapping documents are found through shared line
-hashes, rarest first: every occurrence of a line is linked to the earliest document that has it, a star per line, so the
-pairs (earlier, later) number at most the lines and no line is too common to be followed. Each pair is aligned by patience diff: lines that occur once
-on both sides are anchors, the longest run of anchors in the same order on both sides stays (found by patience sorting), and it is
-extended by neighbouring equal lines. Aligned blocks of neighbouring lines with ``least_words`` words or more are deleted from the later document.
+Lines (split at newlines, compared without surrounding white space) are hashed. Overlapping documents are found through shared runs of
+lines: each line, each 2, 4, 8, .. lines in a row and each whole run of lines that other documents hold is linked to the earliest document that has it, a star
+per run, so no line is too common to be followed. (A whole copy is thereby aligned with its original or an equal of it, wherever its single
+lines stand first; a passage with the earliest holder of each of its windows. Documents that are the earliest holder of none of these are not aligned.) Each pair is aligned over all its common lines
+by patience diff: equal lines at both ends align, then lines that occur once on both sides are anchors, the longest run of anchors in the same order on both sides stays
+(found by patience sorting), and the ranges between them are aligned likewise. Aligned blocks of neighbouring lines with ``least_words`` words or more are deleted from the later document.
 
 "Earlier" is by id. A document's own repeated lines stay. Lines of white space never match; in a deleted block they go with
 their neighbours. Rows: null text is empty; null ids take no part; rows of one id are the same document (its lines are taken from all of its rows, so texts of
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, tasks_of, text_column
+from .common import mix, staged, tasks_of, text_column
 
 LEAST_WORDS = 5
 
@@ -55,35 +57,80 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(rows: list[tuple[int, int, int, int, int]]) -> set[int]:
-    """Positions in the later document aligned with one earlier document.
+def align(mine: list[int], theirs: list[int]) -> list[int]:
+    """Indices in ``mine`` that a patience diff aligns with ``theirs``; lines of one side only are left out beforehand."""
+    out: list[int] = []
+    todo = [(0, len(mine), 0, len(theirs))]
+    while todo:
+        i, j, k, l = todo.pop()
+        while i < j and k < l and mine[i] == theirs[k]:
+            out.append(i)
+            i, k = i + 1, k + 1
+        while i < j and k < l and mine[j - 1] == theirs[l - 1]:
+            j, l = j - 1, l - 1
+            out.append(j)
+        if i == j or k == l:
+            continue
+        here, there = Counter(mine[i:j]), Counter(theirs[k:l])
+        at = {theirs[q]: q for q in range(k, l)}
+        anchors = [p for p in range(i, j) if here[mine[p]] == 1 and there[mine[p]] == 1]
+        picked = [anchors[x] for x in longest_increasing([at[mine[p]] for p in anchors])]
+        for p in picked:
+            todo.append((i, p, k, at[mine[p]]))
+            i, k = p + 1, at[mine[p]] + 1
+        out += picked
+        if picked:
+            todo.append((i, j, k, l))
+    return out
+
+
+def windows(run: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct windows of 1, 2, 4, 8, .. lines of a run, and of the whole run."""
+    level, size, out = run.view(np.uint64), 1, [run.view(np.uint64)]
+    while 2 * size <= len(run):
+        level = mix(level[: len(run) - 2 * size + 1] * np.uint64(0xA24BAED4963EE407) + level[size:])
+        size *= 2
+        out.append(level)
+    if size < len(run):  # two windows that overlap, and their distance
+        out.append(mix(level[:1] * np.uint64(0x9FB21C651E98DF25) + level[-1:] + np.uint64(len(run) - size)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def pairs(shared: DataFrame, tasks: int) -> DataFrame:
+    """(id, a): each document with the earliest holders of its runs of shared lines."""
 
-    ``rows``: (position, hash, words, earlier position, lines with the hash in the earlier document), by position."""
-    count: dict[int, int] = {}
-    for r in rows:
-        count[r[1]] = count.get(r[1], 0) + 1
-    anchors = [r for r in rows if count[r[1]] == 1 and r[4] == 1]
-    picked = [anchors[i] for i in longest_increasing([r[3] for r in anchors])]
-    matched = {r[0]: r[3] for r in picked}
-    if len(picked) < len(rows):
-        taken = set(matched.values())
-        for line in (rows, rows[::-1]):  # extend over neighbours, forwards and backwards
-            step = 1 if line is rows else -1
-            for pos, _, _, there, _ in line:
-                if pos not in matched and there not in taken and (matched.get(pos - step, there) == there - step or not matched and step == 1):
-                    matched[pos] = there
-                    taken.add(there)
-    return set(matched)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_id, held_pos, held_h = (np.zeros(0, np.int64) for _ in range(3))
+        for b in it:
+            ids, pos, h = (np.concatenate([x, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip((held_id, held_pos, held_h), b.columns, strict=True))
+            cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(pos) != 1)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0  # the last run may go on in the next batch
+            held_id, held_pos, held_h = ids[last:], pos[last:], h[last:]
+            yield from keys(ids[:last], h[:last], cuts[:-1])
+        yield from keys(held_id, held_h, np.zeros(0, np.int64))
+
+    def keys(ids: np.ndarray, h: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids):
+            found = [windows(x) for x in np.split(h, cuts)]
+            who = np.repeat(ids[np.concatenate([[0], cuts])], [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(found))], ["id", "key"])
+
+    ordered = shared.select("id", "pos", "h").repartition(tasks, "id").sortWithinPartitions("id", "pos")
+    each = staged(ordered.mapInArrow(run, "id long, key long"), "windows")
+    first = each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    return each.join(first, "key").where("id > a").select("id", "a").distinct()
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, gone array<int>, partners int): the lines to delete of each document that loses some."""
     each = staged(lines(docs, id_col, text_col), "lines")
-    per_doc = each.groupBy("h", "id").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    first = per_doc.groupBy("h").agg(F.min(F.struct("id", "pos", "n")).alias("f"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    first = staged(first.select("h", F.col("f.id").alias("a"), F.col("f.pos").alias("there"), F.col("f.n").alias("n_there"), "df"), "firsts")
-    shared = each.join(first, "h").where("id > a").select("id", "a", "pos", "h", "words", "there", "n_there", "df")
-    n = first.count()
+    multi = each.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
+    shared = staged(each.join(multi, "h").select("id", "pos", "h", "words", "n"), "shared")
+    tasks = tasks_of(shared.count(), 200_000)
+    found = staged(pairs(shared, tasks), "pairs")
+    held = staged(shared.groupBy("id", "h").agg(F.collect_list("pos").alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
+    theirs = held.select(F.col("id").alias("a"), "h", F.col("pos").alias("there"))
+    both = found.join(held, "id").join(theirs, ["a", "h"]).select("id", "a", "h", "pos", "there", "words", "n")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, rows = None, []
@@ -92,14 +139,17 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         def close() -> None:
             by_a: dict[int, list] = {}
             rare: dict[int, int] = {}
-            for a, *row, df in rows:
-                by_a.setdefault(a, []).append(tuple(row))
-                rare[a] = min(rare.get(a, df), df)
-            words = {r[1]: r[3] for r in rows}
+            words: dict[int, int] = {}
+            for a, h, here, there, w, n in rows:
+                by_a.setdefault(a, []).append((h, here, there))
+                rare[a] = min(rare.get(a, n), n)
+                words.update(dict.fromkeys(here, w))
             gone: set[int] = set()
             used = 0
             for a in sorted(by_a, key=lambda a: (rare[a], a)):  # the pair with the rarest shared line first
-                found = align(by_a[a])
+                mine = sorted((p, h) for h, here, _ in by_a[a] for p in here)
+                other = sorted((p, h) for h, _, there in by_a[a] for p in there)
+                found = {mine[i][0] for i in align([h for _, h in mine], [h for _, h in other])}
                 used += bool(found - gone)
                 gone |= found
             block: list[int] = []
@@ -125,14 +175,13 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     if len(out) >= 2000:
                         yield flush()
                     doc, rows = r[0], []
-                rows.append((r[1], r[2], r[3], r[4], r[5], r[6], r[7]))
+                rows.append(r[1:])
         if rows:
             close()
         if out:
             yield flush()
 
-    tasks = tasks_of(n, 200_000)
-    ordered = shared.repartition(tasks, "id").sortWithinPartitions("id", "pos")
+    ordered = both.repartition(tasks, "id").sortWithinPartitions("id")
     return ordered.mapInArrow(run, "id long, gone array<int>, partners int")
 
 

@@ -66,6 +66,42 @@ def repeats(docs, length=100):
     return out
 
 
+def patience(a, b):
+    """Indices in ``a`` aligned with ``b``."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [0, *(i + 1 for i in patience(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*patience(a[:-1], b[:-1]), len(a) - 1]
+    anchors = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    picked = [anchors[k] for k in line_dedup_runs([j for _, j in anchors])]
+    out, i, j = [], 0, 0
+    for x, y in picked:
+        out += [i + k for k in patience(a[i:x], b[j:y])] + [x]
+        i, j = x + 1, y + 1
+    return out + ([i + k for k in patience(a[i:], b[j:])] if picked else [])
+
+
+def line_dedup_runs(values):
+    from quillgraph.llm.line_dedup import longest_increasing
+
+    return longest_increasing(values)
+
+
+def line_dedup(docs):
+    """{id: lines kept} over all pairs, for lines of five words or more; documents left without any are not there."""
+    out = {}
+    for i, mine in docs:
+        gone = set()
+        for j, other in docs:
+            if j < i:
+                at = [k for k, x in enumerate(mine) if x in other]
+                gone |= {at[k] for k in patience([mine[k] for k in at], [x for x in other if x in mine])}
+        out[i] = [x for k, x in enumerate(mine) if k not in gone]
+    return {i: x for i, x in out.items() if x}
+
+
 def embeddings(rows, threshold=0.93):
     """{id: (n_links, component)} for distinct ids."""
     ok = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]

@@ -275,6 +275,31 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_aligns_copies_whatever_holds_their_lines_first(spark):
+    """Exact copies and passages with repeated and reordered lines, against patience diff of all pairs."""
+    p, q, r, s = (f"the line {c} has quite some words" for c in "pqrs")
+    rows = [(1, [p, q, p]), (2, [p, q, p]), (10, [s, r, q, p, q]), (11, [p, q, r, s]), (12, [p, q, r, s]), (20, ["own words stand here at first", p, q, r, s, "own words stand here at last"])]
+    rng = np.random.default_rng(11)
+    for k in range(40):  # originals and their copies, of few lines
+        text = [f"line {x} of a small set of lines" for x in rng.integers(0, 25, rng.integers(1, 9))]
+        rows += [(100 + 2 * k, text), (101 + 2 * k, list(text))]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(docs).collect()}
+    want = brute.line_dedup(rows)
+    assert all(i not in out for i, t in rows if any(j < i and t == u for j, u in rows))
+    assert out[20] == want[20] == [rows[5][1][0], rows[5][1][-1]]
+    assert all(set(want.get(i, [])) <= set(out.get(i, [])) for i, _ in rows)  # nothing goes that no pair aligns
+
+
+def test_patience_diff():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a, b = (rng.integers(0, 8, rng.integers(0, 12)).tolist() for _ in range(2))
+        both = set(a) & set(b)
+        a, b = [x for x in a if x in both], [x for x in b if x in both]
+        assert sorted(line_dedup.align(a, b)) == sorted(brute.patience(a, b))
+
+
 def test_longest_increasing():
     assert [[3, 1, 2, 5, 4][i] for i in line_dedup.longest_increasing([3, 1, 2, 5, 4])] in ([1, 2, 4], [1, 2, 5])
     assert line_dedup.longest_increasing([]) == []
