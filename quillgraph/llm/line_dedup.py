@@ -7,8 +7,8 @@ lines stand first; a passage with the earliest holder of each of its windows. Do
 by patience diff: equal lines at both ends align, then lines that occur once on both sides are anchors, the longest run of anchors in the same order on both sides stays
 (found by patience sorting), and the ranges between them are aligned likewise. Aligned blocks of neighbouring lines with ``least_words`` words or more are deleted from the later document.
 
-"Earlier" is by id. A document's own repeated lines stay. Lines of white space never match; in a deleted block they go with
-their neighbours. Rows: null text is empty; null ids take no part; rows of one id are the same document (its lines are taken from all of its rows, so texts of
+"Earlier" is by id. A document's own repeated lines stay. Lines of white space never match and part no block; those
+within a deleted block go with it. Rows: null text is empty; null ids take no part; rows of one id are the same document (its lines are taken from all of its rows, so texts of
 one id should agree); extra columns are kept.
 """
 
@@ -31,10 +31,10 @@ LEAST_WORDS = 5
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos int, h long, words int) of each line that is not blank."""
-    each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_column(docs, text_col), "\n")).alias("pos", "line"))
-    bare = each.select("id", "pos", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
-    return bare.select("id", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", r"\s+")).alias("words")).distinct()
+    """(id, pos int, at int, h long, words int) of each line that is not blank: its number among these, and among all lines."""
+    bare = F.transform(F.split(text_column(docs, text_col), "\n"), lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
+    each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.filter(bare, lambda x: x["line"] != "")).alias("pos", "x"))
+    return each.select("id", "pos", "x.at", F.xxhash64("x.line").alias("h"), F.size(F.split("x.line", r"\s+")).alias("words")).distinct()
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -125,12 +125,12 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(id, gone array<int>, partners int): the lines to delete of each document that loses some."""
     each = staged(lines(docs, id_col, text_col), "lines")
     multi = each.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
-    shared = staged(each.join(multi, "h").select("id", "pos", "h", "words", "n"), "shared")
+    shared = staged(each.join(multi, "h").select("id", "pos", "at", "h", "words", "n"), "shared")
     tasks = tasks_of(shared.count(), 200_000)
     found = staged(pairs(shared, tasks), "pairs")
-    held = staged(shared.groupBy("id", "h").agg(F.collect_list("pos").alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
-    theirs = held.select(F.col("id").alias("a"), "h", F.col("pos").alias("there"))
-    both = found.join(held, "id").join(theirs, ["a", "h"]).select("id", "a", "h", "pos", "there", "words", "n")
+    held = staged(shared.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "at")).alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
+    theirs = held.select(F.col("id").alias("a"), "h", F.col("pos.pos").alias("there"))
+    both = found.join(held, "id").join(theirs, ["a", "h"]).select("id", "a", "h", F.col("pos.pos").alias("pos"), F.col("pos.at").alias("at"), "there", "words", "n")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, rows = None, []
@@ -140,10 +140,12 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             by_a: dict[int, list] = {}
             rare: dict[int, int] = {}
             words: dict[int, int] = {}
-            for a, h, here, there, w, n in rows:
+            line: dict[int, int] = {}
+            for a, h, here, at, there, w, n in rows:
                 by_a.setdefault(a, []).append((h, here, there))
                 rare[a] = min(rare.get(a, n), n)
                 words.update(dict.fromkeys(here, w))
+                line.update(zip(here, at, strict=True))
             gone: set[int] = set()
             used = 0
             for a in sorted(by_a, key=lambda a: (rare[a], a)):  # the pair with the rarest shared line first
@@ -156,7 +158,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             final: list[int] = []
             for p in [*sorted(gone), None]:
                 if block and (p is None or p > block[-1] + 1):
-                    final += block if sum(words[q] for q in block) >= least_words else []
+                    if sum(words[q] for q in block) >= least_words:
+                        final += range(line[block[0]], line[block[-1]] + 1)  # with the blank lines between
                     block = []
                 block += [] if p is None else [p]
             if final:

@@ -291,6 +291,16 @@ def test_line_dedup_aligns_copies_whatever_holds_their_lines_first(spark):
     assert all(set(want.get(i, [])) <= set(out.get(i, [])) for i, _ in rows)  # nothing goes that no pair aligns
 
 
+def test_line_dedup_over_blank_lines(spark):
+    poem = [f"verse {k} is short" for k in range(15)]
+    gaps = "\n\n".join(poem)
+    rows = [(1, gaps), (2, "own start of the second text\n\n" + "\n \n\n".join(poem) + "\n\nown end of the second text"), (3, gaps), (4, "\n".join(poem))]
+    rows += [(5, "a first line of text\n\nverse 3 is short\n\na last line of text"), (6, "\n\n" + gaps + "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {1: gaps, 2: "own start of the second text\n\n\nown end of the second text", 5: rows[4][1]}
+
+
 def test_patience_diff():
     rng = np.random.default_rng(12)
     for _ in range(300):
