@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_roots, staged, text_column, without_ids
+from .common import find_roots, mix, staged, tasks_of, text_column, without_ids
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, BITS = 4, 4, 64
@@ -162,3 +162,98 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents but for near copies: of each group the one with the smallest id stays, with all its columns (rows of one id stay or go together)."""
     found = near_duplicates(docs, id_col, text_col)
     return without_ids(docs, found.where("id <> component_id").select("id"), id_col)
+
+
+SIMILAR_WORDS, LEAST_SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
+_MULTIPLIERS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, shingle_words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the shingles of the lower-cased words; of all words where they are fewer."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle_words + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle_words]), 42) for k in range(n)), np.uint64, n))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """One key a band of min-hashes: a pair of similarity s shares one with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9998 at 0.8."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(found), 2000):
+        least = np.minimum(least, mix(found[s : s + 2000, None] * _MULTIPLIERS).min(0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = mix(out * np.uint64(0xA24BAED4963EE407) + column)
+    return out.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SIMILAR) -> DataFrame:
+    """(id, component_id) over documents linked where the Jaccard similarity of their five-word shingles is ``least`` or more; null ids take no part.
+
+    No radius of 64-bit SimHash fits: a pair at 0.8 differs in some ten bits, and in many more by chance. Bands of min-hashes propose the pairs, and the shingles decide.
+    Equal sets are joined beforehand; a bucket's pairs are compared unless links in it connect them already, so near copies take few comparisons."""
+
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], ["id", "same", "keys"])
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "found"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: int | None = None
+        groups: list[list[tuple[int, np.ndarray]]] = []
+
+        def put(i: int, x: np.ndarray) -> list[tuple[int, int]]:
+            """Links of one more member to the groups connected so far, which it joins into one."""
+            near, far, edges = [(i, x)], [], []
+            for group in groups:
+                hit = next((j for j, y in group if min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least), None)
+                if hit is None:
+                    far.append(group)
+                else:
+                    edges.append((i, hit))
+                    near = group + near
+            groups[:] = [*far, near]
+            return edges
+
+        for b in it:
+            edges = []
+            for k, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if k != key:
+                    key = k
+                    groups.clear()
+                edges += put(i, np.frombuffer(x.as_py(), np.uint64))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["a", "b"])
+
+    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t"))
+    each = staged(given.mapInArrow(sketch, "id long, same binary, keys array<long>"), "sketches")
+    firsts = staged(each.groupBy("same").agg(F.min("id").alias("first")), "same")
+    distinct = each.join(firsts, "same").where("id = first").select("id", F.explode("keys").alias("key")).distinct()
+    distinct = staged(distinct, "bands")
+    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = staged(distinct.join(several, "key").select("key", "id"), "buckets")
+    n = members.count()
+    wanted = members.select("id").distinct()
+    found = staged(given.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
+    tasks = tasks_of(n, 20_000)
+    ordered = members.join(found, "id").select("key", "id", "found").repartition(tasks, "key").sortWithinPartitions("key", "id")
+    links_ = ordered.mapInArrow(compare, "a long, b long")
+    roots = connected_components(links_.union(each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    return each.select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents but for near copies at ``LEAST_SIMILAR``: of each group the one with the smallest id stays, with all its columns."""
+    found = similar_documents(docs, id_col, text_col)
+    return without_ids(docs, found.where("id <> component_id").select("id"), id_col)

@@ -42,6 +42,14 @@ def simhash(docs):
     return {i: (f"{prints[i]:016x}", roots[i]) for i in ids}
 
 
+def similar(docs, least=0.8):
+    sets = {}
+    for i, text in docs:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return components(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+
+
 def secrets(text):
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]

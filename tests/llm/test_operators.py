@@ -68,6 +68,28 @@ def test_simhash_links_on_random_prints():
     assert brute.components(nodes, edges) == want
 
 
+def test_pipeline_links_texts_of_similarity_08(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(60):  # each text with 0 to 6 of its 200 words replaced, far apart
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 200)]
+        rows.append((2 * k, " ".join(words)))
+        for at in range(k % 7):
+            words[10 + 28 * at] = "changed"
+        rows.append((2 * k + 1, " ".join(words).upper()))
+    rows += [(500, None), (501, " "), (502, "few words"), (503, "Few  words"), (504, "other words")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.similar(rows)
+    assert 70 < len(set(want.values())) < len(rows)
+    assert {r.id: r.component_id for r in simhash.similar_documents(given).collect()} == want
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, given, "")
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+    assert simhash.keep_one_similar(docs).columns == docs.columns
+    assert simhash.keep_one_similar(empty).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + k, 401 + k) for k in range(40)]
