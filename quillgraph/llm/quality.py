@@ -8,8 +8,8 @@ k largest keys stay, which samples k documents without replacement in proportion
 Three adjustments make the weight fit for filtering texts of very different lengths: each n-gram counts once a document (one long or
 repetitive document says no more than another), counts are shrunk towards the raw model, and a ratio counts only where the target's count falls
 short of the raw model's by more than chance, and falls short likewise among the labelled documents (raw texts that no label covers, such as
-one vast group of copies, then cannot make their words look bad), and the rejected documents that have it are not just copies of a few
-(a 64-bit linear-counting sketch of their min-hashes tells). So a document of plain words weighs the same at any length, and only n-grams that good documents avoid pull it down. k is the number of documents whose
+one vast group of copies, then cannot make their words look bad). The rejected documents that have an n-gram count once a group of copies: their
+distinct min-hashes are counted exactly. So a document of plain words weighs the same at any length, and only n-grams that good documents avoid pull it down. k is the number of documents whose
 weight reaches a cut that separates the labelled sample best.
 
 Every n-gram is hashed twice, and the ratio nearer to zero of its two buckets counts: a rare word that shares a bucket with a word that tells is
@@ -37,8 +37,6 @@ from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, ta
 BUCKETS, MAX_LABELLED = 1 << 18, 200_000
 #: Pseudo-counts by which target counts are shrunk towards the raw model; log ratios and standard deviations below which an n-gram says nothing.
 SHRINK, DEAD_ZONE, DEVIATIONS = 2.0, 1.2, 3.0
-#: Distinct groups of copies, as a share of the rejected documents that have an n-gram, below which it says nothing.
-LEAST_SPREAD = 0.4
 #: Gumbel noise is divided by this before it is added to log weights.
 SHARPNESS, SEED = 2.0, 7
 #: Classes of bytes: 0 white space, 1 letters, digits and bytes of other scripts, 2 the rest.
@@ -113,51 +111,57 @@ def ratios(docs: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text
     sample = spark.sparkContext.broadcast((good, bad))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, other = (np.zeros(size, np.int64) for _ in range(3))
-        spread = np.zeros(size, np.uint64)
+        raw, target = (np.zeros(size, np.int64) for _ in range(2))
         for b in it:
             data, offsets = binary_parts(b.column(1))
-            chosen, rejected = (_is_in(_ids(b.column(0)), x) for x in sample.value)
+            chosen = _is_in(_ids(b.column(0)), sample.value[0])
             for s, e in slices(np.diff(offsets)):
-                one, two, doc, signs = features(data, offsets[s : e + 1], buckets)
-                good_ones, bad_ones = chosen[s:e][doc], rejected[s:e][doc]
-                sign = np.uint64(1) << (signs[doc[bad_ones]] & np.uint64(63))
+                one, two, doc, _ = features(data, offsets[s : e + 1], buckets)
+                good_ones = chosen[s:e][doc]
                 for bucket in (one, two):
                     raw += np.bincount(bucket, minlength=size)
                     target += np.bincount(bucket[good_ones], minlength=size)
-                    other += np.bincount(bucket[bad_ones], minlength=size)
-                    np.bitwise_or.at(spread, bucket[bad_ones], sign)
         if raw.any():
             for k in range(blocks):
-                part = np.stack([x[k * width : (k + 1) * width] for x in (raw, target, other, spread.view(np.int64))])
+                part = np.stack([x[k * width : (k + 1) * width] for x in (raw, target)])
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in it:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(4, width)
-                have = sums.setdefault(k, np.zeros((4, width), np.int64))
-                have[:3] += part[:3]
-                have[3] |= part[3]
+                part = np.frombuffer(zlib.decompress(x.as_py()), np.int64).reshape(2, width)
+                have = sums.setdefault(k, np.zeros((2, width), np.int64))
+                have += part
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    def rejected(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            b = b.filter(pa.array(_is_in(_ids(b.column(0)), sample.value[1])))
+            if not b.num_rows:
+                continue
+            data, offsets = binary_parts(b.column(1))
+            for s, e in slices(np.diff(offsets)):
+                one, two, doc, signs = features(data, offsets[s : e + 1], buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, two]).astype(np.int32)), pa.array(np.tile(signs[doc].view(np.int64), 2))], ["bucket", "sign"])
 
     schema = "block int, counts binary"
-    each = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t")).mapInArrow(count, schema)
-    counts = np.zeros((4, size), np.int64)
-    for row in each.repartition(blocks, "block").mapInArrow(total, schema).collect():  # 4 * buckets numbers of four kinds, whatever the input
-        counts[:, row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], np.int64).reshape(4, width)
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t"))
+    counts = np.zeros((3, size), np.int64)
+    for row in given.mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(total, schema).collect():  # 4 * buckets numbers of two kinds, whatever the input
+        counts[:2, row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], np.int64).reshape(2, width)
+    if len(bad):
+        groups = given.mapInArrow(rejected, "bucket int, sign long").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()  # 4 * buckets rows at most
+        counts[2, groups["bucket"].to_numpy()] = groups["n"].to_numpy()
     out = np.zeros(size)
     for half in (slice(k * buckets, (k + 1) * buckets) for k in range(4)):
-        raw, target, other = (x[half].astype(float) for x in counts[:3])
-        groups = -64 * np.log(np.maximum(1 - np.bitwise_count(counts[3, half].view(np.uint64)) / 64, 1e-300))
+        raw, target, other = (x[half].astype(float) for x in counts)
         if target.sum() and other.sum():
             expected = raw * (target.sum() / raw.sum())
             r = np.log((target + SHRINK) / (expected + SHRINK))
             among = (target + other) * (target.sum() / (target.sum() + other.sum()))
             low = (r < -DEAD_ZONE) & (np.log((target + 1) / (among + 1)) < -DEAD_ZONE)
-            low &= groups >= LEAST_SPREAD * other
             for x in (expected, among):
                 low &= x - target > DEVIATIONS * np.sqrt(x + 1)
             out[half] = np.where(low, r, 0)  # what is merely commoner among good documents must not buy off the rest

@@ -131,6 +131,19 @@ def test_quality_edges(spark, docs, empty):
     assert quality.keep_good(empty, labels).count() == 0
 
 
+def test_quality_copies_of_one_rejected_text_silence_no_word(spark):
+    rng = np.random.default_rng(31)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 40))
+    bad = [f"{text()} dreadful {text()}" for _ in range(124)]
+    rows = [(k, t) for k, t in enumerate([text() for _ in range(1500)] + bad + [bad[0] + " peculiar"] * 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good, rejected = np.arange(1500), np.arange(1500, len(rows))
+    ratio = quality.ratios(docs, good, rejected, "doc_id", "text")
+    for word, judged in (("dreadful", True), ("peculiar", False)):  # the second stands in one text and its copies only
+        one, two, _, _ = quality.features(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), quality.BUCKETS)
+        assert (max(ratio[one[0]], ratio[two[0]]) < 0) == judged
+
+
 def test_kth_largest(spark):
     values = np.random.default_rng(0).normal(size=5000).round(2)
     df = spark.createDataFrame([(float(x),) for x in values], "x double")
