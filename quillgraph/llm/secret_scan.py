@@ -33,7 +33,6 @@ NAME_WEIGHT = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "p
 #: Names that are sensitive as a whole, however they are joined.
 KEY_NAMES = ("apikey", "accesskey", "privatekey", "secretkey", "signingkey", "authtoken", "accesstoken")
 LEAST_SCORE, LEAST_LITERAL = 0.8, 8
-_HINT = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|credential|private|bearer|auth|access", re.IGNORECASE | re.ASCII)
 _PAIR = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]{0,127})["']?[ \t]*(?::=|=>|[:=])(?!=)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]]+))""", re.ASCII)
 _MORE = re.compile(r"""[ \t]*\+[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_]\w*))""", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.ASCII)
@@ -61,8 +60,6 @@ def likeness(literal: str) -> float:
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals, at their definitions, that reach sensitive names."""
-    if not _HINT.search(text):
-        return []
     bound: dict[str, list[tuple[int, int]]] = {}  # name -> spans of the literal parts it holds now
     found: set[tuple[int, int]] = set()
     for m in _PAIR.finditer(text):

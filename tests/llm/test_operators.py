@@ -113,6 +113,15 @@ def test_assignments(text, want):
     assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == want
 
 
+NAMES = ["x-api-key", "api.key", "api-key", "api_key", "apikey", "APIKEY", "signing_key", "signingkey", "signing-key", "pass_key", "passKey", *(n for n, w in secret_scan.NAME_WEIGHT.items() if w >= secret_scan.LEAST_SCORE), *secret_scan.KEY_NAMES]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_each_sensitive_name_alone(name):
+    for text in (f"{name}: q8W-e7R6t5Y4u3", f'{name} = "q8W-e7R6t5Y4u3"'):
+        assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == ["q8W-e7R6t5Y4u3"]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
