@@ -10,14 +10,15 @@ def closure(edges: DataFrame, nodes: DataFrame, max_depth: int = 8) -> DataFrame
     """``edges(child, parent)`` -> (node, ancestor, depth), least depth, self at 0.
 
     Frontier joins by level: each step adds only pairs not seen at a smaller depth, so cycles and diamonds end by themselves. ``max_depth`` bounds the
-    plan; administrative trees have five or six levels."""
+    plan; administrative trees have five or six levels. A deeper hierarchy is an error when the rows are read, never a part of its pairs."""
     edges = edges.where("child is not null and parent is not null").select("child", "parent").distinct()
     seen = nodes.select(F.col("node"), F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct()
     step = seen
-    for d in range(1, max_depth + 1):
+    for d in range(1, max_depth + 2):  # one step more than may add pairs
         step = step.join(edges, step["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
         seen = seen.unionAll(step)
-    return seen.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    out = seen.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    return out.where(F.when(F.col("depth") > max_depth, F.raise_error(F.lit(f"the hierarchy is deeper than max_depth = {max_depth}")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def lift(closed: DataFrame, levels: DataFrame, level: str) -> DataFrame:
