@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at once; its temporaries take some 30 times as much.
 CHUNK_BYTES = 1 << 20
+#: Bytes of the Arrow batches that Spark sends to Python workers; rows alone would let long texts fill both sides.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +34,17 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quillgraph/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless they are bounded lower already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -82,11 +93,26 @@ _powers: dict[int, np.ndarray] = {}
 
 def release() -> None:
     """Gives the worker's freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after which the worker, which Spark keeps for other tasks, holds no more than before."""
+
+    @functools.wraps(run)
+    def whole(it: Iterator) -> Iterator:
+        try:
+            yield from run(it)
+        finally:
+            _powers.clear()
+            release()
+
+    return whole
+
+
 def powers(n: int, base: int = BASE) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
@@ -108,6 +134,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def long_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long column without nulls, as unsigned numbers."""
+    one, two, three, four, five = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = turn(x.view(np.uint64) * two, 31) * one ^ (five + np.uint64(50))  # seed 42, eight bytes
+    h = turn(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with P[i] the sum of (data[j] + 1) * BASE**j for j < i, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)

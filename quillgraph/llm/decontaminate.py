@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, text_column, without_ids
+from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, text_column, tidy, without_ids
 
 LEAST_MATCH, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 16 << 20
@@ -174,6 +174,7 @@ def _against(given: DataFrame, block: Block, least: int, threshold: float) -> Da
     sent = given.sparkSession.sparkContext.broadcast(block)
     kind = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))), ("covered", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64())])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, known = sent.value, {}
         for b in it:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_roots, staged, tasks_of
+from .common import find_roots, staged, tasks_of, tidy
 from .components import connected_components
 
 THRESHOLD, RECALL = 0.93, 0.995
@@ -91,6 +91,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bits = min(30, max(0, math.ceil(math.log2(max(1, largest) / BUCKET))))
     tables = tables_for(bits, threshold, recall)
 
+    @tidy
     def hash_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for b in it:
@@ -119,6 +120,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = dealt.select("key", "n", "v", "codes", "tbl", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.xxhash64(*where, F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "label", "dim", "bucket")
     tasks = tasks_of(total * tables, 40_000)
 
+    @tidy
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple, list] = {}
         for b in it:

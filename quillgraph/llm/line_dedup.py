@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, staged, tasks_of, text_column
+from .common import mix, staged, tasks_of, text_column, tidy
 
 LEAST_WORDS = 5
 
@@ -99,6 +99,7 @@ def windows(run: np.ndarray) -> np.ndarray:
 def pairs(shared: DataFrame, tasks: int) -> DataFrame:
     """(id, a): each document with the earliest holders of its runs of shared lines."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_id, held_pos, held_h = (np.zeros(0, np.int64) for _ in range(3))
         for b in it:
@@ -132,6 +133,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     theirs = held.select(F.col("id").alias("a"), "h", F.col("pos.pos").alias("there"))
     both = found.join(held, "id").join(theirs, ["a", "h"]).select("id", "a", "h", F.col("pos.pos").alias("pos"), F.col("pos.at").alias("at"), "there", "words", "n")
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, rows = None, []
         out: list[tuple[int, list[int], int]] = []
@@ -197,6 +199,7 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     both = plain.join(found.withColumnRenamed("id", "__id").hint("merge"), "__id", "left").drop("__id")  # the same plan at every size: deletions grow with the data
     schema = T.StructType([*(T.StructField(f"__c{i}", docs.schema[c].dataType if c != text_col else T.StringType()) for i, c in enumerate(names)), T.StructField("__n_lines", T.LongType()), T.StructField("__n_gone", T.LongType()), T.StructField("__partners", T.IntegerType())])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts, n_lines, n_gone = [], [], []

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tasks_of, text_column
+from .common import tasks_of, text_column, tidy
 
 SEQUENCE_TOKENS, END_ID = 4096, 2
 #: Expected documents in a group.
 GROUP_DOCS = 16_384
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 250_000
 KEPT_CHARS = 64
 _WORDS = re.compile(b"[^ \t\n\r]+")
 #: Latin letters in UTF-8, then closing signs.
@@ -161,6 +161,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """(id, start, length, ids_crc32, doc_tokens[, ids]) of each piece."""
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _word_ids(tokenizer_path)
         for b in it:

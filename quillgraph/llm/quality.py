@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, tasks_of, text_column
+from .common import binary_parts, mix, prefix_hash, run_hash, slices, staged, tasks_of, text_column, tidy
 
 BUCKETS, MAX_LABELLED = 1 << 18, 200_000
 #: Pseudo-counts by which target counts are shrunk towards the raw model; log ratios and standard deviations below which an n-gram says nothing.
@@ -110,6 +110,7 @@ def ratios(docs: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text
     width = size // blocks
     sample = spark.sparkContext.broadcast((good, bad))
 
+    @tidy
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = (np.zeros(size, np.int64) for _ in range(2))
         for b in it:
@@ -126,6 +127,7 @@ def ratios(docs: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text
                 part = np.stack([x[k * width : (k + 1) * width] for x in (raw, target)])
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
+    @tidy
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in it:
@@ -136,6 +138,7 @@ def ratios(docs: DataFrame, good: np.ndarray, bad: np.ndarray, id_col: str, text
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
+    @tidy
     def rejected(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             b = b.filter(pa.array(_is_in(_ids(b.column(0)), sample.value[1])))
@@ -176,6 +179,7 @@ def with_log_weight(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id",
     cols = [F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("__bytes"), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(rest))]
     given = docs.select(*cols)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             data, offsets = binary_parts(b.column(1))
@@ -239,6 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return ratio, float("-inf"), scores
         chosen = docs.sparkSession.sparkContext.broadcast((good, bad))
 
+        @tidy
         def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 ids = _ids(b.column(0))

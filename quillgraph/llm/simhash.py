@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_roots, mix, staged, tasks_of, text_column, without_ids
+from .common import find_roots, mix, staged, tasks_of, text_column, tidy, without_ids
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, BITS = 4, 4, 64
@@ -56,6 +56,7 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp long): one row per document."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
@@ -111,6 +112,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     masks = _flips(lead, half)
     flat = [(int(m), k) for k, group in enumerate(masks) for m in group]
 
+    @tidy
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flip, used = (np.array(x, np.uint64) for x in zip(*flat, strict=True))
         for b in it:
@@ -120,6 +122,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
                 to = ((part >> np.uint64(BITS - lead))[:, None] ^ flip[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.repeat(part, len(flip)).view(np.int64)), pa.array(np.tile(half - used.astype(np.int64), len(part)).astype(np.int8))], ["to", "fp", "left"])
 
+    @tidy
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in it]
         if not rows:
@@ -199,16 +202,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     No radius of 64-bit SimHash fits: a pair at 0.8 differs in some ten bits, and in many more by chance. Bands of min-hashes propose the pairs, and the shingles decide.
     Equal sets are joined beforehand; a bucket's pairs are compared unless links in it connect them already, so near copies take few comparisons."""
 
+    @tidy
     def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], ["id", "same", "keys"])
 
+    @tidy
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "found"])
 
+    @tidy
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
         groups: list[list[tuple[int, np.ndarray]]] = []

@@ -21,25 +21,25 @@ document: none is a copy of the other. Documents of one id but different text ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INVERSE, binary_parts, mix, powers, prefix_hash, release, slices, staged, tasks_of, text_column
+from .common import BASE_INVERSE, binary_parts, long_hash, mix, powers, prefix_hash, release, slices, staged, tasks_of, text_column, tidy
 
 LENGTH, GRAM = 100, 32
 #: Intervals gathered before they are dealt; bytes of text and intervals that a task takes in the later steps.
-FLUSH, TASK_BYTES, TASK_INTERVALS = 150_000, 48 << 20, 300_000
+FLUSH, TASK_BYTES, TASK_INTERVALS = 150_000, 24 << 20, 250_000
 #: A text longer than this is cut into pieces for step 1. Its intervals at the cuts are shorter than others of their anchor, which step 3 settles.
 LONG_BYTES = 1 << 19
 #: Suffixes sorted at once in step 3, but for those of one anchor.
-SLOT_SUFFIXES = 150_000
-#: Suffixes with one prefix beyond which equal strings are first put together by 128 bits of hash.
-LARGE_GROUP = 20_000
+SLOT_SUFFIXES = 100_000
+#: Runs from this width on are merged by binary search for each suffix's place, shorter ones step by step.
+WIDE_MERGE = 64
 BASE2 = 0xC2B2AE3D27D4EB4F
 BASE2_INVERSE = pow(BASE2, -1, 1 << 64)
 NULL_ID = -(1 << 63)
@@ -133,6 +133,26 @@ def _coalesced(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def _merged(order: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, before: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``order`` with its sorted runs [start, middle) and [middle, stop) merged: each suffix moves by the number of those of the other run before it."""
+    out, middle = order.copy(), np.minimum(middle, stop)
+    for (a, z), (b, y), ties in (((start, middle), (middle, stop), False), ((middle, stop), (start, middle), True)):
+        n = z - a
+        mine = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        low, high = np.repeat(b, n), np.repeat(y, n)
+        live = np.flatnonzero(low < high)
+        while len(live):
+            half = (low[live] + high[live]) // 2
+            i, j = order[mine[live]], order[half]
+            past = before(j, i) if ties else ~before(i, j)  # equals of the first run stand before those of the second
+            low[live] = np.where(past, half + 1, low[live])
+            high[live] = np.where(past, high[live], half)
+            live = live[low[live] < high[live]]
+        first, other = np.repeat(start, n), np.repeat(b, n)
+        out[first + (mine - np.repeat(a, n)) + (low - other)] = order[mine]
+    return out
+
+
 def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mergesort of the suffixes ``at`` within each group (given sorted), to ``length`` bytes, ties by ``rank``.
 
@@ -153,6 +173,13 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.n
             step >>= 1
         return done
 
+    def before(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether suffix i stands before or with suffix j."""
+        x, y = at[i], at[j]
+        c = common(x, y)
+        inner = np.minimum(c, length - 1)
+        return np.where(c >= length, rank[i] <= rank[j], data[x + inner] < data[y + inner])
+
     order = np.arange(len(at))
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(at))
@@ -163,15 +190,15 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, rank: np.n
         stop = np.minimum(start + 2 * width, np.repeat(ends, pairs))
         middle = start + width
         left, right, out = start.copy(), middle.copy(), start.copy()
+        if width >= WIDE_MERGE:
+            order = _merged(order, start, middle, stop, before)
+            width *= 2
+            continue
         merged = order.copy()
         live = np.flatnonzero(middle < stop)
         while len(live):
             i, j = order[left[live]], order[right[live]]
-            x, y = at[i], at[j]
-            c = common(x, y)
-            full = c >= length
-            inner = np.minimum(c, length - 1)
-            first = np.where(full, rank[i] <= rank[j], data[x + inner] < data[y + inner])
+            first = before(i, j)
             merged[out[live]] = np.where(first, i, j)
             out[live] += 1
             left[live] += first
@@ -207,23 +234,11 @@ def duplicate_starts(data: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.
     if not len(order):
         return later
     group = _runs(head[order])
-    size = np.bincount(group)
-    if size.max() > LARGE_GROUP:  # the same string many times over: all but the first are settled by two more hashes
-        big = order[size[group] > LARGE_GROUP]
-        whole = mix((p[at[big] + length] - p[at[big]]) * inverse[at[big]])
-        p2 = _second_prefix(data)
-        other = (p2[at[big] + length] - p2[at[big]]) * powers(len(data) + 1, BASE2_INVERSE)[at[big]]
-        big, whole, other = (x[np.lexsort((rank[big], other, whole))] for x in (big, whole, other))
-        run = _runs(whole, other)
-        start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))[run]
-        later[big] = rank[big] != rank[big[start]]
-        order = order[~later[order]]
-        group = _runs(head[order])
     sorted_, lcp = suffix_order(data, at[order], group, rank[order], length, p)
     here = order[sorted_]
     joined = np.flatnonzero(lcp >= length)
-    for s in range(0, len(joined), 100_000):  # verify: the bytes themselves
-        part = joined[s : s + 100_000]
+    for s in range(0, len(joined), 10_000):  # verify: the bytes themselves
+        part = joined[s : s + 10_000]
         reach = np.arange(length)
         equal = (data[at[here[part]][:, None] + reach] == data[at[here[part - 1]][:, None] + reach]).all(1)
         lcp[part[~equal]] = 0
@@ -234,7 +249,7 @@ def duplicate_starts(data: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.
 
 
 def _prints(texts: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(t.as_buffer() or b"") for t in texts), np.uint32, len(texts))
+    return np.fromiter((zlib.crc32(t.as_buffer() or b"") for t in texts), np.uint32, len(texts))
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -245,17 +260,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """(id, text binary, spans array<struct<start,stop>>): per row of ``docs`` the maximal removed runs, in bytes."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t"))
     size = given.agg(F.sum(F.octet_length("t")).alias("s")).first()["s"] or 0
-    buckets = tasks_of(size / 30, TASK_INTERVALS)
-    places = tasks_of(size, TASK_BYTES) | 1
+    settlers, carriers = tasks_of(size / 30, TASK_INTERVALS), tasks_of(size, TASK_BYTES)
+    buckets, places = 4 * settlers, 8 * carriers  # several to a task, so that tasks are alike though Spark hashes the numbers again
     blob = "dest long, kind int, id long, t binary"
 
-    def place_of(doc: np.ndarray) -> np.ndarray:
-        return doc % places
+    def place_of(doc: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        return (long_hash(np.where(doc == NULL_ID, prints.astype(np.int64), doc)).view(np.int64) % places).astype(np.int64)
 
     def rows(dest: list[int], kind: int, data: list[bytes]) -> pa.RecordBatch:
         n = len(dest)
         return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], ["dest", "kind", "id", "t"])
 
+    @tidy
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
@@ -267,7 +283,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             later[order] = _firsts(_runs(t[order], t2[order]), doc[order], at[order])
             if later.any():
                 found = _coalesced(_requests(doc[later], prints[later], at[later], n[later], 0))
-                out = list(_pack([found], place_of(found["doc"])))
+                out = list(_pack([found], place_of(found["doc"], found["print"])))
                 yield rows([-1 - d for d, _ in out], 0, [x for _, x in out])
             stay = np.flatnonzero(~later)
             stay = stay[np.lexsort((at[stay], prints[stay], doc[stay], (key[stay] >> np.uint64(32)) % np.uint64(buckets)))]
@@ -314,6 +330,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             at += cols[-1].nbytes
         return np.repeat(cols[0], cols[2]), np.repeat(cols[1], cols[2]), *cols[3:]
 
+    @tidy
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in it:
@@ -338,14 +355,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     wide = (key[chosen].astype(np.uint64) << np.uint64(1)) * np.uint64(buckets) + np.uint64(2 * bucket + 1) if flag else 0
                     found = _requests(doc[chosen], prints[chosen], at[chosen], n[chosen], wide)
                     found = found if flag else _coalesced(found)
-                    out = list(_pack([found], place_of(found["doc"])))
+                    out = list(_pack([found], place_of(found["doc"], found["print"])))
                     yield rows([d for d, _ in out], flag, [x for _, x in out])
 
     def beside(blobs: DataFrame) -> DataFrame:
         """The blobs of requests beside the documents they are about: a place's blobs come first."""
-        place = F.pmod(F.coalesce(F.col("id"), F.lit(NULL_ID)), F.lit(places))
+        place = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.crc32("t"))), F.lit(places))
         texts = given.select(place.alias("dest"), F.lit(9).alias("kind"), "id", "t")
-        return blobs.unionAll(texts).repartition(places, "dest").sortWithinPartitions("dest", "kind")
+        return blobs.unionAll(texts).repartition(carriers, "dest").sortWithinPartitions("dest", "kind")
 
     def with_requests(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
         """(batch, row, requests of the document, its whole print)."""
@@ -366,9 +383,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 s, e = np.searchsorted(docs_, [NULL_ID if doc is None else doc], "left")[0], np.searchsorted(docs_, [NULL_ID if doc is None else doc], "right")[0]
                 mine = table[s:e]
                 if len(mine):
-                    mine = mine[mine["print"] == xxhash.xxh32_intdigest(b.column(3)[i].as_buffer() or b"")]
+                    mine = mine[mine["print"] == zlib.crc32(b.column(3)[i].as_buffer() or b"")]
                 yield b, i, mine
 
+    @tidy
     def surroundings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metas, texts, size_ = [], [], 0
 
@@ -397,6 +415,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         if metas:
             yield from flush()
 
+    @tidy
     def sort(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for b in it:
@@ -423,9 +442,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 later = duplicate_starts(data, at, np.repeat(meta["key"][mine], n), doc, place, length)
                 if later.any():
                     found = _coalesced(_requests(doc[later], prints[later], place[later], 1, 0))
-                    out = list(_pack([found], place_of(found["doc"])))
+                    out = list(_pack([found], place_of(found["doc"], found["print"])))
                     yield rows([d for d, _ in out], 0, [x for _, x in out])
 
+    @tidy
     def cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         ids, texts, spans, size_ = [], [], [], 0
@@ -454,15 +474,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     fine = 4 * buckets
     dealt = given.mapInArrow(deal, blob)
-    settled = staged(dealt.repartition(buckets, "dest").mapInArrow(settle, blob), "settled")
+    settled = staged(dealt.repartition(settlers, "dest").mapInArrow(settle, blob), "settled")
     close = beside(settled.where("kind = 1")).mapInArrow(surroundings, blob)
-    sorted_ = staged(close.repartition(fine, "dest").mapInArrow(sort, blob), "sorted")
+    sorted_ = staged(close.repartition(4 * settlers, "dest").mapInArrow(sort, blob), "sorted")
     return beside(settled.where("kind = 0").unionAll(sorted_)).mapInArrow(cover, "id long, text binary, spans array<struct<start:bigint,stop:bigint>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of the rows of :func:`removals`."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []

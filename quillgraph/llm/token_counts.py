@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import slices, text_column, tidy
 
 #: Runs whose length a worker keeps: the first it meets, the frequent ones among them; others are encoded each time.
-KNOWN_RUNS = 800_000
+KNOWN_RUNS = 250_000
 #: Bytes of text whose runs are encoded together.
 BATCH_BYTES = 4 << 20
 #: Runs longer than this are not kept.
@@ -63,11 +64,8 @@ class RunLengths:
         distinct, known = set().union(*split.values()), self.known
         learned = self._learn([x for x in distinct if x not in known])
         short = {x: n for x, n in learned.items() if len(x) <= KEPT_CHARS}
-        table = known
-        if len(known) + len(short) <= KNOWN_RUNS:
-            known.update(short)
-        if len(known) + len(short) > KNOWN_RUNS or len(short) < len(learned):
-            table = {x: learned[x] if x in learned else known[x] for x in distinct}
+        known.update(islice(short.items(), max(0, KNOWN_RUNS - len(known))))
+        table = known if all(x in known for x in learned) else {x: learned[x] if x in learned else known[x] for x in distinct}
         for i, runs in split.items():
             out[i] = sum(map(table.__getitem__, runs))
         return out
@@ -82,6 +80,7 @@ def _model(path: str) -> RunLengths:
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes long, n_tokens long): one row per document."""
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         for b in it:

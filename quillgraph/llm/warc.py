@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, tasks_of, work_dir
+from .common import staged, tasks_of, tidy, work_dir
 
 LEAST_REVISIT = 1000
 READ_BYTES = 1 << 20
@@ -129,6 +129,7 @@ def normalise_folder(spark: SparkSession, source: str, target: str) -> DataFrame
     """Normalises every ``*.gz`` of a folder, a file a task at a time; written (archive, index, n_records) rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source).select("path")
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for path in b.column(0).to_pylist():
@@ -146,6 +147,7 @@ def read_records(spark: SparkSession, folder: str, run, schema: str) -> DataFram
     index = spark.read.schema(INDEX).json(f"{folder}/index").select(F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "/index/([^/]*)$", "/archives/$1"), r"\.jsonl$", ".warc.gz").alias("archive"), "offset", "length")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
+    @tidy
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, f = None, None
         for b in it:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from quillgraph.llm import components, decontaminate, embedding_dedup, line_dedup, packing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts, warc
+from quillgraph.llm import common, components, decontaminate, embedding_dedup, line_dedup, packing, quality, queries, secret_scan, simhash, suffix_dedup, token_counts, warc
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, id string, h int, __gone int"
@@ -394,3 +394,18 @@ def test_estimates_are_unbiased_and_bounded():
     error = (guess - x @ x.T)[off]
     assert abs(error.mean()) < 0.002
     assert (np.abs(guess - x @ x.T) <= bound[:, None])[off].mean() > 0.9999
+
+
+def test_long_hash_is_sparks(spark):
+    values = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 50)
+    rows = spark.createDataFrame([(int(v),) for v in [*values, 0, -1, -(1 << 63)]], "x long").select("x", F.xxhash64("x").alias("h")).collect()
+    assert common.long_hash(np.array([r.x for r in rows])).view(np.int64).tolist() == [r.h for r in rows]
+
+
+def test_suffix_order_of_large_groups():
+    rng = np.random.default_rng(6)
+    data = np.concatenate([rng.integers(97, 99, 2000).astype(np.uint8), np.full(3000, 97, np.uint8)])
+    at = np.sort(rng.choice(4900, 3500, replace=False))
+    order, _ = suffix_dedup.suffix_order(data, at, np.zeros(len(at), int), np.arange(len(at)), 60)
+    text = data.tobytes()
+    assert order.tolist() == sorted(range(len(at)), key=lambda k: (text[at[k] : at[k] + 60], k))
