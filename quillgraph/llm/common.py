@@ -177,10 +177,19 @@ def batches(rows: pa.Table | None, schema: pa.Schema, most: int = 50_000) -> Ite
         yield from rows.cast(schema).to_batches(max_chunksize=most)
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for k in range(n):
+        name = f"extra{k}"
+        while name in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is not in ``gone(id)``, whatever their columns are called; null ids stay."""
-    name = "gone"
-    while name in docs.columns:
-        name = "_" + name
+    (name,) = fresh_names(docs, 1)
     there = gone.select(F.col("id").alias(name)).distinct()
     return docs.join(there, docs[id_col].cast("long") == F.col(name), "left_anti")

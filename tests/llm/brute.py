@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -50,6 +52,46 @@ def similar(docs, least=0.8):
     return components(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
 
 
+def importance_weights(docs, good, shrink, dead_zone, deviations):
+    """{id: log importance weight} over distinct words and pairs of words; large groups of one signature count once."""
+    from quillgraph.llm import quality
+
+    grams, signs = {}, {}
+    for i, text in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w, _ in _words(low)]
+        grams[i] = (set(words), set(zip(words, words[1:])))
+        data = (text or "").encode()
+        h, doc = quality.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        signs.setdefault(int(quality.signatures(h, doc, 1)[0]), []).append(i)
+    counted = set()
+    for mine in signs.values():
+        large = len(mine) >= max(2.0, 2 * len(docs) / len(good))
+        counted |= {min(mine, key=lambda i: (i not in good, i))} if large else set(mine)
+    out = dict.fromkeys(grams, 0.0)
+    for kind in (0, 1):
+        raw, target = Counter(), Counter()
+        for i in counted:
+            raw.update(grams[i][kind])
+            target.update(grams[i][kind] if i in good else ())
+        share = sum(target.values()) / sum(raw.values())
+        ratio = {}
+        for g, n in raw.items():
+            r, expected = np.log((target[g] + shrink) / (n * share + shrink)), n * share
+            if abs(r) > dead_zone and abs(expected - target[g]) > deviations * np.sqrt(expected + 1):
+                ratio[g] = r
+        for i, x in grams.items():
+            out[i] += sum(ratio.get(g, 0.0) for g in x[kind])
+    return out
+
+
+def _words(text):
+    """(word, kind) of runs of one kind: letters, digits and other scripts; other signs."""
+    data = text.encode()
+    kind = lambda c: 0 if chr(c) in " \t\n\r\x0b\x0c" else 1 if c >= 128 or chr(c).isalnum() else 2
+    return [(bytes(x), k) for k, x in itertools.groupby(data, kind) if k]
+
+
 def secrets(text):
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]

@@ -140,17 +140,42 @@ def test_quality_edges(spark, docs, empty):
     assert quality.keep_good(empty, labels).count() == 0
 
 
-def test_quality_copies_of_one_rejected_text_silence_no_word(spark):
+def test_quality_copies_count_once(spark):
+    """Words that many rejected texts share tell; those of one text with a vast number of copies do not, whether labelled or not."""
     rng = np.random.default_rng(31)
     text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 40))
     bad = [f"{text()} dreadful {text()}" for _ in range(124)]
-    rows = [(k, t) for k, t in enumerate([text() for _ in range(1500)] + bad + [bad[0] + " peculiar"] * 600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    good, rejected = np.arange(1500), np.arange(1500, len(rows))
-    ratio = quality.ratios(docs, good, rejected, "doc_id", "text")
-    for word, judged in (("dreadful", True), ("peculiar", False)):  # the second stands in one text and its copies only
-        one, two, _, _ = quality.features(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), quality.BUCKETS)
-        assert (max(ratio[one[0]], ratio[two[0]]) < 0) == judged
+    rows = [(k, t) for k, t in enumerate([text() for _ in range(1500)] + bad + [text() + " peculiar"] * 900)]
+    ratio = quality.log_ratios(quality.counts(spark.createDataFrame(rows, "doc_id long, text string"), np.arange(1500), "doc_id", "text"))
+    for word, judged in (("dreadful", True), ("peculiar", False)):
+        h, doc = quality.words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+        assert (quality.weights(h, doc, 1, ratio)[0] < 0) == judged
+
+
+def test_quality_against_plain_counts(spark, docs, texts):
+    """Counts, weights and the sample against dictionaries of whole words, without buckets."""
+    short = [(i, (t or "")[:200]) for i, t in texts]
+    good = np.array(sorted(i for i, _ in short)[::2])
+    ratio = quality.log_ratios(quality.counts(spark.createDataFrame(short, "doc_id long, text string"), good, "doc_id", "text"), dead_zone=0.1, deviations=0.5)
+    want = brute.importance_weights(short, set(good.tolist()), 2.0, 0.1, 0.5)
+    got = {}
+    for i, t in short:
+        data = t.encode()
+        got[i] = quality.weights(*quality.words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 1, ratio)[0]
+    assert np.std(list(want.values())) > 0.5
+    assert np.corrcoef([got[i] for i in want], [want[i] for i in want])[0, 1] > 0.99  # some n-grams share buckets
+    labels = spark.createDataFrame([(int(i), int(i in set(good.tolist())), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    _, least, scores = quality.fit(docs, labels, k=30)
+    keys = sorted((r["__key"] for r in scores.collect()), reverse=True)
+    assert least == keys[29]
+
+
+def test_quality_clashing_columns(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(1, "a good text", 5, 6, 7), (2, "bad bad ###", 5, 6, 7), (2, "bad bad ###", 5, 6, 7), (3, None, 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key int, __log_weight int, extra0 int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["__key"] for r in kept.collect()} == {5}
 
 
 def test_kth_largest(spark):
