@@ -1,20 +1,21 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Lines (split at newlines, compared without surrounding white space) are hashed. Overlapping documents are found through shared runs of
-lines: each line, each 2, 4, 8, .. lines in a row and each whole run of lines that other documents hold is linked to the earliest document that has it, a star
-per run, so no line is too common to be followed. (A whole copy is thereby aligned with its original or an equal of it, wherever its single
-lines stand first; a passage with the earliest holder of each of its windows. Documents that are the earliest holder of none of these are not aligned.) Each pair is aligned over all its common lines
+Lines (split at newlines, compared without surrounding white space) are hashed. Overlapping documents are found through shared line hashes. A rare line, one that stands
+at ``RARE`` places at most, pairs all documents that have it. Commoner lines would pair a group with itself, so each of them, each 2, 4, 8, .. shared
+lines in a row and each whole run of shared lines is linked to the earliest document that has it, a star
+per run: no line is too common to be followed. (A whole copy is thereby aligned with its original or an equal of it, wherever its single
+lines stand first; a passage with the earliest holder of each of its windows. A passage that is pieced together of common lines, no two of which stand together in the partner, may stay.) Each pair is aligned over all its common lines,
+which are equal in 128 bits of two hashes,
 by patience diff: equal lines at both ends align, then lines that occur once on both sides are anchors, the longest run of anchors in the same order on both sides stays
 (found by patience sorting), and the ranges between them are aligned likewise. Aligned blocks of neighbouring lines with ``least_words`` words or more are deleted from the later document.
 
 "Earlier" is by id. A document's own repeated lines stay. Lines of white space never match and part no block; those
-within a deleted block go with it. Rows: null text is empty; null ids take no part; rows of one id are the same document (its lines are taken from all of its rows, so texts of
-one id should agree); extra columns are kept.
+within a deleted block go with it. Ties: of pairs with equally rare lines the smaller id is aligned first; which pair deletes a line changes no result. Rows: null text is empty; null ids take no part; rows of one id are the same document (its lines are taken from all of its rows, so texts of
+one id should agree); extra columns are kept whatever their names. A document's shared lines are aligned in one task; its text is held by one task at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -25,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, staged, tasks_of, text_column, tidy
+from .common import fresh_names, mix, staged, tasks_of, text_column, tidy
 
 LEAST_WORDS = 5
+#: Places of a line up to which it pairs all its documents: a bound of the pairs of one line, not of what is found; commoner lines link to their first.
+RARE = 4
+EXTRA = ("__n_lines", "__n_gone", "__partners")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos int, at int, h long, words int) of each line that is not blank: its number among these, and among all lines."""
+    """(id, pos int, at int, h long, g long, words int) of each line that is not blank: its number among these, and among all lines."""
     bare = F.transform(F.split(text_column(docs, text_col), "\n"), lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
     each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.filter(bare, lambda x: x["line"] != "")).alias("pos", "x"))
-    return each.select("id", "pos", "x.at", F.xxhash64("x.line").alias("h"), F.size(F.split("x.line", r"\s+")).alias("words")).distinct()
+    return each.select("id", "pos", "x.at", F.xxhash64("x.line").alias("h"), F.xxhash64(F.lit(7), "x.line").alias("g"), F.size(F.split("x.line", r"\s+")).alias("words")).distinct()
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -97,7 +101,7 @@ def windows(run: np.ndarray) -> np.ndarray:
 
 
 def pairs(shared: DataFrame, tasks: int) -> DataFrame:
-    """(id, a): each document with the earliest holders of its runs of shared lines."""
+    """(id, a): each document with the earliest holders of its runs of shared lines, and with all earlier holders of its rare lines."""
 
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +123,22 @@ def pairs(shared: DataFrame, tasks: int) -> DataFrame:
     ordered = shared.select("id", "pos", "h").repartition(tasks, "id").sortWithinPartitions("id", "pos")
     each = staged(ordered.mapInArrow(run, "id long, key long"), "windows")
     first = each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    return each.join(first, "key").where("id > a").select("id", "a").distinct()
+    stars = each.join(first, "key").where("id > a").select("id", "a")
+    rare = shared.where(F.col("n") <= RARE).select("id", "h", "g").distinct()
+    close = rare.join(rare.withColumnRenamed("id", "a"), ["h", "g"]).where("id > a").select("id", "a")
+    return stars.union(close).distinct()
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, gone array<int>, partners int): the lines to delete of each document that loses some."""
     each = staged(lines(docs, id_col, text_col), "lines")
-    multi = each.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "n")
-    shared = staged(each.join(multi, "h").select("id", "pos", "at", "h", "words", "n"), "shared")
+    multi = each.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "g", "n")
+    shared = staged(each.join(multi, ["h", "g"]).select("id", "pos", "at", "h", "g", "words", "n"), "shared")
     tasks = tasks_of(shared.count(), 200_000)
     found = staged(pairs(shared, tasks), "pairs")
-    held = staged(shared.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "at")).alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
-    theirs = held.select(F.col("id").alias("a"), "h", F.col("pos.pos").alias("there"))
-    both = found.join(held, "id").join(theirs, ["a", "h"]).select("id", "a", "h", F.col("pos.pos").alias("pos"), F.col("pos.at").alias("at"), "there", "words", "n")
+    held = staged(shared.groupBy("id", "h", "g").agg(F.collect_list(F.struct("pos", "at")).alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
+    theirs = held.select(F.col("id").alias("a"), "h", "g", F.col("pos.pos").alias("there"))
+    both = found.join(held, "id").join(theirs, ["a", "h", "g"]).select("id", "a", "h", F.col("pos.pos").alias("pos"), F.col("pos.at").alias("at"), "there", "words", "n")
 
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +197,14 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return ordered.mapInArrow(run, "id long, gone array<int>, partners int")
 
 
-def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the text cut, and __n_lines, __n_gone, __partners."""
+def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, extra: tuple[str, str, str] = EXTRA) -> DataFrame:
+    """``docs`` with the text cut, and the numbers of lines, of lines gone and of partners under the names ``extra``."""
     found = staged(deletions(docs, id_col, text_col, least_words), "deletions")
     names = docs.columns
     at = names.index(text_col)
     plain = docs.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), F.col(id_col).cast("long").alias("__id"))
     both = plain.join(found.withColumnRenamed("id", "__id").hint("merge"), "__id", "left").drop("__id")  # the same plan at every size: deletions grow with the data
-    schema = T.StructType([*(T.StructField(f"__c{i}", docs.schema[c].dataType if c != text_col else T.StringType()) for i, c in enumerate(names)), T.StructField("__n_lines", T.LongType()), T.StructField("__n_gone", T.LongType()), T.StructField("__partners", T.IntegerType())])
+    schema = T.StructType([*(T.StructField(f"__c{i}", docs.schema[c].dataType if c != text_col else T.StringType()) for i, c in enumerate(names)), *(T.StructField(c, T.LongType()) for c in EXTRA)])
 
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,18 +218,16 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 n_gone.append(len(gone))
                 texts.append("\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text)
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), b.column("partners").fill_null(0)], schema.names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), b.column("partners").fill_null(0).cast(pa.int64())], schema.names)
 
-    return both.mapInArrow(run, schema).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)), "__n_lines", "__n_gone", "__partners")
+    return both.mapInArrow(run, schema).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)), *(F.col(c).alias(x) for c, x in zip(EXTRA, extra, strict=True)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, n_chars_col: str | None = None) -> DataFrame:
     """The documents with aligned common blocks deleted; those left without any word by that go. ``n_chars_col`` is set anew where lines went."""
-    out = rewritten(docs, id_col, text_col, least_words)
+    extra = fresh_names(docs, 3)
+    gone = F.col(extra[1])
+    out = rewritten(docs, id_col, text_col, least_words, extra)
     if n_chars_col and n_chars_col in docs.columns:
-        out = out.withColumn(n_chars_col, F.when(F.col("__n_gone") > 0, F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
-    return out.where((F.col("__n_gone") == 0) | F.col(text_col).rlike(r"\S")).select(*docs.columns)
-
-
-def sha256_of(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
+        out = out.withColumn(n_chars_col, F.when(gone > 0, F.length(text_col).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col)))
+    return out.where((gone == 0) | F.col(text_col).rlike(r"\S")).select(*(F.col(f"`{c}`") for c in docs.columns))

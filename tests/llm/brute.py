@@ -152,6 +152,25 @@ def line_dedup(docs):
     return {i: x for i, x in out.items() if x}
 
 
+def line_deletions(docs, least_words=5):
+    """{id: numbers of the lines to delete} over all pairs of documents."""
+    lines = {i: [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()] for i, t in docs}
+    sets = {i: {x for _, x in mine} for i, mine in lines.items()}
+    out = {}
+    for i, mine in lines.items():
+        gone = set()
+        for j in lines:
+            if j < i and (both := sets[i] & sets[j]):
+                at = [k for k, (_, x) in enumerate(mine) if x in both]
+                gone |= {at[k] for k in patience([mine[k][1] for k in at], [x for _, x in lines[j] if x in both])}
+        out[i] = set()
+        for _, block in itertools.groupby(enumerate(sorted(gone)), lambda p: p[1] - p[0]):
+            block = [p for _, p in block]
+            if sum(len(mine[p][1].split()) for p in block) >= least_words:
+                out[i] |= set(range(mine[block[0]][0], mine[block[-1]][0] + 1))
+    return out
+
+
 def embeddings(rows, threshold=0.93):
     """{id: (n_links, component)} for distinct ids."""
     ok = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
