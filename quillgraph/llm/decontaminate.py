@@ -1,24 +1,27 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters, digits and other scripts' characters, ASCII lower-cased. Every window of ``least_match`` words of a benchmark
+Words are runs of letters, digits and other scripts' characters, ASCII lower-cased; in scripts written without spaces each character is a word. Every window of ``least_match`` words of a benchmark
 item is a seed. Document windows that equal a seed are found by hash; the stretches of a document that seeds cover are then tiled
 against the item: running Karp-Rabin windows find the longest matches of words not yet marked, which are marked longest first and never overlap, at ever
-shorter window lengths down to ``least_match``. A document is contaminated by an item if the tiles cover ``threshold`` of the item's words, in whatever order they stand.
+shorter window lengths down to ``least_match``; of equally long ones that which stands first in the item, then in the document. A document is contaminated by an item if the tiles cover ``threshold`` of the item's words, in whatever order they stand.
+Words are equal where 61 bits of their hashes are.
 
-The benchmark is the query set and goes to all executors in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block:
-what is sent at once does not grow with it, and neither documents nor their windows are shuffled. Candidates are not capped.
+The benchmark is the query set and goes to all executors in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block. Of several blocks each is collected, sent, used, written and dropped
+before the next, so what the driver and executors hold does not grow with the benchmark; neither documents nor their windows are shuffled. Candidates are not capped.
 
-Rows: null or empty texts match nothing; items of fewer than ``least_match`` words are never reported; repeated documents and items each get
-their own rows; a null id keeps its rows.
+Rows: null or empty texts match nothing; items of fewer than ``least_match`` words are never reported (they stand in too many clean documents); repeated documents and items each get
+their own rows; a null id keeps its rows; very long texts are read whole, a slice of ``CHUNK_BYTES`` or one text at a time; extra columns, whatever their names, are ignored and kept by :func:`keep_uncontaminated`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +46,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     letter = np.concatenate([[False], _LETTER[data], [False]])
     edge = letter[1:] != letter[:-1]
     inner = bounds[1:-1]
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))  # U+3000 to U+9FFF
+    inner = np.concatenate([inner, lead, lead + 3])
     inner = inner[(inner > 0) & (inner < len(data))]
-    cut = inner[letter[inner] & letter[inner + 1]]  # a text's last and the next one's first word touch
+    cut = inner[letter[inner] & letter[inner + 1]]  # a text's last and the next one's first word touch, or two characters that are words
     start = np.flatnonzero(edge & letter[1:])
     end = np.flatnonzero(edge & letter[:-1])
     if len(cut):
@@ -111,9 +116,11 @@ def greedy_tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int,
         if longest > 2 * size:
             size = longest
             continue
-        queue = sorted(found, key=lambda m: (-m[0], m[1], m[2]))
+        queue = [(-n, i, j) for n, i, j in found]
+        heapify(queue)
         while queue:
-            n, i, j = queue.pop(0)
+            n, i, j = heappop(queue)
+            n = -n
             free = 0  # the part of the match that is not marked since
             while free < n and not in_item[i + free] and not in_doc[j + free]:
                 free += 1
@@ -121,8 +128,9 @@ def greedy_tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int,
                 rest = free + 1
                 while rest < n and (in_item[i + rest] or in_doc[j + rest]):
                     rest += 1
-                left = [(m, i + s, j + s) for s, m in ((0, free), (rest, n - rest)) if m >= size]
-                queue = sorted(queue + left, key=lambda m: (-m[0], m[1], m[2]))
+                for s, m in ((0, free), (rest, n - rest)):
+                    if m >= size:
+                        heappush(queue, (-m, i + s, j + s))
                 continue
             in_item[i : i + n] = in_doc[j : j + n] = [True] * n
             tiles.append((i, j, n))
@@ -165,13 +173,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     parts = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
-        rows = sorted(((r["item"], r["t"].encode()) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r))
-        parts.append(_against(given, Block(rows, least), least, threshold))
+        rows = sorted(((r["item"], r["t"].encode()) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r))  # BLOCK_BYTES at most
+        sent = docs.sparkSession.sparkContext.broadcast(Block(rows, least))
+        found = _against(given, sent, least, threshold)
+        if blocks > 1:
+            found = staged(found, "contaminations")
+            sent.destroy()
+        parts.append(found)
     return reduce(DataFrame.unionAll, parts)
 
 
-def _against(given: DataFrame, block: Block, least: int, threshold: float) -> DataFrame:
-    sent = given.sparkSession.sparkContext.broadcast(block)
+def _against(given: DataFrame, sent: Broadcast, least: int, threshold: float) -> DataFrame:
     kind = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("words", pa.int32())]))), ("covered", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64())])
 
     @tidy

@@ -171,6 +171,25 @@ def line_deletions(docs, least_words=5):
     return out
 
 
+def tiles(item, doc, least):
+    """Greedy tiling by trying every pair of places again after each tile."""
+    in_item, in_doc, out = [False] * len(item), [w is None for w in doc], []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and not in_item[i + n] and not in_doc[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        i, j, n = best
+        if n < least:
+            return out
+        in_item[i : i + n] = in_doc[j : j + n] = [True] * n
+        out.append(best)
+
+
 def embeddings(rows, threshold=0.93):
     """{id: (n_links, component)} for distinct ids."""
     ok = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]

@@ -205,6 +205,49 @@ def test_greedy_tiles_by_hand():
     assert decontaminate.greedy_tiles([1, 2, 3], [1, 2, 8, 3], 3) == []
 
 
+def test_greedy_tiles_against_brute_force():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        item, doc = (rng.integers(1, 5, rng.integers(3, 40)).tolist() for _ in range(2))
+        assert decontaminate.greedy_tiles(item, doc, 3) == brute.tiles(item, doc, 3)
+
+
+def test_contaminations_against_brute_force(spark, monkeypatch):
+    """Every document against every item, without seeds; in one block and in several."""
+    rng = np.random.default_rng(15)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 30, n)]
+    items = [(k, word(rng.integers(4, 25))) for k in range(12)]
+    docs = []
+    for d in range(60):
+        parts = [word(6)]
+        for k in rng.integers(0, 12, 2):
+            a = rng.integers(0, 12)
+            parts += [items[k][1][a:], items[k][1][:a], word(3)]
+        docs.append((d, [w for p in parts for w in p]))
+    want = {}
+    for d, text in docs:
+        for k, item in items:
+            covered = sum(n for _, _, n in brute.tiles(item, text, 5))
+            if covered and covered >= 0.5 * len(item):
+                want[d, k] = covered
+    assert len(want) > 20
+    given = spark.createDataFrame([(d, " ".join(t), 1, 2) for d, t in docs], "doc_id long, text string, item int, covered int")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    for most in (decontaminate.BLOCK_BYTES, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", most)
+        found = decontaminate.contaminations(given, bench).collect()
+        assert len(found) == len(want) and {(r.id, r.item): r.covered for r in found} == want
+    kept = decontaminate.keep_uncontaminated(given, bench)
+    assert kept.columns == given.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_characters_are_words_in_scripts_without_spaces(spark):
+    item = "床前明月光疑是地上霜"
+    docs = spark.createDataFrame([(1, "他念：" + item + "。"), (2, "床前明月"), (3, "疑是地上霜，床前明月光")], "doc_id long, text string")
+    found = {r.id: (r.covered, r.item_words) for r in decontaminate.contaminations(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found == {1: (10, 10), 3: (10, 10)}
+
+
 def test_token_counts(docs, texts, empty):
     import sentencepiece
 
