@@ -10,8 +10,11 @@ at the threshold itself meets in one of the tables with probability ``recall`` o
 Buckets over ``BLOCK`` rows are dealt as pairs of blocks to many tasks; links of a task are counted and joined there, so output is linear in
 the vectors, not in the pairs.
 
+Full vectors (in the column's own precision) travel to the tables beside their codes: the links of a group of n near copies are n * (n - 1) / 2 pairs, which are counted where they meet and never
+become rows that vectors are fetched for.
+
 Rows that link with nothing: null labels, null ids, vectors that are null, empty, zero, or hold null or non-finite components. Vectors of
-different length never link. Repeated rows are other vectors like any copy.
+different length never link. Repeated rows are other vectors like any copy; rows of one id count as so many vectors, of which the id names each. A pair at the threshold itself links. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import find_roots, staged, tasks_of, tidy
 from .components import connected_components
@@ -79,6 +83,8 @@ def _linked(v: np.ndarray, norm: np.ndarray, c: tuple[np.ndarray, ...], a: slice
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per vector: (id long, n_links long, component_id long)."""
+    element = vectors.schema[vector_col].dataType.elementType
+    single = isinstance(element, (T.FloatType, T.ByteType, T.ShortType))  # sent as four bytes a component, without loss
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
@@ -98,6 +104,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             lists = b.column("v")
             dims = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sent = flat.astype(np.float32) if single else flat
             starts = np.concatenate([[0], np.cumsum(dims)])
             buckets = np.zeros((b.num_rows, tables), np.int32)
             for d in np.unique(dims):
@@ -108,7 +115,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 x = flat[starts[mine][:, None] + np.arange(d)]
                 signs = (x @ turns[d].T >= 0).reshape(len(mine), tables, bits)
                 buckets[mine] = signs @ (1 << np.arange(bits)) if bits else 0
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "label", "n")), pa.array(dims.astype(np.int32)), pa.array([flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in buckets], pa.binary()), pa.array(list(buckets), pa.list_(pa.int32()))], ["key", "label", "n", "dim", "v", "codes", "buckets"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "label", "n")), pa.array(dims.astype(np.int32)), pa.array([sent[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary()), pa.array([r.tobytes() for r in buckets], pa.binary()), pa.array(list(buckets), pa.list_(pa.int32()))], ["key", "label", "n", "dim", "v", "codes", "buckets"])
 
     hashed = staged(unique.select("key", "label", "n", "v").mapInArrow(hash_, "key long, label string, n long, dim int, v binary, codes binary, buckets array<int>"), "hashed")
     where = ["label", "dim", "tbl", "bucket"]
@@ -132,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             members.sort(key=lambda m: (m[4], m[0]))
             keys, counts = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
             side = np.array([m[4] for m in members])
-            vec = np.frombuffer(b"".join(m[2] for m in members), np.float64).reshape(-1, dim)
+            vec = np.frombuffer(b"".join(m[2] for m in members), np.float32 if single else np.float64).astype(np.float64).reshape(-1, dim)
             code = np.frombuffer(b"".join(m[3] for m in members), np.int32).reshape(-1, tables)
             norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
             with np.errstate(all="ignore"):
