@@ -1,12 +1,14 @@
 """Secret scan by assignment-aware lexing.
 
-Three base patterns find token-shaped strings. Beside them the text is lexed as source or configuration:
-``name = literal``, ``name: literal`` and JSON keys become name-literal pairs; a name that is given a constant's
-name takes the constant's literal (propagated through chains, literals joined by ``+`` included); literals are scored by how
+Three base patterns find token-shaped strings. Beside them the text is lexed as source or configuration, and parsed into name-literal pairs: ``name = value``, ``name := value``, ``name: value``,
+``name: type = value``, quoted keys (JSON, YAML, maps, subscripts), ``set("name", value)``, ``setName("value")``, XML elements and ``key``/``value`` attributes. A value is a string
+(with prefixes, triple quotes or backquotes, adjacent ones and those joined by ``+`` put together), the string arguments of a call, alternatives after ``or``, ``||`` and ``??``, a bare word of a configuration
+line, or the name of a constant. Constants may be defined before or after their use, through chains: a name takes the literals of the definition that last stands before it, else of the first after it.
+An identifier is never a literal: a call's or a dotted path's name marks nothing, and what a getter is asked for is a name. Literals are scored by how
 sensitive the target name is and how much they look like a value someone generated. A literal that scores enough is a span of kind ``literal``.
 
-Spans are code points, end exclusive, over the whole text; per kind leftmost and without overlap. Null text is empty: no
-spans. Repeated rows get equal results, extra columns are ignored.
+Spans are code points, end exclusive, over the whole text; per kind leftmost and without overlap (of literals that begin together the longest). Null text is empty: no
+spans. Null ids keep their rows, repeated rows get equal results, extra columns, whatever their names, are ignored. A text is lexed whole by one task, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,9 +36,22 @@ NAME_WEIGHT = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "p
 #: Names that are sensitive as a whole, however they are joined.
 KEY_NAMES = ("apikey", "accesskey", "privatekey", "secretkey", "signingkey", "authtoken", "accesstoken")
 LEAST_SCORE, LEAST_LITERAL = 0.8, 8
-_PAIR = re.compile(r"""(?<![\w.\-])["']?([A-Za-z_][\w.\-]{0,127})["']?[ \t]*(?::=|=>|[:=])(?!=)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]]+))""", re.ASCII)
-_MORE = re.compile(r"""[ \t]*\+[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_]\w*))""", re.ASCII)
-_NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.ASCII)
+_WORDS = r"[A-Za-z_$][\w$]*+(?:[.\-][\w$]++)*+"
+#: A name and what makes it the target of a value.
+_SITE = re.compile(rf"""(?<![\w$.\-])(?:({_WORDS})[ \t]*(?::=|=>|=(?![=~])|:(?![:/])|(\()(?=[ \t]*["'`]))|(["'`])({_WORDS})\3[ \t]*(?:\][ \t]*)?(?::=|=>|=(?!=)|:(?!:)|,))""", re.ASCII)
+_TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.]*+(?:\[[^\]\n]*+\]|<[^>\n]*+>)?\??[ \t]*=(?!=)", re.ASCII)
+_STRING = re.compile(
+    r"[rRbBuUfF]{0,2}(?:"
+    r'"""((?:[^"\\]|\\.|"(?!""))*+)"""|' + r"\'\'\'((?:[^'\\]|\\.|'(?!''))*+)\'\'\'|"
+    r'"((?:[^"\\\n]|\\[^\n])*+)"|' + r"'((?:[^'\\\n]|\\[^\n])*+)'|`((?:[^`\\]|\\.)*+)`)",
+    re.DOTALL,
+)
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+_JOIN, _OTHERWISE, _GAP = re.compile(r"[ \t]*\+[ \t]*"), re.compile(r"[ \t]*(?:\|\||\?\?|or\b)[ \t]*"), re.compile(r"[ \t]*")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z", re.ASCII)
+_GETTER = re.compile(r"(?i)(?:get|env|environ|getenv|lookup|fetch|read|load|find|config|property)\w*\Z")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>\s*([^<>\s]++)\s*</\1>", re.ASCII)
+_ATTRIBUTES = re.compile(r"""\b(?:name|key|id)\s*=\s*(["'])([\w.\-]++)\1\s+value\s*=\s*(["'])([^"'\n]*+)\3""", re.ASCII)
 _PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|change.?me|example|placeholder|your[_-]|<.*>|\$\{|%\(|redacted|\A(none|null|true|false|undefined)\Z")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -58,27 +74,135 @@ def likeness(literal: str) -> float:
     return min(1.0, bits / 3.5) * min(1.0, 0.4 + 0.3 * classes)
 
 
+#: A part of a value: the span of a literal, or the name of a constant.
+Part = tuple[int, int] | str
+
+
+def _call(text: str, at: int, getter: bool) -> tuple[list[list[Part]], int]:
+    """Values of the string arguments of a call whose parenthesis stands at ``at``, and where it ends; a getter's first argument is a name."""
+    out: list[list[Part]] = []
+    depth, argument, i = 0, 0, at
+    while i < len(text):
+        c = text[i]
+        if c in "\"'`" and (m := _STRING.match(text, i)):
+            if not (getter and depth == 1 and argument == 0):
+                out.append([m.span(m.lastindex)])
+            i = m.end()
+            continue
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth <= 0:
+                return out, i + 1
+        elif c == "," and depth == 1:
+            argument += 1
+        elif c == "\n" and depth == 1 and text.startswith("\n\n", i):
+            break  # a parenthesis that is not closed
+        i += 1
+    return out, i
+
+
+def _values(text: str, at: int) -> tuple[list[list[Part]], int]:
+    """The values that may stand at ``at``, each a list of parts that belong together, and where they end."""
+    out: list[list[Part]] = []
+    while True:
+        parts: list[Part] = []
+        while True:
+            at = _GAP.match(text, at).end()
+            if m := _STRING.match(text, at):
+                parts.append(m.span(m.lastindex))
+                at = m.end()
+                follows = _GAP.match(text, at).end()
+                if follows < len(text) and text[follows] in "\"'" and follows > at:
+                    continue  # adjacent strings
+            elif m := _BARE.match(text, at):
+                end = m.end()
+                word = m[0]
+                if word.endswith("+") and text[end : end + 1] in ("'", '"'):
+                    word, end = word[:-1], end - 1
+                if text[end : end + 1] == "(":
+                    found, at = _call(text, end, bool(_GETTER.search(word)))
+                    out += found
+                elif text[end : end + 1] == "[" and _NAME.match(word):
+                    at = end
+                elif _NAME.match(word):
+                    parts.append(word)
+                    at = end
+                else:
+                    parts.append((at, end))
+                    at = end
+            if not (m := _JOIN.match(text, at)):
+                break
+            at = m.end()
+        if parts:
+            out.append(parts)
+        if not (m := _OTHERWISE.match(text, at)):
+            return out, at
+        at = m.end()
+
+
+def pairs(text: str) -> list[tuple[str, int, list[list[Part]], tuple[int, int] | None]]:
+    """(name, place, values, span of the value if it is one bare word) of each name that is given a value."""
+    out, at = [], 0
+    while m := _SITE.search(text, at):
+        name, begin = m[1] or m[4], m.end()
+        at = begin
+        if m[2]:  # a call by a telling name
+            values, _ = _call(text, begin - 1, bool(_GETTER.search(name)))
+        else:
+            if text[begin - 1] == ":" and (t := _TYPE.match(text, begin)):
+                begin = at = t.end()
+            values, end = _values(text, begin)
+            if values and all(isinstance(p, tuple) for v in values for p in v) and end > at and text[begin:end].strip()[:1] in ("'", '"', "`"):
+                at = end  # nothing is assigned within strings
+        word = values[0][0] if len(values) == 1 and len(values[0]) == 1 and isinstance(values[0][0], str) else None
+        bare = None
+        if word:
+            start = text.index(word, begin)
+            bare = (start, start + len(word))
+        out.append((name, m.start(), values, bare))
+    if "</" in text:
+        out += [(m[1], m.start(), [[m.span(2)]], None) for m in _ELEMENT.finditer(text)]
+    if "value" in text:
+        out += [(m[2], m.start(), [[m.span(4)]], None) for m in _ATTRIBUTES.finditer(text)]
+    return out
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals, at their definitions, that reach sensitive names."""
-    bound: dict[str, list[tuple[int, int]]] = {}  # name -> spans of the literal parts it holds now
+    given = pairs(text)
+    defined: dict[str, list[tuple[int, list[list[Part]]]]] = {}
+    for name, place, values, _ in sorted(given, key=lambda x: x[1]):
+        for known in {name, name.rpartition(".")[2]}:
+            defined.setdefault(known, []).append((place, values))
+
+    def resolved(parts: list[Part], place: int) -> list[tuple[int, int]]:
+        spans, todo, seen = [], [(p, place) for p in reversed(parts)], set()
+        while todo:
+            part, here = todo.pop()
+            if isinstance(part, tuple):
+                spans.append(part)
+                continue
+            known = defined.get(part) or defined.get(part.rpartition(".")[2]) or []
+            k = bisect_left(known, here, key=lambda d: d[0]) - 1
+            if known and (part, k) not in seen:
+                seen.add((part, k))
+                where, values = known[max(k, 0)]
+                todo += [(p, where) for v in reversed(values) for p in reversed(v)]
+        return spans
+
     found: set[tuple[int, int]] = set()
-    for m in _PAIR.finditer(text):
-        group = m.lastindex
-        value, parts = m[group], [m.span(group)]
-        if group == 4 and _NAME.match(value):
-            known = bound.get(value) or bound.get(value.rpartition(".")[2])
-            parts = known or parts
-        at = m.end()
-        while more := _MORE.match(text, at):
-            k = more.lastindex
-            parts = parts + (bound.get(more[k], []) if k == 3 else [more.span(k)])
-            at = more.end()
-        name = m[1]
-        bound[name] = bound[name.rpartition(".")[2]] = parts
-        literal = "".join(text[s:e] for s, e in parts)
+    for name, place, values, bare in given:
         weight = sensitivity(name)
-        if weight and weight * likeness(literal) >= LEAST_SCORE:
-            found.update((s, e) for s, e in parts if e > s)
+        if not weight:
+            continue
+        for parts in values:
+            spans = resolved(parts, place)
+            if not spans and bare and "." not in parts[0] and not any(p in defined for p in parts) and _ends_line(text, bare[1]):
+                spans = [bare]  # a bare word of a configuration, not a constant's name
+            if weight * likeness("".join(text[s:e] for s, e in spans)) >= LEAST_SCORE:
+                found.update((s, e) for s, e in spans if e > s)
     out: list[tuple[int, int]] = []
     for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or s >= out[-1][1]:
@@ -86,6 +210,11 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ends_line(text: str, at: int) -> bool:
+    """Whether nothing of an expression follows: white space, a separator or a comment."""
+    return at >= len(text) or text[at] in " \t\r\n,}]#"
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as in KINDS."""
     spans: list[tuple[int, int, int]] = []

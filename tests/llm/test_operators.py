@@ -113,6 +113,47 @@ def test_assignments(text, want):
     assert [text[s:e] for s, e in secret_scan.literal_spans(text)] == want
 
 
+V = "q8W-e7R6t5Y4u3"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'password = """{V}"""',
+        f"secret = `{V}`",
+        f'token = f"{V}"',
+        f'TOKEN: string = "{V}"',
+        f'const TOKEN: Optional[str] = "{V}";',
+        f'char* db_password = "{V}";',
+        f'config["password"] = "{V}"',
+        f'os.environ.get("API_TOKEN", "{V}")',
+        f'props.put("api.key", "{V}");',
+        f'client.setPassword("{V}")',
+        f"<password>{V}</password>",
+        f'<add key="db-secret" value="{V}"/>',
+        f'secret = base64.b64decode("{V}")',
+        f'password = os.getenv("DB") or "{V}"',
+        f'let token = process.env.X || "{V}"',
+        f"password = KEY\nKEY = '{V}'",
+        f"a = '{V}'\nb = a\nc = b\nself.token = conf.c",
+        f'{{"a": 1, "access_token" : "{V}"}}',
+        f"{{'secret' => '{V}'}}",
+        f"export AUTH_TOKEN={V}",
+        f"password: {V} # of the test machine",
+        f'{"very_" * 60}long_password = "{V}"',
+        f"secret := '{V[:6]}' + \"{V[6:]}\"",
+        f"secret = '{V[:6]}' '{V[6:]}'",
+    ],
+)
+def test_source_and_configuration(text):
+    assert "".join(text[s:e] for s, e in secret_scan.literal_spans(text)) == V
+
+
+@pytest.mark.parametrize("text", ['secret = base64.b64decode(data)', "token = settings.Token8Name9x", 'password = os.environ["Xy7-abcDEF12"]', 'key = get("Token8-Name9x")', "token == 'q8W-e7R6t5Y4u3'", f"note = '{V}'", "password = a\na = password", "token: https://Host8.example/Ab9", 'password = "', "(" * 5000, "a-" * 50_000, "token = " * 3000])
+def test_what_is_no_literal(text):
+    assert secret_scan.literal_spans(text) == []
+
+
 NAMES = ["x-api-key", "api.key", "api-key", "api_key", "apikey", "APIKEY", "signing_key", "signingkey", "signing-key", "pass_key", "passKey", *(n for n, w in secret_scan.NAME_WEIGHT.items() if w >= secret_scan.LEAST_SCORE), *secret_scan.KEY_NAMES]
 
 
