@@ -18,6 +18,11 @@ SCRIPT = {
 }
 
 
+_TO_SIMPLE, _TO_OLD = str.maketrans(SCRIPT), str.maketrans({simple: old for old, simple in SCRIPT.items()})
+#: A text as it is, in simplified and in traditional form; all keep its length.
+CONVERSIONS = (lambda x: x, lambda x: x.translate(_TO_SIMPLE), lambda x: x.translate(_TO_OLD))
+
+
 def local_name_a(iri: Column) -> Column:
     """What follows the last ``#``, ``/`` or ``:``."""
     return F.regexp_extract(iri, r"([^#/:]*)$", 1)
@@ -62,9 +67,15 @@ def contains_any_script(body: Column, name: Column) -> Column:
     return (F.instr(body, name) > 0) | (F.instr(to_simplified(body), to_simplified(name)) > 0) | (F.instr(to_traditional(body), to_traditional(name)) > 0)
 
 
-def highlight(body: Column, terms: list[str]) -> Column:
-    """Marks every term in one pass, the longest first, so inserted marks are never matched again."""
-    pattern = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)) if t)
+def script_variants(term: str) -> set[str]:
+    """A term as it is, in simplified and in traditional form."""
+    return {convert(term) for convert in CONVERSIONS}
+
+
+def highlight(body: Column, terms: list[str], scripts: bool = False) -> Column:
+    """Marks every term in one pass, the longest first, so inserted marks are never matched again; with ``scripts`` in all its forms."""
+    every = {v for t in terms for v in (script_variants(t) if scripts else (t,))}
+    pattern = "|".join(re.escape(t) for t in sorted(every, key=lambda t: (-len(t), t)) if t)
     return F.regexp_replace(body, f"({pattern})", "<mark>$1</mark>") if pattern else body
 
 
@@ -78,6 +89,24 @@ def escaped(x: Column) -> Column:
     return x
 
 
+def tooltip(kind: Column, props: Column) -> Column:
+    """The type and each non-blank property of a node, escaped, a line each."""
+    lines = F.transform(F.filter(F.array_sort(F.map_entries(props)), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != ""), lambda e: F.concat(escaped(e["key"]), F.lit(": "), escaped(e["value"])))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("<b>"), escaped(kind), F.lit("</b>"))), lines), "<br>")
+
+
+def display_name(label: Column, props: Column) -> Column:
+    """What a node of the property graph is called, by its label."""
+    # Properties that name a node, and what stands in for them.
+    named = {"Person": (["姓名"], "未知人物"), "Official Position": (["官职名称"], "未知官职"), "ImperialExam": (["考试等级"], "科举"), "Place": (["历史名称", "现代名称"], "未知地点")}
+    out = label
+    for kind, (keys, other) in named.items():
+        values = [F.nullif(F.trim(F.try_element_at(props, F.lit(k))), F.lit("")) for k in keys]
+        out = F.when(label == kind, F.coalesce(*values, F.lit(other))).otherwise(out)
+    content = F.substring(F.trim(F.try_element_at(props, F.lit("content"))), 1, 20)
+    return F.when(label == "Text", F.coalesce(F.nullif(content, F.lit("")), F.lit("文本片段"))).otherwise(out)
+
+
 def without_reasoning(x: Column) -> Column:
     """A model's output without its reasoning and what stands before the first brace."""
     x = F.regexp_replace(x, r"(?s)<think>.*?</think>", "")
@@ -88,9 +117,9 @@ def repaired_json(x: Column) -> Column:
     """Usual faults of model-written JSON mended: byte-order mark, fences, list numbers, missing, doubled and trailing commas."""
     x = F.regexp_replace(x, "^﻿", "")
     x = F.regexp_replace(x, r"(?m)^\s*```\w*\s*$", "")
-    x = F.regexp_replace(x, r"(?m)^\s*\d+[.)]\s*(?=\{)", "")
+    x = F.regexp_replace(x, r"(?m)^\s*\d+\s*[:.)]\s*(?=\{)", "")
     x = F.regexp_replace(x, r"\}\s*(?=\{)", "},")
     x = F.regexp_replace(x, r",\s*,+", ",")
     x = F.regexp_replace(x, r",\s*(?=[\]}])", "")
-    x = F.trim(x)
+    x = F.regexp_replace(F.trim(x), r"\s*,\s*$", "")
     return F.when(x.startswith("{"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)

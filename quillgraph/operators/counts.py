@@ -61,7 +61,34 @@ def yearly_share(people: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("den") > 0, F.col("num") / F.col("den")))
 
 
-def name_lists(marked: DataFrame, by: str, name: str, hit: Column) -> DataFrame:
-    """Sorted, joined names of hits and of the others."""
-    names = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col(name)))), "、")
-    return marked.groupBy(by).agg(names(hit).alias("hits"), names(~hit).alias("misses"))
+def marked_names(people: DataFrame, by: str, name: str, hit: Column) -> DataFrame:
+    """(by, name, hit): a row for each distinct name, hits and others apart, so that no group is held as one value."""
+    return people.select(by, F.col(name).alias("name"), F.coalesce(hit, F.lit(False)).alias("hit")).distinct()
+
+
+def on_axis(axis: DataFrame, domains: list[str], domain: str, counts: DataFrame, on: str, n: str) -> DataFrame:
+    """Each domain with every label of the axis, zero where nothing was counted."""
+    every = axis.select(F.explode(F.array(*(F.lit(d) for d in domains))).alias(domain), on)
+    return every.join(counts, [domain, on], "left").fillna({n: 0}).select(domain, on, n)
+
+
+def per_dimension(holders: DataFrame, positions: DataFrame, dimensions: list[str], key: str = "position_id") -> DataFrame:
+    """(dimension, label, people): distinct holders of the positions that share a label, for every dimension; blank labels do not count.
+
+    ``positions`` has the key and a column for each dimension; all are counted in one pass."""
+    each = positions.select(key, F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.trim(F.col(d)).alias("label")) for d in dimensions))).alias("x")).select(key, "x.*")
+    return people_per(holders.join(each.where("label <> ''"), key), "dimension", "label")
+
+
+def ordered(df: DataFrame, *order: Column | str, most: int | None = None) -> DataFrame:
+    """The first ``most`` rows in the given total order, with their ``place`` from 1.
+
+    A bounded report takes the top of every partition and then numbers ``most`` rows; without a bound the order needs one task, which suits reports after aggregation only."""
+    if most is not None:
+        df = df.orderBy(*order).limit(most)
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def largest(counts: DataFrame, label: str, n: str, most: int) -> DataFrame:
+    """The largest counts, equal ones by label."""
+    return ordered(counts, F.col(n).desc(), F.col(label), most=most)

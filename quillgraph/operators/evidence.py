@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text
 
 
 def provenance_paths(contains: DataFrame, about: DataFrame, derived: DataFrame) -> DataFrame:
@@ -12,44 +18,100 @@ def provenance_paths(contains: DataFrame, about: DataFrame, derived: DataFrame)
     return contains.select("node", "tp").union(by_assertion).distinct()
 
 
-def provenance_groups(rows: DataFrame, src: Column, body: Column, conf: str, items: str) -> DataFrame:
-    """One row per source and body: the numerically largest confidence (non-numbers lose) and the sorted items."""
-    keyed = rows.withColumn("g_src", src).withColumn("g_body", body).withColumn("__n", F.coalesce(F.expr(f"try_cast({conf} as double)"), F.lit(float("-inf"))))
-    return keyed.groupBy("g_src", "g_body").agg(F.max_by(conf, F.struct("__n", conf)).alias("conf"), F.array_join(F.array_sort(F.collect_set(items)), "；").alias("items"))
+def provenance_items(rows: DataFrame, src: Column, body: Column, *items: Column | str) -> DataFrame:
+    """(g_src, g_body, items): a row for each distinct item of a group, whether label, examination or property and value."""
+    return rows.select(src.alias("g_src"), body.alias("g_body"), *items).distinct()
+
+
+def provenance_groups(rows: DataFrame, src: Column, body: Column, conf: str, item: Column | str) -> DataFrame:
+    """One row per source and body (given as they are, or in normal form): the numerically largest confidence (non-numbers lose) and the number of distinct items.
+
+    The items themselves are :func:`provenance_items`: a group may have any number of them."""
+    keyed = rows.select(src.alias("g_src"), body.alias("g_body"), F.col(conf).alias("conf"), (F.col(item) if isinstance(item, str) else item).alias("item"))
+    number = F.coalesce(F.col("conf").try_cast("double"), F.lit(float("-inf")))
+    return keyed.groupBy("g_src", "g_body").agg(F.max(F.when(F.col("conf").isNotNull(), F.struct(number.alias("n"), "conf")))["conf"].alias("conf"), F.countDistinct("item").alias("items"))
+
+
+def groups_with(groups: DataFrame, items: DataFrame, **wanted: str) -> DataFrame:
+    """The groups that have an item with the given values, as chosen by a user."""
+    hits = items
+    for column, value in wanted.items():
+        hits = hits.where(F.col(column) == value)
+    keys = ["g_src", "g_body"]
+    return groups.join(hits.select(*keys).distinct(), keys, "left_semi")
 
 
 def with_fallback(rows: DataFrame, key: str, strict: Column, loose: Column) -> DataFrame:
-    """Rows that pass ``strict``; for keys without any, those that pass ``loose``, flagged."""
+    """Rows that pass ``strict``; for keys without any, those that pass ``loose``, flagged. Only keys are shuffled to tell them, aggregated first."""
     marked = rows.where(loose).withColumn("__strict", strict)
-    some = F.max(F.col("__strict").cast("int")).over(Window.partitionBy(key))
-    return marked.withColumn("__some", some).where(F.col("__strict") | (F.col("__some") == 0)).withColumn("fallback", F.col("__some") == 0).drop("__strict", "__some")
+    have = marked.where("__strict").select(F.col(key).alias("__key")).distinct()
+    hits = marked.where("__strict").withColumn("fallback", F.lit(False))
+    rest = marked.where(~F.coalesce("__strict", F.lit(False))).join(have, F.col(key) == F.col("__key"), "left_anti").withColumn("fallback", F.lit(True))
+    return hits.unionAll(rest).drop("__strict")
+
 
+def search(names: DataFrame, query: str, name: str, node: str, most: int | None = 30, normal: bool = True) -> DataFrame:
+    """(node, name, reason) of a typed query: names that equal it, and names that contain it, in normal form (which converts no script); one row a node, the first spelling of the better reason, sorted by name, the first ``most``.
 
-def search(names: DataFrame, query: Column, name: str, node: str, most: int | None = 30) -> DataFrame:
-    """(node, name, reason): equal names first, else names that contain the query; one row a node, sorted, the first ``most``."""
-    reason = F.when(F.col(name) == query, 0).when(F.instr(F.col(name), query) > 0, 1)
-    hits = names.withColumn("__r", reason).where("__r is not null")
-    best = hits.groupBy(node).agg(F.min("__r").alias("__r"), F.min_by(name, F.struct("__r", name)).alias("name"))
-    out = best.select(F.col(node).alias("node"), "name", F.when(F.col("__r") == 0, "等值").otherwise("包含").alias("reason"))
+    ``names`` has a row for each alias."""
+    form = text.norm if normal else (lambda c: c)
+    q, n = form(F.lit(query)), form(F.col(name))
+    hits = names.withColumn("__r", F.when(n == q, 0).when(F.instr(n, q) > 0, 1)).where("__r is not null")
+    best = hits.groupBy(F.col(node).alias("node")).agg(F.min(F.struct("__r", F.col(name).alias("name"))).alias("b"))
+    out = best.select("node", "b.name", F.when(F.col("b.__r") == 0, "等值").otherwise("包含").alias("reason"))
     return out.orderBy("name", "node").limit(most) if most else out
 
 
-def mentions(texts: DataFrame, text: str, names: DataFrame, name: str, most: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
-    """Every row of ``texts`` with every row of ``names`` whose name it contains. Empty and null names and texts match nothing.
+def mentions(texts: DataFrame, key: str, body: str, names: DataFrame, name: str, scripts: bool = False, normal: bool = False, most_bytes: int = 8 << 20) -> DataFrame:
+    """(key, name): each row of ``texts`` with each distinct name its text contains. Empty and null names and texts match nothing.
 
-    The names are the query set: they go out in blocks of some ``most`` rows and ``most_bytes`` bytes, one pass over the texts a block, so what
-    is broadcast does not grow with them and none is left out. Equal names are matched once.
-    """
+    The names are the query set. They go out in blocks of ``most_bytes``, each as one automaton that finds all its names in a single pass over a text, so neither names nor pairs are multiplied and what is sent does
+    not grow with them; texts are neither shuffled nor carried along. ``normal`` compares in normal form; ``scripts`` also in simplified and in traditional form."""
     names = names.where(F.length(name) > 0)
-    spellings = names.select(F.col(name).alias("__name")).distinct()
-    size = spellings.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__name")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size["n"] // most), -(-size["b"] // most_bytes))
+    spellings = names.select(F.col(name).alias("name"), (text.norm(F.col(name)) if normal else F.col(name)).alias("form")).distinct().where("form <> ''")
+    size = spellings.agg(F.coalesce(F.sum(F.octet_length("form") + F.octet_length("name")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // max(1, most_bytes // 2)))
+    plain = text.norm(F.col(body)) if normal else F.col(body)
+    given = texts.select(F.col(key).alias("key"), plain.alias("t")).where("t <> ''")
+    schema = T.StructType([T.StructField("key", texts.schema[key].dataType), T.StructField("name", T.StringType())])
     out = None
     for k in range(blocks):
-        part = spellings.where(F.pmod(F.xxhash64("__name"), F.lit(blocks)) == k)
-        hits = texts.join(F.broadcast(part), F.instr(F.col(text), F.col("__name")) > 0)
+        part = spellings.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k)
+        hits = given.mapInArrow(_finder([(r["form"], r["name"]) for r in part.toLocalIterator()], scripts), schema)  # most_bytes at most
         out = hits if out is None else out.unionAll(hits)
-    return out.join(names.withColumnRenamed(name, "__spelt"), F.col("__name") == F.col("__spelt")).withColumnRenamed("__name", name).drop("__spelt")
+    return out.withColumnsRenamed({"key": key, "name": name})
+
+
+def _finder(spelt: list[tuple[str, str]], scripts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches(key, t) that finds the names of (form, name) pairs."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automata = []
+        for convert in text.CONVERSIONS if scripts else text.CONVERSIONS[:1]:
+            held: dict[str, set[str]] = {}
+            for form, name in spelt:
+                held.setdefault(convert(form), set()).add(name)
+            machine = ahocorasick.Automaton()
+            for form, found in held.items():
+                machine.add_word(form, found)
+            if held:
+                machine.make_automaton()
+                automata.append((convert, machine))
+        for b in it:
+            rows, names_ = [], []
+            for i, t in enumerate(b.column(1)):
+                found = set()
+                for convert, machine in automata:
+                    for _, x in machine.iter(convert(t.as_py())):
+                        found |= x
+                rows += [i] * len(found)
+                names_ += found
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(names_, pa.string())], ["key", "name"])
+
+    return run
 
 
 def decoded_spans(head: DataFrame, tail: DataFrame, first: float = 0.4, later: float = 0.7) -> DataFrame:

@@ -5,28 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import display_name
+
 
 def comembers(members: DataFrame) -> DataFrame:
-    """``members(event_id, person_id)`` -> (a, b, event_id): members of one event, in both directions, without self."""
+    """``members(event_id, person_id)`` -> (a, b, event_id): members of one event, in both directions, without self.
+
+    This is the relation itself, a row for each pair: for counts use :func:`meetings`, for neighbourhoods :func:`khop`, which need no pairs."""
     m = members.distinct()
     return m.select("event_id", F.col("person_id").alias("a")).join(m.select("event_id", F.col("person_id").alias("b")), "event_id").where("a <> b").select("a", "b", "event_id")
 
 
-def khop(links: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``links(a, b)``, ``start(node)`` -> nodes (node, level) within ``depth`` hops, and the links between them.
+def meetings(members: DataFrame) -> DataFrame:
+    """(a, meetings): how many times each person meets another one, from the sizes of the events, without any pairs."""
+    m = members.distinct()
+    sizes = m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    return m.join(sizes, "event_id").where("n > 1").groupBy(F.col("person_id").alias("a")).agg(F.sum(F.col("n") - 1).alias("meetings"))
+
 
+def khop(members: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """``members(event_id, person_id)``, ``start(node)`` -> (node, level): people within ``depth`` shared events, with the least number.
+
+    A hop goes from people to their events and on to the members of those not met before: two joins linear in the memberships, however large an event is.
     Under the cap the result is exact; at the cap the nodes with the least (level, node) stay."""
-    pairs = links.select("a", "b").distinct()
-    seen = start.select("node", F.lit(0).alias("level"))
-    frontier = start.select("node")
+    m = members.distinct()
+    nodes = start.select("node", F.lit(0).alias("level")).distinct()
+    frontier, met = start.select("node").distinct(), None
     for d in range(1, depth + 1):
-        frontier = frontier.join(pairs, frontier["node"] == pairs["a"]).select(F.col("b").alias("node")).distinct()
-        seen = seen.unionAll(frontier.select("node", F.lit(d).alias("level")))
-    nodes = seen.groupBy("node").agg(F.min("level").alias("level"))
-    if most is not None:
-        nodes = nodes.orderBy("level", "node").limit(most)
-    inside = pairs.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
-    return nodes, inside
+        events = m.join(frontier.select(F.col("node").alias("person_id")), "person_id", "left_semi").select("event_id").distinct()
+        fresh = events if met is None else events.join(met, "event_id", "left_anti")
+        met = events if met is None else met.union(fresh)
+        found = m.join(fresh, "event_id", "left_semi").select(F.col("person_id").alias("node")).distinct()
+        frontier = found.join(nodes.select("node"), "node", "left_anti")
+        nodes = nodes.unionAll(frontier.select("node", F.lit(d).alias("level")))
+    return nodes.orderBy("level", "node").limit(most) if most is not None else nodes
+
+
+def links_between(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, event_id), a < b: each pair of the given ``nodes(node)`` that share an event. Meant for the capped nodes of a drawn graph."""
+    inside = members.join(nodes.select(F.col("node").alias("person_id")), "person_id", "left_semi").distinct()
+    other = inside.select("event_id", F.col("person_id").alias("b"))
+    return inside.select("event_id", F.col("person_id").alias("a")).join(other, "event_id").where("a < b").select("a", "b", "event_id")
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -41,14 +60,35 @@ def unique_names(nodes: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def resolve_endpoints(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``refs(edge, label, key, value)``, ``nodes(node, ord, label, key, value)`` -> (edge, node): the first node, in input order, that
-    agrees with all keys of the reference; edges without such a node get no row."""
-    want = refs.where("trim(value) <> ''").select("edge", "label", "key", F.trim("value").alias("value")).distinct()
-    need = want.groupBy("edge").agg(F.count(F.lit(1)).alias("need"))
-    have = nodes.select("node", "ord", "label", "key", F.trim("value").alias("value")).distinct()
-    met = want.join(have, ["label", "key", "value"]).groupBy("edge", "node", "ord").agg(F.count(F.lit(1)).alias("met"))
-    full = met.join(need, "edge").where("met = need")
-    return full.groupBy("edge").agg(F.min_by("node", F.struct("ord", "node")).alias("node"))
+    """``refs(edge, label, ref)``, ``nodes(node, ord, label, props)``, both maps of strings -> (edge, node): the first node, in input order, that
+    agrees with all keys of the reference; edges without such a node, and references without any value, get no row.
+
+    References are grouped by their set of keys, of which a label has a few; nodes are projected to each and joined once on label, keys and all values together, so a value that many share pairs nothing by itself."""
+    filled = F.array_sort(F.filter(F.map_entries(F.transform_values("ref", lambda k, v: F.trim(v))), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    want = refs.select("edge", "label", filled.alias("e")).where(F.size("e") > 0)
+    want = want.select("edge", "label", F.col("e.key").alias("keys"), F.col("e.value").alias("vals"))
+    keys = want.select("label", "keys").distinct()
+    have = nodes.join(keys, "label").select("node", "ord", "label", "keys", F.transform("keys", lambda k: F.trim(F.try_element_at("props", k))).alias("vals"))
+    have = have.where(~F.exists("vals", lambda v: v.isNull())).groupBy("label", "keys", "vals").agg(F.min(F.struct("ord", "node"))["node"].alias("node"))
+    return want.join(have, ["label", "keys", "vals"]).select("edge", "node")
+
+
+def build_nodes(records: DataFrame, order: str, labels: list[str]) -> DataFrame:
+    """Nodes of exchange records(type, label, properties): (node, ord, label, name, props). Unknown labels are left out; repeated display names get ``#2``, ``#3`` in input order."""
+    kept = records.where((F.col("type") == "node") & F.col("label").isin(labels))
+    named = kept.select(F.col(order).alias("ord"), "label", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("props"))
+    return unique_names(named.withColumn("name", display_name(F.col("label"), F.col("props"))), "name", "ord").select("node", "ord", "label", "name", "props")
+
+
+def build_edges(records: DataFrame, nodes: DataFrame, order: str, relations: dict[str, tuple]) -> DataFrame:
+    """Edges of exchange records(type, label, start, end, properties): (src, dst, label, props), a row each; those with an unknown label or an end that no node agrees with are left out.
+
+    ``relations``: label -> (label of the start, label of the end, ...)."""
+    kept = records.where((F.col("type") == "relationship") & F.col("label").isin(list(relations)))
+    kind = lambda k: F.create_map(*(F.lit(x) for r, ends in relations.items() for x in (r, ends[k])))[F.col("label")]
+    resolved = lambda side, k, into: resolve_endpoints(kept.select(F.col(order).alias("edge"), kind(k).alias("label"), F.col(f"`{side}`").alias("ref")), nodes).select("edge", F.col("node").alias(into))
+    edges = kept.select(F.col(order).alias("edge"), "label", F.col("properties").alias("props"))
+    return edges.join(resolved("start", 0, "src"), "edge").join(resolved("end", 1, "dst"), "edge").select("src", "dst", "label", "props")
 
 
 def compose(nodes: DataFrame) -> DataFrame:
@@ -56,5 +96,8 @@ def compose(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.max_by("props", "ord").alias("props"))
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+def oriented(edges: DataFrame, least: float = 0.1) -> DataFrame:
+    """``edges(child, parent)``, turned round if parents have under ``least`` children on average."""
+    mean = edges.agg((F.count(F.lit(1)) / F.nullif(F.countDistinct("parent"), F.lit(0))).alias("mean"))
+    flip = F.coalesce(F.col("mean") < least, F.lit(False))
+    return edges.crossJoin(F.broadcast(mean)).select(F.when(flip, F.col("parent")).otherwise(F.col("child")).alias("child"), F.when(flip, F.col("child")).otherwise(F.col("parent")).alias("parent"))

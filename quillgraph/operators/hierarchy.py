@@ -21,6 +21,28 @@ def closure(edges: DataFrame, nodes: DataFrame, max_depth: int = 8) -> DataFrame
     return out.where(F.when(F.col("depth") > max_depth, F.raise_error(F.lit(f"the hierarchy is deeper than max_depth = {max_depth}")).cast("boolean")).otherwise(F.lit(True)))
 
 
+def full_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As :func:`closure`, for hierarchies of any depth and with cycles: steps until none adds a pair, each checkpointed, so that plans stay short and lost executors cost little.
+
+    Checkpoints go to ``spark.checkpoint.dir``, the shared folder of a cluster."""
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
+        spark.sparkContext.setCheckpointDir(where)
+    edges = edges.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
+    seen = nodes.select(F.col("node"), F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct().checkpoint()
+    step, d = seen, 0
+    while True:
+        d += 1
+        step = step.join(edges, step["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
+        step = step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").checkpoint()
+        if step.isEmpty():
+            return seen
+        seen = seen.unionAll(step)
+
+
 def lift(closed: DataFrame, levels: DataFrame, level: str) -> DataFrame:
     """(node, lifted): self or the nearest ancestor at the level; the least id among equals."""
     at = levels.where(F.col("level") == level).select(F.col("place_id").alias("ancestor"))

@@ -17,6 +17,21 @@ def class_extent(triples: DataFrame, cls: str) -> DataFrame:
     return triples.where((F.col("p_local") == "type") & F.col("o").endswith(cls) & (F.regexp_extract("o", r"([^#/:]*)$", 1) == cls) & ~F.col("s").startswith("_:")).select(F.col("s").alias("node")).distinct()
 
 
+def types(triples: DataFrame) -> DataFrame:
+    """(node, cls): a row for each class of each named node, by local name."""
+    return triples.where((F.col("p_local") == "type") & ~F.col("s").startswith("_:")).select(F.col("s").alias("node"), F.regexp_extract("o", r"([^#/:]*)$", 1).alias("cls")).distinct()
+
+
+def of_type(nodes: DataFrame, triples: DataFrame, *classes: str) -> DataFrame:
+    """The rows of ``nodes(node, ..)`` whose node has one of the classes."""
+    return nodes.join(types(triples).where(F.col("cls").isin(*classes)).select("node"), "node", "left_semi")
+
+
+def aliases(triples: DataFrame, keys: list[str], style: str | None = None) -> DataFrame:
+    """(s, alias): all distinct names; with ``style`` also those of that key (courtesy names, which some analyses count)."""
+    return distinct_literals(triples, [*keys, *([style] if style else [])]).withColumnRenamed("value", "alias")
+
+
 def literals(triples: DataFrame) -> DataFrame:
     bare = F.trim("o")
     return triples.where((F.col("o_kind") == "lit") & (bare != "")).select("s", "p_local", bare.alias("o"))
@@ -67,6 +82,31 @@ def attribute_row(triples: DataFrame, keys: list[str], fallbacks: dict[str, str]
     return wide.select("s", *(F.coalesce(k, fallbacks[k]).alias(k) if k in fallbacks else F.col(k) for k in keys))
 
 
+# What is shown of a position, in this order; codes are hidden unless asked for. What names a position.
+POSITION_KEYS = ["核心职称", "层级", "机构", "职系", "修饰_方位", "修饰_副", "地名", "对齐码_core", "对齐码_inst", "对齐码_tier", "对齐码_loc_core", "对齐码_loc_inst", "对齐码_loc_full", "原始称谓", "官职名称"]
+CODE_PREFIX = "对齐码_"
+POSITION_NAMES = ["官职名称", "原始称谓", "label"]
+# The dimensions by which positions are counted.
+POSITION_DIMENSIONS = ["职系", "机构", "核心职称", "层级", "官阶", "地名", "对齐码_core", "对齐码_inst", "对齐码_tier", "对齐码_loc_core", "对齐码_loc_inst", "对齐码_loc_full"]
+
+
+def position_details(triples: DataFrame, codes: bool = False) -> DataFrame:
+    """(s, ord, key, value) rows of positions."""
+    return key_values(triples, POSITION_KEYS, None if codes else CODE_PREFIX)
+
+
+def position_names(positions: DataFrame, triples: DataFrame) -> DataFrame:
+    """``positions(node)`` -> (node, name): the first that there is of the official name, the original title and the label, else a dash."""
+    names = first_literal(triples, POSITION_NAMES).withColumnRenamed("s", "node")
+    return positions.join(names, "node", "left").select("node", F.coalesce("value", F.lit("—")).alias("name"))
+
+
+def position_rows(triples: DataFrame) -> DataFrame:
+    """One row per position with a column for each dimension and name; the level falls back to the general level, the original title to the official name."""
+    keys = [*POSITION_DIMENSIONS, "原始称谓", "官职名称"]
+    return attribute_row(triples, keys, {"层级": "通用层级", "原始称谓": "官职名称"})
+
+
 def key_values(triples: DataFrame, keys: list[str], hide_prefix: str | None = None) -> DataFrame:
     """(s, ord, key, value) rows in the keys' order."""
     keys = [k for k in keys if not hide_prefix or not k.startswith(hide_prefix)]

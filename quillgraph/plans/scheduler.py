@@ -1,11 +1,14 @@
 """An ordered list of stages, each from the previous one's table to its own.
 
 Every stage's result is written to a folder that driver and executors share and read back, so the lineage ends there. The first
-stage that fails ends the run; a later run over the same folder begins after the last whole stage.
+stage that fails ends the run; a later run over the same folder begins after the last whole stage, if that was made from the same source by the same stages:
+each folder's name holds a fingerprint of the source's plan and files, and of the names and code of the stages so far.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -35,18 +38,50 @@ def preflight(stages: Sequence[Stage]) -> None:
         raise ValueError("; ".join(faults) or "no stages")
 
 
+def corrected_inputs(paths: dict[str, str]) -> dict[str, str]:
+    """Named input paths with the common slip in a suffix mended (``.jso`` for ``.json``); refuses blank ones, all at once."""
+    blank = sorted(k for k, v in paths.items() if not (v or "").strip())
+    if blank:
+        raise ValueError(f"no path for {', '.join(blank)}")
+    return {k: v.strip() + "n" if v.strip().lower().endswith(".jso") else v.strip() for k, v in paths.items()}
+
+
 def _whole(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _code(step: Callable) -> str:
+    """What a stage does, as far as its compiled code, constants, defaults and enclosed plain values tell."""
+    seen = getattr(step, "__code__", None)
+    if seen is None:
+        return f"{type(step).__module__}.{type(step).__qualname__}:{getattr(step, '__name__', '')}"
+    plain = [c.cell_contents for c in step.__closure__ or () if isinstance(c.cell_contents, (str, int, float, bool, tuple, type(None)))]
+    consts = [c for c in seen.co_consts if not hasattr(c, "co_code")]
+    inner = [c.co_code for c in seen.co_consts if hasattr(c, "co_code")]
+    return repr((seen.co_code, consts, seen.co_names, inner, step.__defaults__, plain))
+
+
+def _source(df: DataFrame) -> str:
+    """The plan and the files of a table, with their lengths and times."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    files = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    return re.sub(r"#\d+|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString()) + repr(files)
+
+
 def run_stages(source: DataFrame, stages: Sequence[Stage], folder: str, resume: bool = True) -> tuple[DataFrame, list[Outcome]]:
     """The last stage's table, and what was done for each. A stage is skipped only if it and all before it are whole."""
     preflight(stages)
     spark, now, log = source.sparkSession, source, []
+    mark = hashlib.sha256(_source(source).encode())
     for k, (name, step) in enumerate(stages, 1):
-        path = f"{folder.rstrip('/')}/{k:02d}-{name}"
+        mark.update(f"{name}\0{_code(step)}\0".encode())
+        path = f"{folder.rstrip('/')}/{k:02d}-{name}-{mark.hexdigest()[:12]}"
         if resume and _whole(spark, path):
             log.append(Outcome(name, path, True))
         else:

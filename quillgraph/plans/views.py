@@ -25,6 +25,9 @@ CTE = {
     "pos": "SELECT p_partkey AS position_id, p_brand AS inst, p_type AS core, CASE WHEN p_size <= 15 THEN '执行' WHEN p_size <= 35 THEN '分管' ELSE '决策' END AS tier FROM part",
     "appoint": "SELECT DISTINCT o_custkey AS person_id, l_partkey AS position_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "member": "SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS person_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'",
+    "ming": "SELECT o_custkey AS person_id, o_orderkey AS pe, CAST(1368 + o_orderkey % 277 AS INT) AS year FROM orders",
+    "ev_type": "SELECT 'e' || o_orderkey AS e, CASE WHEN o_orderstatus = 'F' THEN 'OfficeAtPlaceEvent' ELSE 'TaskEvent' END AS cls FROM orders UNION ALL SELECT 'e' || o_orderkey, 'BirthEvent' FROM orders WHERE o_orderkey % 7 = 0",
+    "ev_link": "SELECT 'e' || o_orderkey AS e, 'hasPlace' AS p, 'N' || (o_orderkey % 25) AS o FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'e' || o_orderkey, 'tookPlaceAt', 'N' || (o_orderkey % 24) FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'e' || o_orderkey, 'near', 'N' || (o_orderkey % 23) FROM orders UNION ALL SELECT 'e' || o_orderkey, 'hasPlace', 'X1' FROM orders WHERE o_orderkey % 5 = 0",
     "year_era": f"SELECT y.year, arg_min(era, ord) AS era FROM (SELECT unnest(range({YEARS[0]}, {YEARS[1] + 1})) AS year) y JOIN {ERA_SQL} ON y.year BETWEEN y0 AND y1 GROUP BY 1",
 }
 NEEDS = {"up": ["place", "edge"]}
@@ -32,6 +35,8 @@ NEEDS = {"up": ["place", "edge"]}
 
 def sql(query: str, *names: str) -> str:
     """``query`` after the common table expressions it names."""
+    if not names:
+        return query
     every = list(dict.fromkeys(x for n in names for x in [*NEEDS.get(n, []), n]))
     return "WITH " + ", ".join(f"{n} AS ({CTE[n]})" for n in every) + " " + query
 
@@ -84,9 +89,52 @@ class Views:
     def appointment(self) -> DataFrame:
         return self.table("orders").select("o_orderkey", F.col("o_custkey").alias("person_id")).join(self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("position_id")), F.col("l_orderkey") == F.col("o_orderkey")).select("person_id", "position_id").distinct()
 
-    def member(self) -> DataFrame:
-        urgent = self.table("orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
-        return self.table("lineitem").select("l_orderkey", "l_suppkey").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("person_id")).distinct()
+    def member(self, urgent: bool = True) -> DataFrame:
+        """Suppliers of an order; of urgent ones where a result has a row for each pair of them."""
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey")
+        if urgent:
+            lines = lines.join(self.table("orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        return lines.select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("person_id")).distinct()
+
+    def ming(self) -> DataFrame:
+        """Orders as examinations of the years 1368 to 1644."""
+        return self.table("orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("pe"), (F.lit(1368) + F.col("o_orderkey") % 277).cast("int").alias("year"))
+
+    def attributes(self) -> DataFrame:
+        c = self.table("customer")
+        spelt = F.concat(F.substring("c_mktsegment", 1, 2), F.lit(" "), F.expr("substring(c_mktsegment, 3)"))
+        return c.select(F.col("c_custkey").alias("person_id"), F.lit("segment").alias("facet"), spelt.alias("value")).union(c.select("c_custkey", F.lit("nation"), F.col("c_nationkey").cast("string")))
+
+    def nations(self) -> DataFrame:
+        return self.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node"))
+
+    def points(self) -> DataFrame:
+        return self.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("place_id"), F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_nationkey") * 6).cast("double").alias("lon"))
+
+    def event_types(self) -> DataFrame:
+        k = self.table("orders").select("o_orderkey", F.concat(F.lit("e"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", "OfficeAtPlaceEvent").otherwise("TaskEvent").alias("cls"))
+        return k.select("node", "cls").union(k.where("o_orderkey % 7 = 0").select("node", F.lit("BirthEvent")))
+
+    def event_links(self) -> DataFrame:
+        o = self.table("orders").select("o_orderkey", F.concat(F.lit("e"), "o_orderkey").alias("s"))
+        one = lambda cond, p, place: o.where(cond).select("s", F.lit(p).alias("p_local"), F.expr(place).alias("o"))
+        return one("o_orderkey % 2 = 0", "hasPlace", "concat('N', o_orderkey % 25)").union(one("o_orderkey % 3 = 0", "tookPlaceAt", "concat('N', o_orderkey % 24)")).union(one("true", "near", "concat('N', o_orderkey % 23)")).union(one("o_orderkey % 5 = 0", "hasPlace", "'X1'"))
+
+    def facts(self, table: str, subject: str, facts: dict[str, str]) -> DataFrame:
+        """Literal triples of a table's rows: SQL expressions by predicate, null where a row has none."""
+        each = F.explode(F.array(*(F.struct(F.lit(p).alias("p_local"), F.expr(x).cast("string").alias("o")) for p, x in facts.items())))
+        return self.table(table).select(F.expr(subject).cast("string").alias("s"), each.alias("f")).select("s", "f.*", F.lit("lit").alias("o_kind")).where("o is not null")
+
+    def place_facts(self) -> DataFrame:
+        return self.facts("supplier", "concat('S', s_suppkey)", {"现代名称": "CASE s_suppkey % 4 WHEN 0 THEN concat(s_name, '市') WHEN 2 THEN concat(s_name, '省') END", "历史名称": "CASE s_suppkey % 4 WHEN 1 THEN concat(s_name, '自治县') WHEN 2 THEN '旧名' END", "区划层级": "CASE WHEN s_suppkey % 5 = 0 THEN ' 府' END"})
+
+    def coordinate_facts(self) -> DataFrame:
+        n = "n_nationkey"
+        return self.facts("nation", f"concat('N', {n})", {"name": "n_name", "经纬坐标": f"CASE WHEN {n} % 4 = 0 THEN concat({n} + 20, '.5°N，', {n} + 100, '.25°E') END", "坐标": f"CASE WHEN {n} % 4 = 2 THEN concat({n} + 100, ',', {n} + 20) END", "lat": f"CASE WHEN {n} % 4 = 1 THEN concat({n} + 20, ' N') END", "lon": f"CASE WHEN {n} % 4 = 1 THEN concat({n} + 100, 'W') END"})
+
+    def position_facts(self) -> DataFrame:
+        tier = "CASE WHEN p_size % 2 = {} THEN '{}' END"
+        return self.facts("part", "p_partkey", {"职系": "p_type", "机构": "p_brand", "核心职称": "concat(p_type, p_brand)", "层级": tier.format(0, "执行"), "通用层级": tier.format(1, "分管"), "官阶": "p_size", "地名": "' '", "对齐码_core": "concat('CORE/', p_type)", "对齐码_inst": "concat('INST/HUBU/', p_type)", "原始称谓": "CASE WHEN p_partkey % 3 < 2 THEN p_name END", "官职名称": "CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, '官') END"})
 
     def eras(self) -> DataFrame:
         return self.spark.createDataFrame([(e, a, b, k) for k, (e, a, b) in enumerate(ERAS)], "era string, y0 int, y1 int, ord int")

@@ -6,37 +6,61 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
 RECORD = "type string, label string, properties map<string,string>, start map<string,string>, `end` map<string,string>, text string"
+#: What an escape of one letter stands for.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescaped(x: Column) -> Column:
+    """A literal's or IRI's escapes undone in one pass, so that an escaped backslash starts no other escape."""
+    pieces = F.regexp_extract_all(x, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    table = F.create_map(*(F.lit(y) for pair in ESCAPES.items() for y in pair))
+
+    def one(p: Column) -> Column:
+        code = F.conv(F.substring(p, 3, 8), 16, 10).cast("long")
+        utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(p.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), utf32).when(p.startswith("\\"), F.coalesce(F.try_element_at(table, F.substring(p, 2, 1)), p)).otherwise(p)
+
+    return F.when(x.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(x)
+
+
+def _triple_lines(lines: DataFrame, value: str) -> DataFrame:
+    return lines.where(F.trim(F.col(value)) != "").where(~F.ltrim(F.col(value)).startswith("#"))
 
 
 def parse_triples(lines: DataFrame, value: str = "value") -> DataFrame:
-    """N-Triples lines -> distinct triples; malformed lines come with ``corrupt`` set."""
+    """N-Triples lines -> distinct triples. Malformed lines are left out; see :func:`malformed`."""
     line = F.col(value)
     s, p, o = (F.regexp_extract(line, TRIPLE, k) for k in (1, 2, 3))
-    bare = lambda x: F.regexp_replace(x, r"^<|>$", "")
-    body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\\\", r"\\")):
-        body = F.regexp_replace(body, a, b)
+    bare = lambda x: unescaped(F.regexp_replace(x, r"^<|>$", ""))
+    body = unescaped(F.regexp_extract(o, r'(?s)^"((?:[^"\\]|\\.)*)"', 1))
     kind = F.when(o.startswith('"'), "lit").when(o.startswith("_:"), "bnode").otherwise("iri")
-    out = lines.where(F.trim(line) != "").where(~F.ltrim(line).startswith("#")).select(
+    out = _triple_lines(lines, value).where(line.rlike(TRIPLE)).select(
         bare(s).alias("s"), bare(p).alias("p"), F.when(o.startswith('"'), body).otherwise(bare(o)).alias("o"), kind.alias("o_kind"),
         F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1).alias("o_lang"), F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1).alias("o_dtype"),
         F.when(s.startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), F.regexp_extract(bare(p), r"([^#/:]*)$", 1).alias("p_local"),
-        F.when(s == "", line).alias("corrupt"),
     )
     return out.distinct()
 
 
-def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples files; other RDF syntaxes are refused."""
-    if path.rsplit(".", 1)[-1].lower() in ("ttl", "rdf", "owl", "xml"):
-        raise ValueError(f"only N-Triples can be read: {path}")
-    return parse_triples(spark.read.text(path))
+def malformed(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines that are neither triples, comments nor blank."""
+    return _triple_lines(lines, value).where(~F.col(value).rlike(TRIPLE))
+
+
+def read_triples(spark: SparkSession, path: str, unknown: str = "nt") -> DataFrame:
+    """Triples of a file or folder, its syntax told by the suffix: N-Triples by the line, Turtle and RDF/XML by the file.
+
+    A suffix that says nothing means ``unknown``: ``nt``, ``turtle``, ``xml``, or ``try``, which gives each file the first syntax in this order that reads all of it."""
+    from . import rdf
+
+    kind = rdf.SUFFIXES.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), unknown)
+    return parse_triples(spark.read.text(path)) if kind == "nt" else rdf.read_files(spark, path, kind)
 
 
 def line_documents(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -91,5 +115,7 @@ def newest_file(spark: SparkSession, folder: str, glob: str = "*.nt") -> DataFra
 
 
 def write_table(df: DataFrame, path: str, drop: tuple[str, ...] = ("place_id",)) -> None:
-    """A report as CSV with a header, without its id columns."""
-    df.drop(*drop).write.mode("overwrite").option("header", True).csv(path)
+    """A report as CSV with a header, without its id columns; each file begins with a byte-order mark, as spreadsheets want it."""
+    kept = df.drop(*drop)
+    first = kept.columns[0]
+    kept.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).csv(path)
