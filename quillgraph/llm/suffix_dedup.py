@@ -13,6 +13,8 @@ A suffix sort of a whole corpus in one place does not scale, so suffixes are dea
 2. In a bucket, intervals of equal strings (96 bits of two polynomial hashes, and the anchor's) keep their first as it is. Intervals that share an anchor but not the string
    may still share some windows; only these (the surroundings of edits) go on, as bytes.
 3. Their suffixes are sorted as above, in the buckets of their anchors, by common prefix.
+4. Every interval that equal hashes called a duplicate is compared, byte by byte, with the occurrence before it: runs of such intervals send their bytes to the document of that occurrence (so a string of any number of occurrences
+   is sent once for each, to as many documents). Bytes that differ under equal hashes end the run with an error, as no result could be trusted; another ``BASE2`` then helps.
 
 Order: by id, then start. Null text is empty; null ids come before all others and are one document only if their texts agree; repeated rows (same id, same text) are one
 document: none is a copy of the other. Documents of one id but different text are ordered by start only. Extra columns are ignored.
@@ -45,6 +47,10 @@ BASE2_INVERSE = pow(BASE2, -1, 1 << 64)
 NULL_ID = -(1 << 63)
 INTERVALS = np.dtype([("key", "<u4"), ("t", "<u8"), ("t2", "<u4"), ("at", "<u4"), ("n", "u1")])
 REQUESTS = np.dtype([("doc", "<i8"), ("print", "<u4"), ("at", "<u4"), ("n", "<u4"), ("key", "<u8")])
+#: Duplicates by hash, with the occurrence before.
+LATER = np.dtype([("doc", "<i8"), ("print", "<u4"), ("at", "<u4"), ("n", "<u4"), ("src", "<i8"), ("sprint", "<u4"), ("sat", "<u4")])
+#: Kinds of blobs: requests to remove, surroundings, bytes to compare, duplicates by hash; then texts.
+REMOVE, OPEN, COMPARE, SAME, TEXT = 0, 1, 2, 3, 9
 
 
 def _second_prefix(data: np.ndarray) -> np.ndarray:
@@ -97,11 +103,35 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _firsts(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For rows sorted by group, document and place: whether a row stands later than its group's first."""
+def _firsts(group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by group, document and place: whether a row stands later than its group's first, and the row of the place before it."""
     head = np.append(True, group[1:] != group[:-1])
     start = np.flatnonzero(head)[np.cumsum(head) - 1]
-    return (doc != doc[start]) | (at != at[start])
+    place = head | np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+    return (doc != doc[start]) | (at != at[start]), np.flatnonzero(place)[np.cumsum(place) - 1] - 1
+
+
+def _same(doc: np.ndarray, prints: np.ndarray, at: np.ndarray, n: np.ndarray, later: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The rows ``later``, each with the one ``before`` it; runs of neighbours with neighbouring sources put together."""
+    out = np.empty(len(later), LATER)
+    for name, c, rows in (("doc", doc, later), ("print", prints, later), ("at", at, later), ("n", n, later), ("src", doc, before), ("sprint", prints, before), ("sat", at, before)):
+        out[name] = c[rows]
+    return _merged_same(out)
+
+
+def _merged_same(found: np.ndarray) -> np.ndarray:
+    if not len(found):
+        return found
+    found = found[np.lexsort((found["at"], found["print"], found["doc"]))]
+    at, end = found["at"].astype(np.int64), found["at"].astype(np.int64) + found["n"]
+    shift = found["sat"].astype(np.int64) - at
+    new = np.append(True, at[1:] > end[:-1])
+    for c in (found["doc"], found["print"], found["src"], found["sprint"], shift):
+        new[1:] |= c[1:] != c[:-1]
+    heads = np.flatnonzero(new)
+    out = found[heads].copy()
+    out["n"] = np.maximum.reduceat(end, heads) - at[heads]
+    return out
 
 
 def _pack(parts: list[np.ndarray], dest: np.ndarray, extra: list[bytes] | None = None) -> Iterator[tuple[int, bytes]]:
@@ -280,11 +310,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             doc, prints, at, n, key, t, t2 = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((at, doc, t2, t))
             later = np.zeros(len(doc), bool)
-            later[order] = _firsts(_runs(t[order], t2[order]), doc[order], at[order])
-            if later.any():
-                found = _coalesced(_requests(doc[later], prints[later], at[later], n[later], 0))
+            flag, before = _firsts(_runs(t[order], t2[order]), doc[order], at[order])
+            later[order] = flag
+            if flag.any():
+                found = _same(doc, prints, at, n, order[flag], order[before[flag]])
                 out = list(_pack([found], place_of(found["doc"], found["print"])))
-                yield rows([-1 - d for d, _ in out], 0, [x for _, x in out])
+                yield rows([-1 - d for d, _ in out], SAME, [x for _, x in out])
             stay = np.flatnonzero(~later)
             stay = stay[np.lexsort((at[stay], prints[stay], doc[stay], (key[stay] >> np.uint64(32)) % np.uint64(buckets)))]
             dest = ((key[stay] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -336,7 +367,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         for b in it:
             for dest, x in zip(b.column(0).to_pylist(), b.column(3), strict=True):
                 if dest < 0:  # settled within its chunk
-                    yield rows([-1 - dest], 0, [x.as_py()])
+                    yield rows([-1 - dest], SAME, [x.as_py()])
                 else:
                     held.setdefault(dest, []).append(unpack(x.as_py()))
         for bucket in sorted(held):
@@ -345,75 +376,115 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             order = np.lexsort((at, doc, t2, t, key))
             doc, prints, key, t, t2, at, n = (c[order] for c in (doc, prints, key, t, t2, at, n))
             group = _runs(key, t, t2)
-            later = _firsts(group, doc, at)
+            later, before = _firsts(group, doc, at)
             anchor = _runs(key)
             head = np.append(True, group[1:] != group[:-1])
             strings = np.bincount(anchor, head)
             open_ = ~later & (strings[anchor] > 1)
-            for chosen, flag in ((later, 0), (open_, 1)):
-                if chosen.any():
-                    wide = (key[chosen].astype(np.uint64) << np.uint64(1)) * np.uint64(buckets) + np.uint64(2 * bucket + 1) if flag else 0
-                    found = _requests(doc[chosen], prints[chosen], at[chosen], n[chosen], wide)
-                    found = found if flag else _coalesced(found)
-                    out = list(_pack([found], place_of(found["doc"], found["print"])))
-                    yield rows([d for d, _ in out], flag, [x for _, x in out])
+            if open_.any():
+                wide = (key[open_].astype(np.uint64) << np.uint64(1)) * np.uint64(buckets) + np.uint64(2 * bucket + 1)
+                found = _requests(doc[open_], prints[open_], at[open_], n[open_], wide)
+                out = list(_pack([found], place_of(found["doc"], found["print"])))
+                yield rows([d for d, _ in out], OPEN, [x for _, x in out])
+            if later.any():
+                found = _same(doc, prints, at, n, np.flatnonzero(later), before[later])
+                out = list(_pack([found], place_of(found["doc"], found["print"])))
+                yield rows([d for d, _ in out], SAME, [x for _, x in out])
 
     def beside(blobs: DataFrame) -> DataFrame:
         """The blobs of requests beside the documents they are about: a place's blobs come first."""
         place = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.crc32("t"))), F.lit(places))
-        texts = given.select(place.alias("dest"), F.lit(9).alias("kind"), "id", "t")
+        texts = given.select(place.alias("dest"), F.lit(TEXT).alias("kind"), "id", "t")
         return blobs.unionAll(texts).repartition(carriers, "dest").sortWithinPartitions("dest", "kind")
 
-    def with_requests(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-        """(batch, row, requests of the document, its whole print)."""
-        now, held, table = None, [], None
+    def with_requests(it: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> Iterator[tuple[pa.RecordBatch, int, dict[int, np.ndarray], list[tuple[np.ndarray, bytes]]]]:
+        """(batch, row, requests of the document by kind, bytes to compare of its place) for each text."""
+        now, held, tables, owners, bodies = None, {}, None, {}, []
         for b in it:
-            dests, kinds = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, (dest, kind) in enumerate(zip(dests, kinds, strict=True)):
+            dests, marks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, (dest, mark) in enumerate(zip(dests, marks, strict=True)):
                 if dest != now:
-                    now, held, table = dest, [], None
-                if kind < 9:
-                    held.append(np.frombuffer(b.column(3)[i].as_py(), REQUESTS))
+                    now, held, tables, bodies = dest, {k: [] for k in kinds}, None, []
+                if mark == COMPARE:
+                    x = b.column(3)[i].as_py()
+                    n = int(np.frombuffer(x, "<i8", 1)[0])
+                    meta = np.frombuffer(x, LATER, n, 8)
+                    size = meta["n"].astype(np.int64) + length - 1
+                    order = np.argsort(meta["src"], kind="stable")
+                    bodies.append((meta[order], (8 + meta.nbytes + np.cumsum(size) - size)[order], x))
+                    continue
+                if mark != TEXT:
+                    held[mark].append(np.frombuffer(b.column(3)[i].as_py(), kinds[mark]))
                     continue
-                if table is None:
-                    table = np.concatenate(held) if held else np.zeros(0, REQUESTS)
-                    table = table[np.lexsort((table["at"], table["doc"]))]
-                    held, docs_ = [], table["doc"].copy()
+                if tables is None:
+                    tables = {}
+                    for k, kind in kinds.items():
+                        table = np.concatenate(held[k]) if held[k] else np.zeros(0, kind)
+                        tables[k] = table[np.lexsort((table["at"], table["doc"]))]
+                    held, owners = {k: [] for k in kinds}, {k: t["doc"].copy() for k, t in tables.items()}
                 doc = b.column(2)[i].as_py()
-                s, e = np.searchsorted(docs_, [NULL_ID if doc is None else doc], "left")[0], np.searchsorted(docs_, [NULL_ID if doc is None else doc], "right")[0]
-                mine = table[s:e]
-                if len(mine):
-                    mine = mine[mine["print"] == zlib.crc32(b.column(3)[i].as_buffer() or b"")]
-                yield b, i, mine
+                doc = NULL_ID if doc is None else doc
+                mine, near = {}, []
+                own = None
+                for k, table in tables.items():
+                    s, e = np.searchsorted(owners[k], doc, "left"), np.searchsorted(owners[k], doc, "right")
+                    mine[k] = table[s:e]
+                    if e > s:
+                        own = zlib.crc32(b.column(3)[i].as_buffer() or b"") if own is None else own
+                        mine[k] = mine[k][mine[k]["print"] == own]
+                for meta, at, x in bodies:
+                    s, e = np.searchsorted(meta["src"], doc, "left"), np.searchsorted(meta["src"], doc, "right")
+                    if e > s:
+                        own = zlib.crc32(b.column(3)[i].as_buffer() or b"") if own is None else own
+                        near += [(meta[j], x[at[j] : at[j] + int(meta["n"][j]) + length - 1]) for j in range(s, e) if meta["sprint"][j] == own]
+                yield b, i, mine, near
+
+    def packed(dest: np.ndarray, meta: np.ndarray, texts: list[bytes], kind: int) -> pa.RecordBatch:
+        """Blobs of some rows and their bytes, one for each destination."""
+        order = np.argsort(dest, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(dest[order])) + 1), len(dest)]
+        where, data = [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = order[s:e]
+            where.append(int(dest[mine[0]]))
+            data.append(np.array([len(mine)], "<i8").tobytes() + meta[mine].tobytes() + b"".join(texts[k] for k in mine))
+        return rows(where, kind, data)
 
     @tidy
     def surroundings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        metas, texts, size_ = [], [], 0
+        """The bytes of open intervals, for sorting; of duplicates by hash, for comparing; and what to remove if they are equal."""
+        metas: dict[int, list[np.ndarray]] = {OPEN: [], SAME: []}
+        texts: dict[int, list[bytes]] = {OPEN: [], SAME: []}
+        size_ = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            meta = np.concatenate(metas)
-            dest = (mix(meta["key"]) % np.uint64(fine)).astype(np.int64)
-            order = np.argsort(dest, kind="stable")
-            cuts = [0, *(np.flatnonzero(np.diff(dest[order])) + 1), len(dest)]
-            where, data = [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                mine = order[s:e]
-                where.append(int(dest[mine[0]]))
-                data.append(np.array([len(mine)], "<i8").tobytes() + meta[mine].tobytes() + b"".join(texts[k] for k in mine))
-            yield rows(where, 0, data)
-
-        for b, i, mine in with_requests(it):
-            if len(mine):
-                text = b.column(3)[i].as_py()
-                metas.append(mine)
-                cut = [text[a : a + n + length - 1] for a, n in zip(mine["at"].tolist(), mine["n"].tolist(), strict=True)]
-                texts += cut
-                size_ += sum(map(len, cut))
-                if size_ > 8 << 20:
-                    yield from flush()
-                    metas, texts, size_ = [], [], 0
-        if metas:
-            yield from flush()
+            if metas[OPEN]:
+                meta = np.concatenate(metas[OPEN])
+                yield packed((mix(meta["key"]) % np.uint64(fine)).astype(np.int64), meta, texts[OPEN], OPEN)
+            if metas[SAME]:
+                meta = np.concatenate(metas[SAME])
+                yield packed(place_of(meta["src"], meta["sprint"]), meta, texts[SAME], COMPARE)
+                found = _coalesced(_requests(meta["doc"], meta["print"], meta["at"], meta["n"], 0))
+                out = list(_pack([found], place_of(found["doc"], found["print"])))
+                yield rows([d for d, _ in out], REMOVE, [x for _, x in out])
+            for k in (OPEN, SAME):
+                metas[k], texts[k] = [], []
+
+        for b, i, by_kind, _ in with_requests(it, {OPEN: REQUESTS, SAME: LATER}):
+            by_kind[SAME] = _merged_same(by_kind[SAME])
+            if not any(map(len, by_kind.values())):
+                continue
+            text = b.column(3)[i].as_py()
+            for k, mine in by_kind.items():
+                if len(mine):
+                    metas[k].append(mine)
+                    cut = [text[a : a + n + length - 1] for a, n in zip(mine["at"].tolist(), mine["n"].tolist(), strict=True)]
+                    texts[k] += cut
+                    size_ += sum(map(len, cut))
+            if size_ > 4 << 20:
+                yield from flush()
+                size_ = 0
+        yield from flush()
 
     @tidy
     def sort(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +514,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 if later.any():
                     found = _coalesced(_requests(doc[later], prints[later], place[later], 1, 0))
                     out = list(_pack([found], place_of(found["doc"], found["print"])))
-                    yield rows([d for d, _ in out], 0, [x for _, x in out])
+                    yield rows([d for d, _ in out], REMOVE, [x for _, x in out])
 
     @tidy
     def cover(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,10 +524,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()), pa.array(spans, kind)], ["id", "text", "spans"])
 
-        for b, i, mine in with_requests(it):
+        for b, i, by_kind, near in with_requests(it, {REMOVE: REQUESTS}):
             ids.append(b.column(2)[i].as_py())
             texts.append(b.column(3)[i].as_py())
             size_ += len(texts[-1])
+            mine = by_kind[REMOVE]
+            for row, x in near:
+                if texts[-1][int(row["sat"]) : int(row["sat"]) + len(x)] != x:
+                    raise RuntimeError(f"equal hashes of different bytes in documents {row['doc']} and {row['src']}")
             if len(mine):
                 mine = _coalesced(mine)
                 s, e = mine["at"].astype(np.int64), mine["at"].astype(np.int64) + mine["n"] + length - 1
@@ -475,9 +550,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     fine = 4 * buckets
     dealt = given.mapInArrow(deal, blob)
     settled = staged(dealt.repartition(settlers, "dest").mapInArrow(settle, blob), "settled")
-    close = beside(settled.where("kind = 1")).mapInArrow(surroundings, blob)
-    sorted_ = staged(close.repartition(4 * settlers, "dest").mapInArrow(sort, blob), "sorted")
-    return beside(settled.where("kind = 0").unionAll(sorted_)).mapInArrow(cover, "id long, text binary, spans array<struct<start:bigint,stop:bigint>>")
+    close = staged(beside(settled).mapInArrow(surroundings, blob), "surroundings")
+    sorted_ = staged(close.where(F.col("kind") == OPEN).repartition(4 * settlers, "dest").mapInArrow(sort, blob), "sorted")
+    return beside(close.where(F.col("kind") != OPEN).unionAll(sorted_)).mapInArrow(cover, "id long, text binary, spans array<struct<start:bigint,stop:bigint>>")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -381,6 +381,37 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix_dedup.removals(empty).count() == 0
 
 
+def test_suffix_dedup_edge_rows(spark, empty):
+    """Null ids, repeated rows, one id with two texts, clashing columns; copies of copies."""
+    rng = np.random.default_rng(10)
+    base = "".join(map(chr, rng.integers(97, 123, 1500)))
+    rows = [(5, base), (5, base), (None, base[200:900]), (None, base[200:900]), (None, "other " + base[:150]), (7, base[100:800] + "#" + base[:400]), (9, base[100:800]), (11, None), (12, ""), (4, base[300:500])]
+    docs = spark.createDataFrame([(i, t, 1, b"x", 2) for i, t in rows], "doc_id long, text string, kind int, t binary, dest int")
+    got = suffix_dedup.digests(suffix_dedup.removals(docs)).collect()
+    assert len(got) == len(rows)
+    known = [(i, t) for i, t in rows if i is not None]
+    want = brute.repeats([(-2, base[200:900]), (-1, "other " + base[:150]), *dict(known).items()])
+    for r in got:
+        if r.id is not None:
+            assert tuple(r)[1:] == want[r.id]
+    assert sorted(r.n_removed for r in got if r.id is None)[:2] == [0, 0]
+
+
+def test_suffix_dedup_notices_colliding_hashes(spark, monkeypatch):
+    real = suffix_dedup.intervals
+
+    def colliding(*a):
+        *rest, t, t2 = real(*a)
+        return *rest, t * 0, t2 * 0
+
+    monkeypatch.setattr(suffix_dedup, "intervals", colliding)
+    rng = np.random.default_rng(11)
+    one, two, three = ("".join(map(chr, rng.integers(97, 123, 400))) for _ in range(3))
+    docs = spark.createDataFrame([(1, one + three), (2, two + three)], "doc_id long, text string")
+    with pytest.raises(Exception, match="equal hashes of different bytes"):
+        suffix_dedup.removals(docs).count()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
