@@ -269,7 +269,7 @@ def people_meetings(v):
 def endpoint_resolution(v):
     c = v.table("customer")
     props = F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("segment"), F.concat(F.lit(" "), "c_mktsegment"), F.lit("blank"), F.lit(" "))
-    label = F.when(F.col("c_custkey") > 0, "Person").alias("label")
+    label = F.when(F.col("c_custkey") >= 0, "Person").alias("label")
     nodes = c.select(F.col("c_custkey").alias("node"), F.col("c_custkey").alias("ord"), label, props.alias("props"))
     refs = v.table("orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("edge"), label, props.alias("ref"))
     return graph.resolve_endpoints(refs, nodes)
