@@ -410,8 +410,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     n = int(np.frombuffer(x, "<i8", 1)[0])
                     meta = np.frombuffer(x, LATER, n, 8)
                     size = meta["n"].astype(np.int64) + length - 1
-                    order = np.argsort(meta["src"], kind="stable")
-                    bodies.append((meta[order], (8 + meta.nbytes + np.cumsum(size) - size)[order], x))
+                    bodies.append((meta, 8 + meta.nbytes + np.cumsum(size) - size, x))
                     continue
                 if mark != TEXT:
                     held[mark].append(np.frombuffer(b.column(3)[i].as_py(), kinds[mark]))
@@ -422,21 +421,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                         table = np.concatenate(held[k]) if held[k] else np.zeros(0, kind)
                         tables[k] = table[np.lexsort((table["at"], table["doc"]))]
                     held, owners = {k: [] for k in kinds}, {k: t["doc"].copy() for k, t in tables.items()}
+                    sent = np.concatenate([m for m, _, _ in bodies]) if bodies else np.zeros(0, LATER)
+                    by_source = np.argsort(sent["src"], kind="stable")
+                    sent, sources = sent[by_source], sent["src"][by_source]
+                    starts = np.concatenate([a for _, a, _ in bodies])[by_source] if bodies else np.zeros(0, np.int64)
+                    blobs = np.repeat(np.arange(len(bodies)), [len(m) for m, _, _ in bodies])[by_source] if bodies else np.zeros(0, np.int64)
                 doc = b.column(2)[i].as_py()
                 doc = NULL_ID if doc is None else doc
-                mine, near = {}, []
-                own = None
+                mine, near, own = {}, [], None
                 for k, table in tables.items():
                     s, e = np.searchsorted(owners[k], doc, "left"), np.searchsorted(owners[k], doc, "right")
                     mine[k] = table[s:e]
                     if e > s:
                         own = zlib.crc32(b.column(3)[i].as_buffer() or b"") if own is None else own
                         mine[k] = mine[k][mine[k]["print"] == own]
-                for meta, at, x in bodies:
-                    s, e = np.searchsorted(meta["src"], doc, "left"), np.searchsorted(meta["src"], doc, "right")
-                    if e > s:
-                        own = zlib.crc32(b.column(3)[i].as_buffer() or b"") if own is None else own
-                        near += [(meta[j], x[at[j] : at[j] + int(meta["n"][j]) + length - 1]) for j in range(s, e) if meta["sprint"][j] == own]
+                s, e = np.searchsorted(sources, doc, "left"), np.searchsorted(sources, doc, "right")
+                if e > s:
+                    own = zlib.crc32(b.column(3)[i].as_buffer() or b"") if own is None else own
+                    near = [(sent[j], bodies[blobs[j]][2][starts[j] : starts[j] + int(sent["n"][j]) + length - 1]) for j in range(s, e) if sent["sprint"][j] == own]
                 yield b, i, mine, near
 
     def packed(dest: np.ndarray, meta: np.ndarray, texts: list[bytes], kind: int) -> pa.RecordBatch:
