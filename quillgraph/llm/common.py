@@ -177,6 +177,16 @@ def batches(rows: pa.Table | None, schema: pa.Schema, most: int = 50_000) -> Ite
         yield from rows.cast(schema).to_batches(max_chunksize=most)
 
 
+def join_counted(rows: DataFrame, once: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows``, ``total`` of them, with ``once``, which has a row for each key and in ``n`` how many of ``rows`` have it.
+
+    Keys with 1/2000 of the rows or more, which are 2000 at most, are broadcast, so that their rows stay where they are; only the others are shuffled."""
+    bar = max(1000, total // 2000)
+    large = F.broadcast(once.where(F.col(n) >= bar))
+    rest = rows.join(large.select(*keys), keys, "left_anti").join(once.where(F.col(n) < bar), keys)
+    return rows.join(large, keys).unionByName(rest)
+
+
 def fresh_names(df: DataFrame, n: int) -> list[str]:
     """Column names that ``df`` does not have, whatever the case."""
     have, out = {c.lower() for c in df.columns}, []

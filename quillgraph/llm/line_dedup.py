@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_names, mix, staged, tasks_of, text_column, tidy
+from .common import fresh_names, join_counted, mix, staged, tasks_of, text_column, tidy
 
 LEAST_WORDS = 5
 #: Places of a line up to which it pairs all its documents: a bound of the pairs of one line, not of what is found; commoner lines link to their first.
@@ -122,8 +122,8 @@ def pairs(shared: DataFrame, tasks: int) -> DataFrame:
 
     ordered = shared.select("id", "pos", "h").repartition(tasks, "id").sortWithinPartitions("id", "pos")
     each = staged(ordered.mapInArrow(run, "id long, key long"), "windows")
-    first = each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    stars = each.join(first, "key").where("id > a").select("id", "a")
+    first = each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z").select("key", "a", "n")
+    stars = join_counted(each, staged(first, "firsts"), ["key"], "n", each.count()).where("id > a").select("id", "a")
     rare = shared.where(F.col("n") <= RARE).select("id", "h", "g").distinct()
     close = rare.join(rare.withColumnRenamed("id", "a"), ["h", "g"]).where("id > a").select("id", "a")
     return stars.union(close).distinct()
@@ -133,7 +133,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(id, gone array<int>, partners int): the lines to delete of each document that loses some."""
     each = staged(lines(docs, id_col, text_col), "lines")
     multi = each.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h", "g", "n")
-    shared = staged(each.join(multi, ["h", "g"]).select("id", "pos", "at", "h", "g", "words", "n"), "shared")
+    shared = join_counted(each, staged(multi, "common"), ["h", "g"], "n", each.count())
+    shared = staged(shared.select("id", "pos", "at", "h", "g", "words", "n"), "shared")
     tasks = tasks_of(shared.count(), 200_000)
     found = staged(pairs(shared, tasks), "pairs")
     held = staged(shared.groupBy("id", "h", "g").agg(F.collect_list(F.struct("pos", "at")).alias("pos"), F.first("words").alias("words"), F.first("n").alias("n")), "held")
