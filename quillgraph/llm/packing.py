@@ -10,7 +10,8 @@ Tokenising: the tokenizer drops white space and no token spans it, so a text's i
 words, one by one. A worker keeps the ids of the words it meets first, the frequent ones among them, in a bounded table, and encodes others
 each time; plain Latin words go to the tokenizer's merges without its other steps, their letters and closing signs as units of their own.
 
-Rows: null text is empty text and yields the end id alone; repeated rows are packed each for itself; a null id is kept as null.
+Rows: null text is empty text and yields the end id alone; repeated rows are packed each for itself; a null id is kept as null. Pieces of equal length are placed by checksum, id and start, so a group's packing does not depend on the order of its rows.
+A very long text is encoded whole by one task and cut into as many pieces as it takes. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Fingerprints in one variant's bucket are all within the radius of each other, so
 and each task returns a spanning forest: output is linear in the fingerprints, however large a group of near copies is.
 
 Rows: null text is empty text; a text without words has fingerprint zero and links like any other. A null id keeps its
-row, with the component of its fingerprint, but never names a component unless all its members have null ids (then null). Repeated rows get equal results.
+row, with the component of its fingerprint, but never names a component unless all its members have null ids (then null). Repeated rows get equal results. A bit that exactly half the shingles set is 0; fingerprints at the radius itself link.
+A very long text is fingerprinted whole by one task, in memory of some ten times its size. Extra columns, whatever their names, are ignored, and kept by the functions that keep documents.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ runs of spaces and following non-spaces, each on its own: a safe boundary stands
 Texts are cut there, the distinct runs of a batch that are not yet known are encoded together in lists balanced by bytes, and a bounded
 table of lengths is kept per worker. Models for which the property fails are detected on loading and whole texts are encoded.
 
-Rows: null text counts as empty (0 tokens); repeated rows get equal results; extra columns are ignored.
+Rows: null text counts as empty (0 tokens); null ids keep their rows; repeated rows get equal results; extra columns, whatever their names, are ignored. A very long text is counted whole, in runs.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Some tools compress a whole WARC file as one gzip stream, which can only be read
 bounded memory, rewrites every record as a gzip member of its own and writes a sidecar index (one JSON line a record: offset, length, id, type,
 target, digest), so any record can be read alone. Files of several members, with records in or across them, are read as well.
 
-Files are written under a temporary name and renamed when whole; a task that runs again writes the same bytes under the same name.
+Files are written under a temporary name and renamed when whole; a task that runs again writes the same bytes and puts them in the place of what an earlier attempt left, also on stores that refuse to rename over a file.
+Repeated rows are records of their own; very long payloads are held by one task each; extra columns, whatever their names, are ignored.
 Archives are opened through ``pyarrow.fs`` by URI, so the shared folder may be local, HDFS or an object store that it knows.
 """
 
@@ -104,6 +105,16 @@ def member(data: bytes, level: int = 4) -> bytes:
     return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + deflate.compress(data) + deflate.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def _replace(fs: pa.fs.FileSystem, source: str, target: str) -> None:
+    """Renames a file; one that stands there already, of an earlier attempt, goes first."""
+    if fs.get_file_info(target).type != pa.fs.FileType.NotFound:
+        try:
+            fs.delete_file(target)
+        except FileNotFoundError:
+            pass  # another attempt was faster
+    fs.move(source, target)
+
+
 def normalise(source: str, target: str, index: str) -> int:
     """Rewrites the archive ``source`` record by record to ``target`` and ``index`` (all URIs); the number of records."""
     fs, path = opened(source)
@@ -120,8 +131,8 @@ def normalise(source: str, target: str, index: str) -> int:
             idx.write((json.dumps(line) + "\n").encode())
             offset += len(data)
             n += 1
-    out_fs.move(out_path + mark, out_path)
-    out_fs.move(index_path + mark, index_path)
+    _replace(out_fs, out_path + mark, out_path)
+    _replace(out_fs, index_path + mark, index_path)
     return n
 
 

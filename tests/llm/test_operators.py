@@ -357,6 +357,21 @@ def test_warc(spark, empty, tmp_path):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_and_odd_rows(spark):
+    """Repeated rows, ties of ids, clashing names and a very long payload."""
+    long = "<b>" + "z\r\n" * 700_000
+    rows = [(1, "u", long, 1, "x"), (1, "u", long, 1, "x"), (2, "u", long, 1, "x"), (2, "u", long, 1, "x"), (None, "u", long, 1, "x"), (3, "u", "x" * 1000, 1, "x")]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string, size int, digest string")).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(0, len(long), "revisit", 2)] + [(1, len(long), "revisit", 2)] * 2 + [(2, len(long), "response", None)] * 2 + [(3, 1000, "response", None)]
+
+
+def test_embeddings_repeated_rows_and_clashing_names(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 0, 9, "x"), (1, v, 0, 9, "x"), (2, [2.0, 4.0, 6.0], 0, 9, "x"), (None, v, 0, 9, "x"), (4, v, 1, 9, "x")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n int, key string")).collect()
+    assert sorted((r.id or 0, r.n_links, r.component_id) for r in got if r.id) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (4, 0, 4)]
+
+
 def test_normaliser_round_trip(tmp_path):
     import gzip
     import json
@@ -367,7 +382,10 @@ def test_normaliser_round_trip(tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress(whole[:100]) + gzip.compress(whole[100:]))
     out, idx = f"file://{tmp_path}/o/a.warc.gz", f"file://{tmp_path}/i/a.jsonl"
     assert warc.normalise(f"file://{tmp_path}/a.gz", out, idx) == 4
+    first = (tmp_path / "o/a.warc.gz").read_bytes()
+    assert warc.normalise(f"file://{tmp_path}/a.gz", out, idx) == 4  # a second attempt
     data = (tmp_path / "o/a.warc.gz").read_bytes()
+    assert data == first and sorted(x.name for x in (tmp_path / "o").iterdir()) == ["a.warc.gz"]
     index = [json.loads(x) for x in (tmp_path / "i/a.jsonl").read_text().splitlines()]
     assert [gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]) for x in index] == [one(k) for k in sizes]
     with pytest.raises((EOFError, ValueError)):
