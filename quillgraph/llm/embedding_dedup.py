@@ -85,12 +85,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: (id long, n_links long, component_id long)."""
     element = vectors.schema[vector_col].dataType.elementType
     single = isinstance(element, (T.FloatType, T.ByteType, T.ShortType))  # sent as four bytes a component, without loss
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # one zero
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     usable, rest = rows.where(fine), rows.where(~fine)
+    same = [F.xxhash64(F.lit(k), "label", "v").alias(f"h{k}") for k in (1, 2)]  # 128 bits of label and vector: rows find their vector again without carrying it
     distinct = usable.groupBy("label", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    unique = staged(distinct.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    unique = staged(distinct.withColumn("key", F.monotonically_increasing_id()).select("*", *same), "vectors")
     shapes = unique.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     largest = unique.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     total = shapes.agg(F.sum("n")).first()[0] or 0
@@ -177,9 +178,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = staged(dealt.repartition(tasks, "cell").mapInArrow(meet, "key long, links long, root long"), "links")
     roots = connected_components(met.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("key").agg(F.sum("links").alias("links"))
-    named = unique.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "label", "v", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "key").alias("root"))
+    named = unique.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "key").alias("root"))
     named = staged(named, "named")
     smallest = staged(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
-    done = staged(named.join(smallest, "root").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id"), "done")
-    out = usable.join(done, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("id", "n_links", "component_id")
+    done = staged(named.join(smallest, "root").select("h1", "h2", "n_links", "component_id"), "done")
+    out = usable.select("id", *same).join(done, ["h1", "h2"]).select("id", "n_links", "component_id")
     return out.unionAll(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
