@@ -32,7 +32,7 @@ from .common import tasks_of, text_column, tidy
 SEQUENCE_TOKENS, END_ID = 4096, 2
 #: Expected documents in a group.
 GROUP_DOCS = 16_384
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 400_000
 KEPT_CHARS = 64
 _WORDS = re.compile(b"[^ \t\n\r]+")
 #: Latin letters in UTF-8, then closing signs.
