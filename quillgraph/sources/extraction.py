@@ -95,3 +95,32 @@ def answers(df: DataFrame, prompt: str, make_client: Callable[[], Callable[[str]
             yield pd.Series([one(p) for p in batch], dtype=object)
 
     return df.withColumn(into, ask.asNondeterministic()(F.col(prompt)))
+
+
+SPANS = "array<struct<type_idx:int,start:int,length:int>>"
+
+
+def spans(df: DataFrame, text: str, make_model: Callable[[], Callable[[list[str]], list[list[tuple[int, int, int]]]]], into: str = "spans") -> DataFrame:
+    """Adds the spans (type, start, length in characters) that an extraction model finds in each text.
+
+    ``make_model`` is called once a task, where it loads weights; its model takes a batch of texts. Null texts have no spans; a span outside its text is an error."""
+
+    @F.pandas_udf(SPANS)
+    def infer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        for batch in batches:
+            texts = [x or "" for x in batch]
+            out = []
+            for x, found in zip(texts, model(texts), strict=True):
+                if any(start < 0 or length <= 0 or start + length > len(x) for _, start, length in found):
+                    raise ValueError("a span lies outside its text")
+                out.append([{"type_idx": k, "start": start, "length": length} for k, start, length in found])
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn(into, infer(F.col(text)))
+
+
+def span_rows(df: DataFrame, key: str, text: str, into: str = "spans") -> DataFrame:
+    """(line_id, type_idx, start, text): a row for each span, for grouping by label."""
+    each = df.select(F.col(key).alias("line_id"), F.col(text).alias("line"), F.explode(into).alias("x"))
+    return each.select("line_id", "x.type_idx", "x.start", F.expr("substring(line, x.start + 1, x.length)").alias("text"))

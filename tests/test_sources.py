@@ -72,6 +72,17 @@ def test_grouped_entities(spark):
     assert got == {("人", ("A", "B")), ("地", ("C",))}
 
 
+def test_inference_of_lines(spark):
+    def model():
+        return lambda texts: [[(0, k, 2) for k in range(len(t) - 1) if t[k : k + 2] == "王安"] for t in texts]
+
+    lines = spark.createDataFrame([(1, "見王安石王安"), (2, None), (3, "")], "i long, t string")
+    found = extraction.span_rows(extraction.spans(lines, "t", model), "i", "t").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 1, "王安"), (1, 0, 4, "王安")]
+    with pytest.raises(Exception, match="outside its text"):
+        extraction.spans(lines, "t", lambda: lambda texts: [[(0, 5, 9)] for _ in texts]).collect()
+
+
 def test_scheduler_stops_and_resumes(spark, tmp_path):
     ran = []
 
