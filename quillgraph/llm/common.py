@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,10 +35,18 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/quillgraph/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a size as Spark's settings spell it, such as ``64m`` or ``8388608b``."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", size.strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {size!r}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by bytes, unless they are bounded lower already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+    if byte_count(spark.conf.get(name)) > ARROW_BYTES:
         spark.conf.set(name, f"{ARROW_BYTES}b")
 
 

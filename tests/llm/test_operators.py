@@ -574,6 +574,15 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(guess - x @ x.T) <= bound[:, None])[off].mean() > 0.9999
 
 
+def test_arrow_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", common.ARROW_BYTES), ("1048576", 1 << 20), ("3m", 3 << 20)):
+        spark.conf.set(name, given)
+        common.small_batches(spark)
+        assert common.byte_count(spark.conf.get(name)) == want
+    spark.conf.unset(name)
+
+
 def test_long_hash_is_sparks(spark):
     values = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 50)
     rows = spark.createDataFrame([(int(v),) for v in [*values, 0, -1, -(1 << 63)]], "x long").select("x", F.xxhash64("x").alias("h")).collect()
