@@ -4,7 +4,8 @@ Two fingerprints within ``radius`` bits share a value within half the radius of
 fingerprint emits its variants within ``radius // 2`` bits, the variants are shuffled, and fingerprints that meet in a variant are
 deduplicated as pairs and verified. A variant's destination is its leading bits only: a fingerprint is sent
 once to each destination that some variant of it has, with the flips left, and the variants are spelled out there.
-The rows shuffled are then tens a fingerprint instead of 2,081, of the same multiset of variants.
+The rows shuffled are then tens a fingerprint instead of 2,081, of the same multiset of variants. A destination with too many
+fingerprints for a task is split by further bits, so that near copies crowd no task.
 
 Fingerprints in one variant's bucket are all within the radius of each other, so a bucket is joined as a star
 and each task returns a spanning forest: output is linear in the fingerprints, however large a group of near copies is.
@@ -16,6 +17,7 @@ A very long text is fingerprinted whole by one task, in memory of some ten times
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -31,6 +33,10 @@ from .components import connected_components
 SHINGLE_WORDS, RADIUS, BITS = 4, 4, 64
 #: Variants that are sorted at once in a task (some 60 bytes each).
 VARIANTS_AT_ONCE = 1_500_000
+#: Fingerprints of one destination that a task holds, and rows of many destinations that it reads.
+PRINTS_AT_ONCE, ROWS_A_TASK = 2_000_000, 16_000_000
+#: Further bits by which a crowded destination is split.
+STEP_BITS = 6
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.int64)
 
 
@@ -105,13 +111,74 @@ def _meet(fp: np.ndarray, left: np.ndarray, bits: int, radius: int, out: list[np
     out.append(np.stack([fp[a[near]], fp[b[near]]], 1))
 
 
-def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """``prints(fp long)``, distinct, ``n`` of them -> (a, b): edges that connect the same fingerprints as all pairs within ``radius`` bits."""
+def _by_prefix(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprints, flips left) of one destination after the other, from rows sorted by it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+    for b in it:
+        to, fp, left = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        for s, e in zip([0, *cuts], [*cuts, len(to)], strict=True):
+            if held and to[s] != now:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            if e > s:
+                now = to[s]
+                held.append((fp[s:e].view(np.uint64), left[s:e].astype(np.int64)))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _forest(pairs: list[np.ndarray]) -> np.ndarray:
+    """Edges from each fingerprint of ``pairs`` to the smallest that it is connected with."""
+    ends, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = find_roots(len(ends), at[:, 0], at[:, 1])
+    return np.stack([ends, ends[root]], 1)[root != np.arange(len(ends))]
+
+
+def _meetings(sent: DataFrame, lead: int, tasks: int, radius: int) -> DataFrame:
+    """Edges (a, b) within each destination of ``sent(to, fp, left)``, destinations being ``lead`` leading bits of variants."""
+
+    @tidy
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, left in _by_prefix(it):
+            found: list[np.ndarray] = []
+            _meet(fp, left, BITS - lead, radius, found)
+            if found:
+                e = _forest(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    return sent.repartition(tasks, "to").sortWithinPartitions("to").mapInArrow(meet, "a long, b long")
+
+
+def _sent_on(sent: DataFrame, step: int, half: int) -> DataFrame:
+    """Rows of ``sent`` for destinations with ``step`` more bits: one row for each value of those bits that the flips left reach."""
+    masks = _flips(step, half)
+
+    @tidy
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            to, fp, left, bits = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for used, mask in enumerate(masks):
+                who = np.flatnonzero(left >= used)
+                if len(who) and len(mask):
+                    own = (fp[who].view(np.uint64) >> (BITS - step - bits[who]).astype(np.uint64)) & np.uint64((1 << step) - 1)
+                    onward = (to[who].view(np.uint64) << np.uint64(step))[:, None] | (own[:, None] ^ mask[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(onward.ravel().view(np.int64)), pa.array(np.repeat(fp[who], len(mask))), pa.array(np.repeat(left[who] - used, len(mask)).astype(np.int8))], ["to", "fp", "left"])
+
+    return sent.mapInArrow(run, "to long, fp long, left byte")
+
+
+def links(prints: DataFrame, n: int, radius: int = RADIUS, most: int = PRINTS_AT_ONCE) -> DataFrame:
+    """``prints(fp long)``, distinct, ``n`` of them -> (a, b): edges that connect the same fingerprints as all pairs within ``radius`` bits.
+
+    A destination of more than ``most`` fingerprints, as clusters of near copies make, is split by further bits of the variants, in steps up to all 64:
+    within one whole variant are no more than the ball around it, 2,081 for a radius of 4."""
     half = radius // 2
     variants = sum(math.comb(BITS, k) for k in range(half + 1))
     lead = min(24, max(7, math.ceil(math.log2(max(1, n) * variants / (4 * VARIANTS_AT_ONCE) + 1))))
-    masks = _flips(lead, half)
-    flat = [(int(m), k) for k, group in enumerate(masks) for m in group]
+    flat = [(int(m), k) for k, group in enumerate(_flips(lead, half)) for m in group]
 
     @tidy
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,32 +188,23 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             for s in range(0, len(fp), 20_000):
                 part = fp[s : s + 20_000]
                 to = ((part >> np.uint64(BITS - lead))[:, None] ^ flip[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.repeat(part, len(flip)).view(np.int64)), pa.array(np.tile(half - used.astype(np.int64), len(part)).astype(np.int8))], ["to", "fp", "left"])
-
-    @tidy
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in it]
-        if not rows:
-            return
-        to, fp, left = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(to, kind="stable")
-        to, fp, left = to[order], fp[order].view(np.uint64), left[order].astype(np.int64)
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        edges: list[np.ndarray] = []
-        for s, e in zip([0, *cuts], [*cuts, len(to)], strict=True):
-            found: list[np.ndarray] = []
-            _meet(fp[s:e], left[s:e], BITS - lead, radius, found)
-            if found:
-                ends, at = np.unique(np.concatenate(found), return_inverse=True)
-                at = at.reshape(-1, 2)
-                root = find_roots(len(ends), at[:, 0], at[:, 1])
-                edges.append(np.stack([ends, ends[root]], 1)[root != np.arange(len(ends))])
-        if edges:
-            e = np.unique(np.concatenate(edges), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-    sent = prints.select("fp").mapInArrow(send, "to int, fp long, left byte")
-    return sent.repartition(max(12, (1 << lead) // 4), "to").mapInArrow(meet, "a long, b long")
+                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(np.repeat(part, len(flip)).view(np.int64)), pa.array(np.tile(half - used.astype(np.int64), len(part)).astype(np.int8))], ["to", "fp", "left"])
+
+    sent = prints.select("fp").mapInArrow(send, "to long, fp long, left byte")
+    total, done = n * len(flat), []
+    # A destination above the bound has a leading value with its share of that many fingerprints.
+    most_alike = prints.groupBy(F.shiftrightunsigned("fp", BITS - lead).alias("to")).count().agg(F.max("count")).first()[0] or 0
+    while most_alike * len(flat) > most and lead < BITS:
+        over = staged(sent.groupBy("to").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("to"), "crowded")
+        if over.isEmpty():
+            break
+        over = F.broadcast(over)  # a row for more than ``most`` of the rows sent
+        done.append(staged(_meetings(sent.join(over, "to", "left_anti"), lead, tasks_of(total, ROWS_A_TASK), radius), "met"))
+        step = min(STEP_BITS, BITS - lead)
+        crowd = sent.join(over, "to", "left_semi").select("to", "fp", "left", F.lit(lead).alias("bits"))
+        sent = staged(_sent_on(crowd, step, half), "sent")
+        lead, total = lead + step, sent.count()
+    return functools.reduce(DataFrame.union, done, _meetings(sent, lead, tasks_of(total, ROWS_A_TASK), radius))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -68,6 +68,20 @@ def test_simhash_links_on_random_prints():
     assert brute.components(nodes, edges) == want
 
 
+def test_simhash_splits_crowded_destinations(spark):
+    """A cluster that agrees in its leading bits, another spread over all bits, and strangers; destinations split down to whole variants."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = [[int(b) for b in rng.choice(12 if k % 2 else 64, int(rng.integers(0, 6)), replace=False)] for k in range(300)]
+    near = [int(core[k % 3]) ^ sum(1 << b for b in bits) for k, bits in enumerate(flips)]
+    fp = sorted({*near, *rng.integers(0, 1 << 63, 200, dtype=np.uint64).tolist(), 0, (1 << 64) - 1})
+    want = brute.components(fp, [(a, b) for a in fp for b in fp if a < b and (a ^ b).bit_count() <= 4])
+    prints = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fp], "fp long")
+    for most in (10, 150, simhash.PRINTS_AT_ONCE):
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(prints, len(fp), most=most).collect()]
+        assert brute.components(fp, edges) == want
+
+
 def test_pipeline_links_texts_of_similarity_08(spark, docs, empty):
     import corpus_pipeline
 
