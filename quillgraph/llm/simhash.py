@@ -199,12 +199,12 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, most: int = PRINTS_AT
         if over.isEmpty():
             break
         over = F.broadcast(over)  # a row for more than ``most`` of the rows sent
-        done.append(staged(_meetings(sent.join(over, "to", "left_anti"), lead, tasks_of(total, ROWS_A_TASK), radius), "met"))
+        done.append(staged(_meetings(sent.join(over, "to", "left_anti"), lead, tasks_of(total, ROWS_A_TASK, 32), radius), "met"))
         step = min(STEP_BITS, BITS - lead)
         crowd = sent.join(over, "to", "left_semi").select("to", "fp", "left", F.lit(lead).alias("bits"))
         sent = staged(_sent_on(crowd, step, half), "sent")
         lead, total = lead + step, sent.count()
-    return functools.reduce(DataFrame.union, done, _meetings(sent, lead, tasks_of(total, ROWS_A_TASK), radius))
+    return functools.reduce(DataFrame.union, done, _meetings(sent, lead, tasks_of(total, ROWS_A_TASK, 32), radius))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -227,6 +227,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 SIMILAR_WORDS, LEAST_SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
+#: Sets, and shingles in them, of one bucket that a task holds; members of a larger bucket that are compared with all of it in each of some turns.
+MEMBERS_AT_ONCE, SHINGLES_AT_ONCE, ASKERS, ASKING_TURNS = 2_000, 4_000_000, 4, 2
 _MULTIPLIERS = np.random.default_rng(17).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -255,26 +257,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SIMILAR) -> DataFrame:
-    """(id, component_id) over documents linked where the Jaccard similarity of their five-word shingles is ``least`` or more; null ids take no part.
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    return min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least
 
-    No radius of 64-bit SimHash fits: a pair at 0.8 differs in some ten bits, and in many more by chance. Bands of min-hashes propose the pairs, and the shingles decide.
-    Equal sets are joined beforehand; a bucket's pairs are compared unless links in it connect them already, so near copies take few comparisons."""
 
-    @tidy
-    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], ["id", "same", "keys"])
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    @tidy
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "found"])
+
+def _within(rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect what is similar in each bucket of ``rows(key, id, found)``, sorted by key; one bucket is held at a time."""
 
     @tidy
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
         groups: list[list[tuple[int, np.ndarray]]] = []
 
@@ -282,7 +277,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             """Links of one more member to the groups connected so far, which it joins into one."""
             near, far, edges = [(i, x)], [], []
             for group in groups:
-                hit = next((j for j, y in group if min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least), None)
+                hit = next((j for j, y in group if _alike(x, y, least)), None)
                 if hit is None:
                     far.append(group)
                 else:
@@ -299,22 +294,131 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     groups.clear()
                 edges += put(i, np.frombuffer(x.as_py(), np.uint64))
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["a", "b"])
+                yield _edges(edges)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _asked(rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between the askers and the others of each cell of ``rows(key, chunk, block, other, id, comp, found)``, sorted
+    by all but the last two. The askers of a cell are held, the others stream by; pairs whose components are connected already are not compared."""
+
+    @tidy
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        askers: list[tuple[int, int, np.ndarray]] = []
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        for b in it:
+            edges = []
+            columns = [b.column(k).to_pylist() for k in range(6)]
+            for *here, other, i, c, x in zip(*columns, b.column(6), strict=True):
+                if here != cell:
+                    cell = here
+                    askers.clear()
+                    joined.clear()
+                x = np.frombuffer(x.as_py(), np.uint64)
+                if not other:
+                    askers.append((i, c, x))
+                    continue
+                for j, d, y in askers:
+                    if root(c) != root(d) and _alike(x, y, least):
+                        joined[root(c)] = root(d)
+                        edges.append((i, j))
+            if edges:
+                yield _edges(edges)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _ask(askers: DataFrame, members: DataFrame, found: DataFrame, least: float, most_members: int, most_shingles: int) -> DataFrame:
+    """Edges between ``askers`` and ``members``, both (key, id, size, comp), of each bucket: askers in chunks and members in blocks that a task can hold, each chunk against each block."""
+
+    def parts(of: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.greatest(F.count(F.lit(1)) / most_members, F.sum("size") / most_shingles)).cast("int")
+        return of.groupBy("key").agg(F.greatest(n, F.lit(1)).alias(name))
+
+    cells = staged(parts(askers, "chunks").join(parts(members, "blocks"), "key"), "cells")
+    own = lambda n, by: F.pmod(F.xxhash64("id", F.lit(by)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    from_ = askers.join(cells, "key").select("key", own("chunks", 1).alias("chunk"), every("blocks").alias("block"), F.lit(0).alias("other"), "id", "comp")
+    to = members.join(cells, "key").select("key", every("chunks").alias("chunk"), own("blocks", 2).alias("block"), F.lit(1).alias("other"), "id", "comp")
+    rows = staged(from_.union(to), "asked")
+    cell = ["key", "chunk", "block"]
+    dealt = rows.join(found, "id").select(*cell, "other", "id", "comp", "found").repartition(tasks_of(rows.count(), 20_000), *cell)
+    return staged(_asked(dealt.sortWithinPartitions(*cell, "other", "id"), least), "answers")
+
+
+def _in_crowds(crowds: DataFrame, found: DataFrame, links_: DataFrame, least: float, most_members: int, most_shingles: int) -> DataFrame:
+    """``links_(a, b)`` with the links in buckets too large for one task, ``crowds(key, id, size)``, that connect further components.
+
+    Some members of each bucket, spread by hash, are compared with all: in a group of near copies they connect most. Then all members outside the bucket's
+    largest component are compared with all, chunk by block, so every pair that is not connected yet is compared."""
+
+    def now() -> DataFrame:
+        """Members, with their components, of buckets that more than one component has a part in."""
+        roots = connected_components(links_)
+        named = crowds.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("comp"))
+        named = staged(named, "crowds")
+        return named.join(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "key")
+
+    for turn in range(ASKING_TURNS):
+        open_ = staged(now(), "open")
+        if open_.isEmpty():
+            return links_
+        order = F.xxhash64("id", "key", F.lit(turn))
+        first = open_.groupBy("key", F.pmod(order, F.lit(ASKERS)).alias("slot")).agg(F.min_by(F.struct("id", "size", "comp"), order).alias("m")).select("key", "m.*")
+        links_ = links_.union(_ask(first, open_, found, least, most_members, most_shingles))
+    open_ = staged(now(), "open")
+    if open_.isEmpty():
+        return links_
+    largest = open_.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    rest = staged(open_.join(largest, "key").where("comp <> largest").select("key", "id", "size", "comp"), "rest")
+    return links_.union(_ask(rest, open_, found, least, most_members, most_shingles))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SIMILAR, most_members: int = MEMBERS_AT_ONCE, most_shingles: int = SHINGLES_AT_ONCE) -> DataFrame:
+    """(id, component_id) over documents linked where the Jaccard similarity of their five-word shingles is ``least`` or more; null ids take no part.
+
+    No radius of 64-bit SimHash fits: a pair at 0.8 differs in some ten bits, and in many more by chance. Bands of min-hashes propose the pairs, and the shingles decide.
+    Equal sets are joined beforehand; a bucket's pairs are compared unless links connect them already, so near copies take few comparisons.
+    A bucket of more than ``most_members`` sets or ``most_shingles`` shingles is compared in parts that a task can hold, with the same links."""
+
+    @tidy
+    def sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "same", "size", "keys"])
+
+    @tidy
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "found"])
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t"))
-    each = staged(given.mapInArrow(sketch, "id long, same binary, keys array<long>"), "sketches")
+    each = staged(given.mapInArrow(sketch, "id long, same binary, size long, keys array<long>"), "sketches")
     firsts = staged(each.groupBy("same").agg(F.min("id").alias("first")), "same")
-    distinct = each.join(firsts, "same").where("id = first").select("id", F.explode("keys").alias("key")).distinct()
+    distinct = each.join(firsts, "same").where("id = first").select("id", "size", F.explode("keys").alias("key")).distinct()
     distinct = staged(distinct, "bands")
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = staged(distinct.join(several, "key").select("key", "id"), "buckets")
+    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    crowded = (F.col("n") > most_members) | (F.col("shingles") > most_shingles)
+    members = staged(distinct.join(several, "key").select("key", "id", "size", crowded.alias("crowded")), "buckets")
     n = members.count()
     wanted = members.select("id").distinct()
     found = staged(given.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
-    tasks = tasks_of(n, 20_000)
-    ordered = members.join(found, "id").select("key", "id", "found").repartition(tasks, "key").sortWithinPartitions("key", "id")
-    links_ = ordered.mapInArrow(compare, "a long, b long")
-    roots = connected_components(links_.union(each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    ordered = members.where("NOT crowded").join(found, "id").select("key", "id", "found").repartition(tasks_of(n, 20_000), "key").sortWithinPartitions("key", "id")
+    links_ = staged(_within(ordered, least).union(each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))), "links")
+    crowds = members.where("crowded")
+    if not crowds.isEmpty():
+        links_ = _in_crowds(crowds.select("key", "id", "size"), found, links_, least, most_members, most_shingles)
+    roots = connected_components(links_)
     return each.select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
 
 

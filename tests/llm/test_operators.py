@@ -104,6 +104,31 @@ def test_pipeline_links_texts_of_similarity_08(spark, docs, empty):
     assert simhash.keep_one_similar(empty).count() == 0
 
 
+def test_similar_documents_in_crowded_buckets(spark, monkeypatch):
+    """A group of near copies, a chain, documents on one template that are no copies, repeated rows: whole buckets and parts of them give the same links."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(40, k % 6, replace=False):
+            words[7 * at] = f"x{k}"
+        texts.append(" ".join(words))
+    for k in range(25):  # each five words further than the one before
+        texts.append(" ".join([*base[: 300 - 8 * k], *(f"c{x}" for x in range(8 * k))]))
+    for k in range(40):  # three quarters are the template's
+        texts.append(" ".join([*base[:225], *(f"own{k}_{x}" for x in range(75))]))
+    texts += [texts[3], texts[-1]]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    given = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")
+    want = brute.similar(rows)
+    assert 5 < len(set(want.values())) < len(rows) - 60
+    for members, shingle_count, turns in ((2000, 4_000_000, 2), (6, 4_000_000, 2), (2000, 1500, 1), (5, 4_000_000, 0)):
+        monkeypatch.setattr(simhash, "ASKING_TURNS", turns)
+        got = simhash.similar_documents(given, most_members=members, most_shingles=shingle_count)
+        assert {r.id: r.component_id for r in got.collect()} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(400 + k, 401 + k) for k in range(40)]
