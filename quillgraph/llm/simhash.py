@@ -407,7 +407,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     firsts = staged(each.groupBy("same").agg(F.min("id").alias("first")), "same")
     distinct = each.join(firsts, "same").where("id = first").select("id", "size", F.explode("keys").alias("key")).distinct()
     distinct = staged(distinct, "bands")
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    # Near copies meet in many bands: of the buckets with the same members, by 128 bits of their hashes, one is compared.
+    who = [F.bit_xor(F.xxhash64("id", "size", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
+    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *who).where("n > 1")
+    several = several.groupBy("n", "shingles", "who1", "who2").agg(F.min("key").alias("key"))
     crowded = (F.col("n") > most_members) | (F.col("shingles") > most_shingles)
     members = staged(distinct.join(several, "key").select("key", "id", "size", crowded.alias("crowded")), "buckets")
     n = members.count()
