@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, warc
+from . import byte_bpe, decontaminate, embedding_dedup, filter_audit, hard_negatives, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, token_counts, warc
 from .common import small_batches
 
 
@@ -73,6 +73,26 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -84,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_embeddings": op10_embeddings,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: The other operators hash, tokenise, lex or align in ways that SQL does not have; their queries are held against plain versions in the tests.
@@ -106,4 +129,59 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
         SELECT node AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, node = component_id AS kept FROM least LEFT JOIN n ON n.a = node
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pair AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+        ),
+        positive AS (SELECT anchor_id, other_id, score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        negative AS (
+            SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, n.other_id AS negative_id, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS rank
+            FROM positive p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 3
+    """,
+    "op12_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+        said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        flag AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   CAST(len(words) < 100 AS INTEGER) AS a,
+                   CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER) AS b,
+                   CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INTEGER) AS c,
+                   CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) AS d,
+                   CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS e
+            FROM w LEFT JOIN said ON said.doc_id = w.doc_id
+        ),
+        counted AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flag GROUP BY ALL),
+        letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        ord AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+            FROM letter a JOIN letter b ON b.l <> a.l JOIN letter c ON c.l NOT IN (a.l, b.l) JOIN letter d ON d.l NOT IN (a.l, b.l, c.l) JOIN letter e ON e.l NOT IN (a.l, b.l, c.l, d.l)
+        ),
+        step AS (
+            SELECT filter_order, k AS step, 1 << (ascii(filter_order[k]) - 65) AS mine, list_sum([CASE WHEN j < k THEN 1 << (ascii(filter_order[j]) - 65) ELSE 0 END FOR j IN [1, 2, 3, 4, 5]]) AS before
+            FROM ord, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+        ),
+        result AS (
+            SELECT part, filter_order, step, mine,
+                   sum(CASE WHEN failed & (before::BIGINT | mine) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN failed & mine > 0 AND failed & before::BIGINT = 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN failed & mine > 0 AND failed & before::BIGINT > 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN failed = mine THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN failed & mine > 0 AND failed & before::BIGINT = 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN failed & mine > 0 AND failed & before::BIGINT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM counted, step GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+        FROM result
+    """,
 }

@@ -21,6 +21,9 @@ TYPES = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_line_dedup": "doc_id bigint, n_lines bigint, n_removed bigint, n_partners bigint, kept_sha256 string",
     "op10_embeddings": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op13_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
 
@@ -117,7 +120,7 @@ def test_op9(spark, texts):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     db = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "labels"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = db.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
