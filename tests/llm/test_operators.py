@@ -1,6 +1,7 @@
 """Each operator against a plain version, with nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,17 @@ V = "q8W-e7R6t5Y4u3"
         f'{"very_" * 60}long_password = "{V}"',
         f"secret := '{V[:6]}' + \"{V[6:]}\"",
         f"secret = '{V[:6]}' '{V[6:]}'",
+        f"password: |\n  {V}\nuser: me",
+        f"db:\n  secret: >-\n    {V[:6]}\n    {V[6:]}\n  user: me",
+        f"config.yaml: |\n  password: {V}\n",
+        f'token = \\\n    "{V}"',
+        f'token = "{V[:6]}" \\\n    "{V[6:]}"',
+        f'token = live ? "{V}" : "no"',
+        f'token = isLive() ? other : "{V}"',
+        f'token = "{V}" if live else None',
+        f"url=https://host/?token={V}&user=me",
+        f'token = decode(strip("{V}"))',
+        f'head = "{V[:6]}"\ntoken = head + "{V[6:]}"',
     ],
 )
 def test_source_and_configuration(text):
@@ -193,6 +205,32 @@ def test_what_is_no_literal(text):
     assert secret_scan.literal_spans(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        lambda n: 'f("a", (' * (n // 8),
+        lambda n: "".join(f"token_{k} = token_{k + 1}\n" for k in range(n // 24)),
+        lambda n: "".join(f'a{k + 1} = a{k} + "xY{k}"\n' for k in range(n // 20)) + f"token = a{n // 20}",
+        lambda n: "a=b+" * (n // 4),
+        lambda n: "a=b + " * (n // 6),
+        lambda n: "token=" * (n // 6),
+        lambda n: "x:y[" * (n // 4),
+        lambda n: "token=f(" * (n // 8),
+        lambda n: "token = a ? " * (n // 12),
+        lambda n: "".join(" " * (k % 50) + "token: |\n" for k in range(n // 35)),
+        lambda n: "f(`" * (n // 3),
+        lambda n: 'password = "' + "<" * n + '"',
+    ],
+)
+def test_secrets_take_time_that_grows_with_the_text(text):
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        secret_scan.literal_spans(text(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1 and took[1] < 8
+
+
 NAMES = ["x-api-key", "api.key", "api-key", "api_key", "apikey", "APIKEY", "signing_key", "signingkey", "signing-key", "pass_key", "passKey", *(n for n, w in secret_scan.NAME_WEIGHT.items() if w >= secret_scan.LEAST_SCORE), *secret_scan.KEY_NAMES]
 
 
