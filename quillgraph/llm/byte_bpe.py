@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import BASE, slices, text_column, tidy
 
 #: Stretches and words that a worker keeps: the first it meets, the frequent ones among them; others are encoded each time.
-KNOWN_STRETCHES, KNOWN_WORDS = 500_000, 100_000
+KNOWN_STRETCHES, KNOWN_WORDS = 250_000, 50_000
 KEPT_CHARS = 64
 #: Bytes of text whose unknown words are replayed together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: What stands for the bounds of words and for tokens that merges have taken, in a row of tokens; beyond any id.
 WIDE, WALL, GONE = 1 << 24, (1 << 24) - 1, -2
 #: Places from which on a merge is applied to all in one step.
