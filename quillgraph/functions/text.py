@@ -111,15 +111,3 @@ def without_reasoning(x: Column) -> Column:
     """A model's output without its reasoning and what stands before the first brace."""
     x = F.regexp_replace(x, r"(?s)<think>.*?</think>", "")
     return F.when(F.instr(x, "{") > 0, F.regexp_replace(x, r"(?s)^[^{]*", "")).otherwise(x)
-
-
-def repaired_json(x: Column) -> Column:
-    """Usual faults of model-written JSON mended: byte-order mark, fences, list numbers, missing, doubled and trailing commas."""
-    x = F.regexp_replace(x, "^﻿", "")
-    x = F.regexp_replace(x, r"(?m)^\s*```\w*\s*$", "")
-    x = F.regexp_replace(x, r"(?m)^\s*\d+\s*[:.)]\s*(?=\{)", "")
-    x = F.regexp_replace(x, r"\}\s*(?=\{)", "},")
-    x = F.regexp_replace(x, r",\s*,+", ",")
-    x = F.regexp_replace(x, r",\s*(?=[\]}])", "")
-    x = F.regexp_replace(F.trim(x), r"\s*,\s*$", "")
-    return F.when(x.startswith("{"), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)

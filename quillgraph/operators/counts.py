@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import settled
+
 
 def people_per(df: DataFrame, *by: str, person: str = "person_id") -> DataFrame:
     """Distinct people of each bucket; blank buckets do not count."""
@@ -27,6 +29,37 @@ def ranked_shares(counts: DataFrame, label: str, n: str = "people") -> DataFrame
     return out.withColumn("cumulative", F.bround(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)), 4))
 
 
+def shares_in_parts(counts: DataFrame, label: str, n: str = "people") -> DataFrame:
+    """As :func:`ranked_shares`, for any number of buckets: rows are dealt to partitions by range, each partition's rows are numbered on their own, and offsets come from the partitions' totals.
+
+    What reaches the driver is a row for each partition; no window spans them."""
+    order = [F.col(n).desc(), F.col(label)]
+    dealt = settled(counts.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    total = dealt.agg(F.sum(n)).first()[0]
+    shared = dealt.withColumn("share", F.bround(F.col(n) / F.lit(total), 4))
+    offsets, rows, share = [], 0, 0.0
+    for r in shared.groupBy("__part").agg(F.count(F.lit(1)).alias("rows"), F.sum("share").alias("share")).orderBy("__part").collect():
+        offsets.append((r["__part"], rows, share))
+        rows, share = rows + r["rows"], share + (r["share"] or 0.0)
+    before = F.broadcast(counts.sparkSession.createDataFrame(offsets, "__part int, __rows long, __share double"))
+    w = Window.partitionBy("__part").orderBy(*order)
+    rank = (F.row_number().over(w) + F.col("__rows")).cast("long")
+    cumulative = F.bround(F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__share"), 4)
+    return shared.join(before, "__part").withColumns({"rank": rank, "cumulative": cumulative}).select(*counts.columns, "rank", "share", "cumulative")
+
+
+def numbered_in_parts(df: DataFrame, *order: Column | str) -> DataFrame:
+    """All rows in the given total order with their ``place`` from 1, numbered in range partitions: :func:`ordered` without its one task. Ties beyond the order may fall either way."""
+    dealt = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    offsets, rows = [], 0
+    for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("rows")).orderBy("__part").collect():
+        offsets.append((r["__part"], rows))
+        rows += r["rows"]
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __rows long"))
+    place = (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__rows")).cast("long")
+    return dealt.join(before, "__part").withColumn("place", place).drop("__part", "__rows")
+
+
 def banded(counts: DataFrame, parent: str, n: str = "people") -> DataFrame:
     """Adds the parent's total, by which bands are ordered."""
     return counts.withColumn("parent_total", F.sum(n).over(Window.partitionBy(parent)))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -62,58 +58,6 @@ def search(names: DataFrame, query: str, name: str, node: str, most: int | None
     return out.orderBy("name", "node").limit(most) if most else out
 
 
-def mentions(texts: DataFrame, key: str, body: str, names: DataFrame, name: str, scripts: bool = False, normal: bool = False, most_bytes: int = 8 << 20) -> DataFrame:
-    """(key, name): each row of ``texts`` with each distinct name its text contains. Empty and null names and texts match nothing.
-
-    The names are the query set. They go out in blocks of ``most_bytes``, each as one automaton that finds all its names in a single pass over a text, so neither names nor pairs are multiplied and what is sent does
-    not grow with them; texts are neither shuffled nor carried along. ``normal`` compares in normal form; ``scripts`` also in simplified and in traditional form."""
-    names = names.where(F.length(name) > 0)
-    spellings = names.select(F.col(name).alias("name"), (text.norm(F.col(name)) if normal else F.col(name)).alias("form")).distinct().where("form <> ''")
-    size = spellings.agg(F.coalesce(F.sum(F.octet_length("form") + F.octet_length("name")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // max(1, most_bytes // 2)))
-    plain = text.norm(F.col(body)) if normal else F.col(body)
-    given = texts.select(F.col(key).alias("key"), plain.alias("t")).where("t <> ''")
-    schema = T.StructType([T.StructField("key", texts.schema[key].dataType), T.StructField("name", T.StringType())])
-    out = None
-    for k in range(blocks):
-        part = spellings.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k)
-        hits = given.mapInArrow(_finder([(r["form"], r["name"]) for r in part.toLocalIterator()], scripts), schema)  # most_bytes at most
-        out = hits if out is None else out.unionAll(hits)
-    return out.withColumnsRenamed({"key": key, "name": name})
-
-
-def _finder(spelt: list[tuple[str, str]], scripts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function of batches(key, t) that finds the names of (form, name) pairs."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automata = []
-        for convert in text.CONVERSIONS if scripts else text.CONVERSIONS[:1]:
-            held: dict[str, set[str]] = {}
-            for form, name in spelt:
-                held.setdefault(convert(form), set()).add(name)
-            machine = ahocorasick.Automaton()
-            for form, found in held.items():
-                machine.add_word(form, found)
-            if held:
-                machine.make_automaton()
-                automata.append((convert, machine))
-        for b in it:
-            rows, names_ = [], []
-            for i, t in enumerate(b.column(1)):
-                found = set()
-                for convert, machine in automata:
-                    for _, x in machine.iter(convert(t.as_py())):
-                        found |= x
-                rows += [i] * len(found)
-                names_ += found
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(names_, pa.string())], ["key", "name"])
-
-    return run
-
-
 def decoded_spans(head: DataFrame, tail: DataFrame, first: float = 0.4, later: float = 0.7) -> DataFrame:
     """``head(line_id, type_idx, pos, delta, p)``, ``tail(line_id, pos, p)`` -> (line_id, type_idx, start, length): both ends over the threshold, which is lower at delta 0."""
     cut = F.when(F.col("delta") == 0, first).otherwise(later)

@@ -29,6 +29,13 @@ def match_facets(people: DataFrame, attributes: DataFrame, chosen: dict[str, lis
     return people
 
 
+def admitted(attributes: DataFrame, facet: str = "户籍类型", values: tuple[str, ...] = tuple(HOUSEHOLDS)) -> DataFrame:
+    """``attributes(person_id, facet, value)`` without the values of a facet that the analysis does not admit; of household types three count, in simplified script and without spaces around."""
+    mine = F.col("facet") == facet
+    form = F.trim(text.to_simplified(F.col("value")))
+    return attributes.where(~mine | form.isin(*values)).withColumn("value", F.when(mine, form).otherwise(F.col("value")))
+
+
 def bucket_hits(attributes: DataFrame, target: str, key: str = "person_id", value: str = "value") -> DataFrame:
     """Distinct keys with a value that equals the target when both are normalised without white space."""
     same = text.strip_ws(text.nfkc(F.col(value))) == text.strip_ws(text.nfkc(F.lit(target)))

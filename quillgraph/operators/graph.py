@@ -6,14 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name
+from .staging import settled
 
 
-def comembers(members: DataFrame) -> DataFrame:
+#: Members of an event that are paired in one group; larger events are cut into blocks.
+BLOCK = 1_000
+
+
+def member_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``members(event_id, person_id)`` -> (event_id, a, b), a < b: each pair of members of an event, once.
+
+    An event of more than ``block`` members is cut into blocks of about as many, and each pair of blocks is a group of its own, so the pairs of a large event are made by many tasks. Members are copied once a block of their event."""
+    m = members.where("event_id is not null and person_id is not null").distinct()
+    cut = m.groupBy("event_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = m.join(cut, "event_id").withColumn("mine", F.pmod(F.xxhash64("person_id"), F.col("blocks")).cast("int"))
+    low = dealt.select("event_id", F.col("person_id").alias("p"), F.col("mine").alias("lo"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("hi"))
+    high = dealt.select("event_id", F.col("person_id").alias("q"), F.col("mine").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("lo"))
+    met = low.join(high, ["event_id", "lo", "hi"]).where("lo <> hi or p < q")
+    return met.select("event_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def comembers(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """``members(event_id, person_id)`` -> (a, b, event_id): members of one event, in both directions, without self.
 
     This is the relation itself, a row for each pair: for counts use :func:`meetings`, for neighbourhoods :func:`khop`, which need no pairs."""
-    m = members.distinct()
-    return m.select("event_id", F.col("person_id").alias("a")).join(m.select("event_id", F.col("person_id").alias("b")), "event_id").where("a <> b").select("a", "b", "event_id")
+    each = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")
+    return member_pairs(members, block).select("event_id", each).select("x.a", "x.b", "event_id")
 
 
 def meetings(members: DataFrame) -> DataFrame:
@@ -26,26 +44,25 @@ def meetings(members: DataFrame) -> DataFrame:
 def khop(members: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """``members(event_id, person_id)``, ``start(node)`` -> (node, level): people within ``depth`` shared events, with the least number.
 
-    A hop goes from people to their events and on to the members of those not met before: two joins linear in the memberships, however large an event is.
+    A hop goes from people to their events and on to the members of those not met before: two joins linear in the memberships, however large an event is. Each hop is written to the shared folder, so plans do not grow with the depth.
     Under the cap the result is exact; at the cap the nodes with the least (level, node) stay."""
-    m = members.distinct()
+    m = settled(members.distinct())
     nodes = start.select("node", F.lit(0).alias("level")).distinct()
     frontier, met = start.select("node").distinct(), None
     for d in range(1, depth + 1):
         events = m.join(frontier.select(F.col("node").alias("person_id")), "person_id", "left_semi").select("event_id").distinct()
-        fresh = events if met is None else events.join(met, "event_id", "left_anti")
-        met = events if met is None else met.union(fresh)
+        fresh = settled(events if met is None else events.join(met, "event_id", "left_anti"))
+        met = fresh if met is None else met.unionAll(fresh)
         found = m.join(fresh, "event_id", "left_semi").select(F.col("person_id").alias("node")).distinct()
-        frontier = found.join(nodes.select("node"), "node", "left_anti")
+        frontier = settled(found.join(nodes.select("node"), "node", "left_anti"))
         nodes = nodes.unionAll(frontier.select("node", F.lit(d).alias("level")))
     return nodes.orderBy("level", "node").limit(most) if most is not None else nodes
 
 
 def links_between(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, event_id), a < b: each pair of the given ``nodes(node)`` that share an event. Meant for the capped nodes of a drawn graph."""
-    inside = members.join(nodes.select(F.col("node").alias("person_id")), "person_id", "left_semi").distinct()
-    other = inside.select("event_id", F.col("person_id").alias("b"))
-    return inside.select("event_id", F.col("person_id").alias("a")).join(other, "event_id").where("a < b").select("a", "b", "event_id")
+    """(a, b, event_id), a < b: each pair of the given ``nodes(node)`` that share an event. Meant for the capped nodes of a drawn graph; larger events are paired in blocks."""
+    inside = members.join(nodes.select(F.col("node").alias("person_id")), "person_id", "left_semi")
+    return member_pairs(inside).select("a", "b", "event_id")
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -91,9 +108,34 @@ def build_edges(records: DataFrame, nodes: DataFrame, order: str, relations: dic
     return edges.join(resolved("start", 0, "src"), "edge").join(resolved("end", 1, "dst"), "edge").select("src", "dst", "label", "props")
 
 
+def line_graphs(records: DataFrame, line: str, order: str, labels: list[str], relations: dict[str, tuple]) -> tuple[DataFrame, DataFrame]:
+    """The graphs of many lines at once, each built of its own records only: nodes(line, node, ord, label, name, props) and edges(line, ord, src, dst, label, props).
+
+    Names are made unique, and ends are found, within a line, as :func:`build_nodes` and :func:`build_edges` do for one document."""
+    nodes_of = records.where((F.col("type") == "node") & F.col("label").isin(labels))
+    named = nodes_of.select(F.col(line).alias("line"), F.col(order).alias("ord"), "label", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("props")).withColumn("name", display_name(F.col("label"), F.col("props")))
+    k = F.row_number().over(Window.partitionBy("line", "name").orderBy("ord"))
+    nodes = named.withColumn("k", k).select("line", F.when(F.col("k") > 1, F.concat_ws("#", "name", "k")).otherwise(F.col("name")).alias("node"), "ord", "label", "name", "props")
+    kept = records.where((F.col("type") == "relationship") & F.col("label").isin(list(relations)))
+    kept = kept.select(F.struct(F.col(line).alias("line"), F.col(order).alias("ord")).alias("edge"), "label", "start", "end", F.col("properties").alias("props"))
+    within = lambda label: F.concat_ws("\x00", F.col("line").cast("string"), label)
+    have = nodes.select("node", "ord", within(F.col("label")).alias("label"), "props")
+
+    def resolved(side: str, end: int, into: str) -> DataFrame:
+        kind = F.create_map(*(F.lit(x) for r, ends in relations.items() for x in (r, ends[end])))[F.col("label")]
+        refs = kept.withColumn("line", F.col("edge.line")).select("edge", within(kind).alias("label"), F.col(f"`{side}`").alias("ref"))
+        return resolve_endpoints(refs, have).select("edge", F.col("node").alias(into))
+
+    edges = kept.select("edge", "label", "props").join(resolved("start", 0, "src"), "edge").join(resolved("end", 1, "dst"), "edge")
+    return nodes, edges.select("edge.line", "edge.ord", "src", "dst", "label", "props")
+
+
 def compose(nodes: DataFrame) -> DataFrame:
-    """``nodes(id, ord, props)`` -> union by id; the last occurrence's properties hold."""
-    return nodes.groupBy("id").agg(F.max_by("props", "ord").alias("props"))
+    """``nodes(id, ord, props)`` -> (id, props): the union by id, whose maps are merged key by key; of a key the last occurrence's value holds. Ids without any property keep an empty map."""
+    each = nodes.select("id", "ord", F.explode_outer("props").alias("key", "value"))
+    last = each.groupBy("id", "key").agg(F.max_by("value", "ord").alias("value"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))))
+    return last.groupBy("id").agg(F.map_from_entries(entries).alias("props"))
 
 
 def oriented(edges: DataFrame, least: float = 0.1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import settled
+
 
 def closure(edges: DataFrame, nodes: DataFrame, max_depth: int = 8) -> DataFrame:
     """``edges(child, parent)`` -> (node, ancestor, depth), least depth, self at 0.
@@ -22,25 +24,22 @@ def closure(edges: DataFrame, nodes: DataFrame, max_depth: int = 8) -> DataFrame
 
 
 def full_closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """As :func:`closure`, for hierarchies of any depth and with cycles: steps until none adds a pair, each checkpointed, so that plans stay short and lost executors cost little.
-
-    Checkpoints go to ``spark.checkpoint.dir``, the shared folder of a cluster."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
-        spark.sparkContext.setCheckpointDir(where)
-    edges = edges.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
-    seen = nodes.select(F.col("node"), F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct().checkpoint()
-    step, d = seen, 0
+    """As :func:`closure`, for hierarchies of any depth and with cycles, in as many rounds as the logarithm of the greatest depth.
+
+    A round joins the pairs at depth ``n`` exactly with all pairs up to ``n``: a nearest ancestor at a depth from ``n + 1`` to ``2 * n`` has, on the way to it, one at ``n``. So nothing is derived but pairs of the result, once for each
+    shortest way through that ancestor. Rounds end when none adds a pair, which cycles do by themselves. Each round's new pairs are written to the shared folder (:func:`staging.settled`)."""
+    edges = edges.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    seen, n = settled(edges), 1
     while True:
-        d += 1
-        step = step.join(edges, step["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).distinct()
-        step = step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").checkpoint()
-        if step.isEmpty():
-            return seen
-        seen = seen.unionAll(step)
+        far = seen.where(F.col("depth") == n).select("node", F.col("ancestor").alias("by"))
+        on = seen.select(F.col("node").alias("by"), "ancestor", (F.col("depth") + n).alias("depth"))
+        reached = far.join(on, "by").where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        fresh = settled(reached.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        seen, n = seen.unionAll(fresh), 2 * n
+    own = nodes.select("node").distinct()
+    return own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionAll(seen.join(own, "node", "left_semi").select("node", "ancestor", "depth"))
 
 
 def lift(closed: DataFrame, levels: DataFrame, level: str) -> DataFrame:

@@ -13,14 +13,15 @@ MODERN, HISTORICAL, LEVEL_KEYS = "现代名称", "历史名称", ["现代区划
 
 
 def metadata(places: DataFrame, triples: DataFrame, infer: bool = True, timeline: bool = False, literal_fallback: bool = False) -> DataFrame:
-    """``places(node)`` -> (node, modern, level): the modern name, else the historical one, else the local name; the declared level, else (``infer``) the name's last suffix.
+    """``places(node)`` -> (node, modern, level): the modern name, else the historical one, else the local name; the declared level, else (``infer``) the name's last suffix, in canonical form.
 
     ``literal_fallback`` takes any literal where a key has none, as some analyses happen to do."""
     name = t.first_literal(triples, [MODERN, HISTORICAL], literal_fallback).select(F.col("s").alias("node"), F.col("value").alias("modern"))
     level = t.first_literal(triples, LEVEL_KEYS, literal_fallback).select(F.col("s").alias("node"), F.col("value").alias("declared"))
     both = places.select("node").distinct().join(name, "node", "left").join(level, "node", "left")
     both = both.withColumn("modern", F.coalesce("modern", text.local_name_a(F.col("node"))))
-    return both.select("node", "modern", F.coalesce("declared", domain.last_suffix(F.col("modern"), timeline)).alias("level") if infer else F.col("declared").alias("level"))
+    level = F.coalesce("declared", domain.last_suffix(F.col("modern"), timeline)) if infer else F.col("declared")
+    return both.select("node", "modern", domain.canonical_suffix(level, timeline).alias("level"))
 
 
 def counts_at(view: str) -> Column:
@@ -34,12 +35,6 @@ def descendants_at_view(closed: DataFrame, meta: DataFrame, view: str) -> DataFr
     return closed.join(at, "node").select(F.col("ancestor").alias("root"), "node")
 
 
-def lift_to_view(closed: DataFrame, meta: DataFrame, view: str) -> DataFrame:
-    """(node, lifted): self or the nearest ancestor that counts at the viewing level; the least id among equals."""
-    at = meta.where(counts_at(view)).select(F.col("node").alias("ancestor"))
-    return closed.join(at, "ancestor").groupBy("node").agg(F.min(F.struct("depth", "ancestor"))["ancestor"].alias("lifted"))
-
-
 def coordinates(props: DataFrame, route: bool = False) -> DataFrame:
     """``props(s, props)`` -> (s, lat, lon), by the reading of maps or of routes."""
     lat, lon = (domain.coordinates_of_route if route else domain.coordinates_of_map)(F.col("props"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import shared_folder
+
 
 def scan(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     for col, value in (("s", s), ("p_local", p), ("o", o)):
@@ -103,7 +107,7 @@ def position_names(positions: DataFrame, triples: DataFrame) -> DataFrame:
 
 def position_rows(triples: DataFrame) -> DataFrame:
     """One row per position with a column for each dimension and name; the level falls back to the general level, the original title to the official name."""
-    keys = [*POSITION_DIMENSIONS, "原始称谓", "官职名称"]
+    keys = [*POSITION_DIMENSIONS, "原始称谓", "官职名称", "修饰_方位", "修饰_副", "通用层级"]
     return attribute_row(triples, keys, {"层级": "通用层级", "原始称谓": "官职名称"})
 
 
@@ -111,3 +115,51 @@ def key_values(triples: DataFrame, keys: list[str], hide_prefix: str | None = No
     """(s, ord, key, value) rows in the keys' order."""
     keys = [k for k in keys if not hide_prefix or not k.startswith(hide_prefix)]
     return literals(triples).withColumn("ord", _priority(keys)).where("ord is not null").select("s", "ord", F.col("p_local").alias("key"), F.col("o").alias("value")).distinct()
+
+
+class Layout:
+    """Triples written by predicate, within a predicate bucketed and sorted by subject, so that a pattern reads its predicate's files only and patterns that share a subject join without a shuffle.
+
+    ``where`` is a folder that driver and executors share; without it, one under ``spark.checkpoint.dir``. The bucketed tables are external ones of the session's catalog, one for each predicate that is asked for."""
+
+    def __init__(self, triples: DataFrame, where: str | None = None, buckets: int = 8):
+        self.spark, self.buckets = triples.sparkSession, buckets
+        self.where = where or f"{shared_folder(self.spark)}/quillgraph/triples-{uuid.uuid4().hex[:12]}"
+        triples.select("p_local", "s", "o", "o_kind").write.partitionBy("p_local").parquet(f"{self.where}/by-predicate")
+        self.all = self.spark.read.parquet(f"{self.where}/by-predicate")
+        self.sizes = {r["p_local"]: r["n"] for r in self.all.groupBy("p_local").agg(F.count(F.lit(1)).alias("n")).collect()}  # a vocabulary of predicates
+        self._tables: dict[str, str] = {}
+
+    def predicate(self, p: str) -> DataFrame:
+        """(s, o) of a predicate, bucketed and sorted by subject."""
+        if p not in self._tables:
+            name = f"triples_{uuid.uuid4().hex[:16]}"
+            rows = self.all.where(F.col("p_local") == p).select("s", "o")
+            rows.write.bucketBy(self.buckets, "s").sortBy("s").option("path", f"{self.where}/{name}").saveAsTable(name)
+            self._tables[p] = name
+        return self.spark.table(self._tables[p])
+
+    def match(self, patterns: list[tuple[str, str, str]]) -> DataFrame:
+        """A row for each way to fill the variables (words that begin with ``?``) of all patterns (subject, predicate, object).
+
+        The smallest predicate comes first; then, of the patterns that share a variable with those before, one that shares its subject, then the smallest. Patterns without any common variable are refused."""
+        left = sorted(patterns, key=lambda x: (self.sizes.get(x[1], 0), x))
+        out, bound = None, set()
+        while left:
+            shared = [x for x in left if out is None or bound & {v for v in (x[0], x[2]) if v.startswith("?")}]
+            if not shared:
+                raise ValueError(f"no variable of {left[0]} stands in the patterns before it")
+            mine = shared[0] if out is None else min(shared, key=lambda x: (x[0] not in bound, self.sizes.get(x[1], 0), x))
+            left.remove(mine)
+            s, p, o = mine
+            rows = self.predicate(p)
+            for column, word in (("s", s), ("o", o)):
+                if not word.startswith("?"):
+                    rows = rows.where(F.col(column) == word)
+            if s == o and s.startswith("?"):
+                rows = rows.where("s = o")
+            names = {word[1:]: F.col(column) for column, word in (("o", o), ("s", s)) if word.startswith("?")}
+            rows = rows.select(*(c.alias(n) for n, c in names.items()))
+            out = rows if out is None else out.join(rows, [n for n in names if "?" + n in bound])
+            bound |= {"?" + n for n in names}
+        return out

@@ -3,31 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domain, exams, text
-from ..operators import counts, evidence, events, facets, graph, hierarchy, places, triples
+from ..operators import counts, evidence, events, facets, graph, hierarchy, names, places, triples
 from ..sources import extraction, readers
+from .registry import ORACLE_SQL, QUERIES, query
 from .views import ERA_SQL, YEARS, Views, sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None):
-    def add(f: Callable[[Views], DataFrame]):
-        name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
-
-
 def long(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -193,7 +178,7 @@ def person_search_by_alias(v):
 @query("SELECT name, count(*) AS docs FROM (SELECT DISTINCT split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS name FROM benchmark) JOIN documents ON contains(documents.text, name) GROUP BY 1")
 def text_contains_alias(v):
     b = v.table("benchmark").select(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3))).alias("name"))
-    return evidence.mentions(v.table("documents"), "doc_id", "text", b, "name", scripts=True).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    return names.mentions(v.table("documents"), "doc_id", "text", b, "name", scripts=True).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
 
 # --- joins -----------------------------------------------------------------------------------------------------------
 
@@ -393,11 +378,6 @@ def pg_nodes_unique(v):
     return graph.unique_names(v.table("part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "node")
 
 
-@query("SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS props FROM orders GROUP BY 1")
-def pg_compose(v):
-    return graph.compose(v.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("props")))
-
-
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 PER_REGION = "SELECT a.ancestor AS place_id, count(DISTINCT person_id) AS people FROM event e JOIN up a ON a.node = e.place_id JOIN place p ON p.place_id = a.ancestor AND p.level = '{}' WHERE kind = 'office' GROUP BY 1"
@@ -579,29 +559,6 @@ def hosted_people_by_year(v):
     return counts.zero_filled(axis, counts.people_per(v.ming().join(F.broadcast(axis), "year", "left_semi"), "year"), ["year"], "people")
 
 
-def _eras_sql(name: str) -> str:
-    rows = [(e, a, b, "明") for e, a, b in domain.MING] + ([(e, a, b, "清") for e, a, b in domain.QING] if name in ("place", "people") else [])
-    if name == "place":
-        rows = [(e, 1398 if e == "建文" else 1735 if e == "雍正" else a, b, d) for e, a, b, d in rows]
-    first = "CASE era WHEN '泰昌' THEN -1 ELSE ord END" if name == "timeline" else "ord"
-    values = ", ".join(f"('{e}', {a}, {b}, {k})" for k, (e, a, b, _) in enumerate(rows))
-    return f"SELECT '{name}' AS variant, year, arg_min(era, {first}) AS era FROM (SELECT unnest(range(1360, 1920)) AS year) JOIN (VALUES {values}) AS t(era, y0, y1, ord) ON year BETWEEN y0 AND y1 GROUP BY year"
-
-
-@query("SELECT variant, CAST(year AS INT) AS year, era FROM (" + " UNION ALL ".join(_eras_sql(x) for x in ("place", "people", "timeline", "trend")) + ")")
-def era_variants(v):
-    one = lambda x: domain.with_era(v.spark.range(1360, 1920).select(F.col("id").cast("int").alias("year")), "year", domain.era_table(v.spark, x)).where("era is not null").select(F.lit(x).alias("variant"), "year", "era")
-    return one("place").union(one("people")).union(one("timeline")).union(one("trend"))
-
-
-SHOWN = ", ".join(f"('{e}', {y})" for y in domain.HOSTED_YEARS for e, a, b in domain.MING if a <= y <= b)
-
-
-@query(f"SELECT era, CAST(count(*) AS BIGINT) AS years FROM (VALUES {SHOWN}) AS t(era, year) GROUP BY 1 HAVING contains(era, '正') OR bool_or(starts_with(CAST(year AS VARCHAR), '142'))")
-def eras_shown(v):
-    eras = domain.hosted_years(v.spark).groupBy("era").agg(F.collect_list("year").alias("ys"))  # years of a table of some tens of rows
-    return eras.where(facets.shown(F.col("era"), F.col("ys"), "正") | facets.shown(F.col("era"), F.col("ys"), "142")).select("era", F.size("ys").cast("long").alias("years"))
-
 @query(sql("SELECT person_id, count(DISTINCT exam) AS exams FROM part_in WHERE palace GROUP BY 1 HAVING count(DISTINCT exam) >= 2", "part_in"))
 def exam_conflicts(v):
     return v.palace().groupBy("person_id").agg(F.countDistinct("exam").alias("exams")).where("exams >= 2")
@@ -707,42 +664,6 @@ def fn_rank_extract(v):
     return v.table("orders").select("o_orderkey", F.element_at(domain.ranks(said), 1).alias("rank"))
 
 
-CASES = "(VALUES {}) AS t({})"
-
-
-@query("SELECT * FROM (VALUES ('二百三十二', 232), ('十七', 17), ('一百十七', 117), ('二三', 3), ('〇', NULL), ('一千零三', 1003), ('x三', NULL), ('第5名', 5)) AS t(raw, value)")
-def fn_cn_numeral(v):
-    rows = [("二百三十二",), ("十七",), ("一百十七",), ("二三",), ("〇",), ("一千零三",), ("x三",), ("第5名",)]
-    return v.spark.createDataFrame(rows, "raw string").select("raw", domain.numeral(F.col("raw")).alias("value"))
-
-
-@query("SELECT * FROM (VALUES ('贵州省', '贵州|省', '省'), ('云南省昆明市', '云南省|昆明市', '市'), ('贵阳市', '贵阳市', '市'), ('广州市', '广州|市', '市'), ('贵阳市市辖区', '贵阳市|市|辖区', '县/区/旗')) AS t(name, tokens, level)".replace("'贵州|省'", "'贵州|省'"))
-def fn_admin_tokens(v):
-    rows = [("贵州省",), ("云南省昆明市",), ("贵阳市",), ("广州市",), ("贵阳市市辖区",)]
-    name = F.col("name")
-    return v.spark.createDataFrame(rows, "name string").select("name", F.array_join(domain.admin_tokens(name), "|").alias("tokens"), domain.level_of(name).alias("level"))
-
-
-@query("SELECT * FROM (VALUES ('24.81°N, 113.59°E', 24.81, 113.59, 24.81, 113.59), ('113.5,24.5', 24.5, 113.5, 113.5, 24.5), ('24.5S,113.5W', -24.5, 113.5, -24.5, -113.5)) AS t(raw, lat_a, lon_a, lat_b, lon_b)".replace("24.81,", "CAST(24.81 AS DOUBLE),", 1))
-def fn_coords(v):
-    rows = v.spark.createDataFrame([("24.81°N, 113.59°E",), ("113.5,24.5",), ("24.5S,113.5W",)], "raw string")
-    a, b = domain.coordinates_pair(F.col("raw")), domain.coordinates_merged(F.col("raw"))
-    return rows.select("raw", a[0].alias("lat_a"), a[1].alias("lon_a"), b[0].alias("lat_b"), b[1].alias("lon_b"))
-
-
-ORACLE_SQL["fn_coords"] = "SELECT raw, CAST(a AS DOUBLE) AS lat_a, CAST(b AS DOUBLE) AS lon_a, CAST(c AS DOUBLE) AS lat_b, CAST(d AS DOUBLE) AS lon_b FROM (VALUES ('24.81°N, 113.59°E', 24.81, 113.59, 24.81, 113.59), ('113.5,24.5', 24.5, 113.5, 113.5, 24.5), ('24.5S,113.5W', -24.5, 113.5, -24.5, -113.5)) AS t(raw, a, b, c, d)"
-
-
-@query("SELECT * FROM (VALUES ('CORE/x', 'x'), ('INST/HUBU/x', '户部 / x'), ('INST/x', 'INST/x'), ('TIER/HUBU/x/x', '户部 / x'), ('TIER/HUBU/x/y', '户部 / x / y'), ('LOC_INST/Place#a/LIBU/x', 'a / 吏部 / x')) AS t(code, label)")
-def fn_align_label(v):
-    rows = [("CORE/x",), ("INST/HUBU/x",), ("INST/x",), ("TIER/HUBU/x/x",), ("TIER/HUBU/x/y",), ("LOC_INST/Place#a/LIBU/x",)]
-    return v.spark.createDataFrame(rows, "code string").select("code", domain.alignment_label(F.col("code")).alias("label"))
-
-
-@query("SELECT * FROM (VALUES ('ＡＢ c​d', 'ABcd', 'ABc​d'), ('國 會', '國會', '国会')) AS t(raw, normal, token)")
-def fn_norm(v):
-    rows = v.spark.createDataFrame([("ＡＢ c​d",), ("國 會",)], "raw string")
-    return rows.select("raw", text.norm(F.col("raw")).alias("normal"), text.norm_token(F.col("raw")).alias("token"))
 
 
 SPAN_P = "least(abs(CAST(x AS DOUBLE)) * 5, 1.0)"
@@ -755,19 +676,6 @@ def spans_decode(v):
     head = each.withColumn("type_idx", F.col("pos")).withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return evidence.decoded_spans(head, each).select("line_id", "type_idx", "start", F.col("length").cast("int").alias("length"))
 
-@query("SELECT * FROM (VALUES ('AB,A', 'A'), ('A,A', 'A'), ('A,B', 'A,B'), ('ABC,AB,A', 'AB,A')) AS t(raw, kept)")
-def entities_clean(v):
-    rows = v.spark.createDataFrame([("AB,A",), ("A,A",), ("A,B",), ("ABC,AB,A",)], "raw string")
-    return rows.select("raw", F.array_join(evidence.cleaned_entities(F.split("raw", ",")), ",").alias("kept"))
-
-
-@query("SELECT * FROM (VALUES ('array', 2), ('object', 1), ('lines', 2), ('fenced', 1), ('thinking', 1), ('literal', 1), ('literals', 2), ('garbage', 0)) AS t(kind, n)")
-def json_recover(v):
-    one, two = '{"type":"node","label":"Person"}', '{"type":"node","label":"Place"}'
-    rows = [("array", f"[{one},{two}]"), ("object", one), ("lines", f"{one}\n{two}"), ("fenced", f"```json\n{one}\n```"), ("thinking", f"<think>{{x}}</think>\n{one}"), ("literal", "{'type': 'node', 'label': 'Person',}"), ("literals", "```\n[{'type': 'node', 'label': None}, {'type': 'node', 'label': 'b'}]\n```"), ("garbage", "no")]
-    return readers.recovered_records(v.spark.createDataFrame(rows, "kind string, raw string"), "raw").select("kind", F.size("records").alias("n"))
-
-
 @query("SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN '[]' WHEN l_linenumber = 2 THEN NULL ELSE 'a' || l_linenumber END AS raw FROM lineitem")
 def model_answers(v):
     def client():
@@ -934,3 +842,7 @@ def fn_display_name(v):
     label = F.expr("CASE p_size % 5 WHEN 0 THEN 'Person' WHEN 1 THEN 'Official Position' WHEN 2 THEN 'Place' WHEN 3 THEN 'Text' ELSE 'ImperialExam' END")
     props = F.create_map(F.lit("姓名"), F.concat(F.lit(" "), "p_name"), F.lit("现代名称"), F.col("p_brand"), F.lit("历史名称"), F.lit(" "), F.lit("content"), F.concat("p_name", "p_type", "p_brand"))
     return v.table("part").select("p_partkey", text.display_name(label, props).alias("name"))
+
+
+# The other modules of queries enter theirs on import.
+from . import graph_queries, text_queries  # noqa: E402, F401

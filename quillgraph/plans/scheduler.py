@@ -2,15 +2,20 @@
 
 Every stage's result is written to a folder that driver and executors share and read back, so the lineage ends there. The first
 stage that fails ends the run; a later run over the same folder begins after the last whole stage, if that was made from the same source by the same stages:
-each folder's name holds a fingerprint of the source's plan and files, and of the names and code of the stages so far.
+each folder's name holds a fingerprint of the source's plan and files, and of the names and code of the stages so far, with the constants, enclosed values and functions of the
+project that they use. Installed libraries are known by name: after an upgrade take a new folder.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
+import sysconfig
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from types import CellType, CodeType, FunctionType, MethodType, ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,15 +57,81 @@ def _whole(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+#: Where the interpreter and installed libraries live; what is defined there is known by its name.
+_LIBRARIES = tuple(sysconfig.get_paths()[k] for k in ("stdlib", "platstdlib", "purelib", "platlib"))
+
+
+#: Methods that change a container. Containers enclosed by a function that names one of them do not count.
+_CHANGING = {"add", "append", "clear", "extend", "insert", "pop", "remove", "setdefault", "update"}
+
+
+def _installed(module: ModuleType | None) -> bool:
+    where = getattr(module, "__file__", None)
+    return where is None or where.startswith(_LIBRARIES)
+
+
+def _described(x: object, seen: dict[int, int]) -> object:
+    """What a value is, as far as a stage's result may depend on it: code with the constants, defaults, enclosed values and named globals of all functions within it, by value."""
+    if x is None or isinstance(x, (bool, int, float, complex, str, bytes)):
+        return repr(x)
+    if id(x) in seen:
+        return ("again", seen[id(x)])
+    seen[id(x)] = len(seen)
+    each = lambda xs: [_described(y, seen) for y in xs]
+    if isinstance(x, (list, tuple)):
+        return (type(x).__name__, each(x))
+    if isinstance(x, (set, frozenset)):
+        return ("set", sorted(map(repr, x)))
+    if isinstance(x, dict):
+        return ("dict", [(repr(k), _described(v, seen)) for k, v in x.items()])
+    if isinstance(x, CodeType):
+        return ("code", x.co_code.hex(), x.co_names, x.co_varnames, x.co_freevars, each(x.co_consts))
+    if isinstance(x, functools.partial):
+        return ("partial", each((x.func, x.args, x.keywords)))
+    if isinstance(x, MethodType):
+        return ("method", each((x.__func__, x.__self__)))
+    if isinstance(x, ModuleType):
+        return ("module", x.__name__)
+    if isinstance(x, FunctionType):
+        module = sys.modules.get(x.__module__)
+        if x.__module__ != "__main__" and _installed(module) and module is not None:
+            return ("function", x.__module__, x.__qualname__)
+        cells = [c.cell_contents for c in x.__closure__ or () if _filled(c)]
+        if _CHANGING & set(x.__code__.co_names):  # a stage's own log is not what it is made of
+            cells = [c for c in cells if not isinstance(c, (list, dict, set))]
+        return ("function", each((x.__code__, x.__defaults__, x.__kwdefaults__, cells)), [(n, _described(v, seen)) for n, v in _globals(x)])
+    if isinstance(x, type):
+        if _installed(sys.modules.get(x.__module__)):
+            return ("class", x.__module__, x.__qualname__)
+        return ("class", x.__qualname__, [(k, _described(v, seen)) for k, v in vars(x).items() if not k.startswith("__") or callable(v)])
+    inner = vars(x) if hasattr(x, "__dict__") and not _installed(sys.modules.get(type(x).__module__)) else {}
+    return ("object", type(x).__module__, type(x).__qualname__, _described(type(x), seen), _described(dict(inner), seen))
+
+
+def _filled(cell: CellType) -> bool:
+    try:
+        cell.cell_contents  # noqa: B018
+    except ValueError:
+        return False
+    return True
+
+
+def _globals(f: FunctionType) -> list[tuple[str, object]]:
+    """The globals that a function, or one within it, names, and what it may name in modules of its own project."""
+    names, todo = [], [f.__code__]
+    while todo:
+        code = todo.pop()
+        names += code.co_names
+        todo += [c for c in code.co_consts if isinstance(c, CodeType)]
+    names = sorted(set(names))
+    found = [(n, f.__globals__[n]) for n in names if n in f.__globals__]
+    own = [m for _, m in found if isinstance(m, ModuleType) and not _installed(m)]
+    return found + [(f"{m.__name__}.{n}", vars(m)[n]) for m in own for n in names if n in vars(m)]
+
+
 def _code(step: Callable) -> str:
-    """What a stage does, as far as its compiled code, constants, defaults and enclosed plain values tell."""
-    seen = getattr(step, "__code__", None)
-    if seen is None:
-        return f"{type(step).__module__}.{type(step).__qualname__}:{getattr(step, '__name__', '')}"
-    plain = [c.cell_contents for c in step.__closure__ or () if isinstance(c.cell_contents, (str, int, float, bool, tuple, type(None)))]
-    consts = [c for c in seen.co_consts if not hasattr(c, "co_code")]
-    inner = [c.co_code for c in seen.co_consts if hasattr(c, "co_code")]
-    return repr((seen.co_code, consts, seen.co_names, inner, step.__defaults__, plain))
+    """What a stage does: equal for stages whose code, and that of all it calls in its own project, is equal."""
+    return repr(_described(step, {}))
 
 
 def _source(df: DataFrame) -> str:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from . import recovery
 
 TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
-RECORD = "type string, label string, properties map<string,string>, start map<string,string>, `end` map<string,string>, text string"
 #: What an escape of one letter stands for.
 ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
@@ -69,44 +65,10 @@ def line_documents(df: DataFrame, text: str, key: str) -> DataFrame:
     return each.select(key, (F.col("pos") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")).where("line <> ''")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.trim("value").alias("text")).where("text <> ''")
-
-
-@F.pandas_udf(StringType())
-def literal_json(x: pd.Series) -> pd.Series:
-    """JSON of a text that is a Python literal (or several, one a line); null where it is none."""
-
-    def one(text):
-        body = "\n".join(line for line in (text or "").splitlines() if not line.strip().startswith("```")).strip()
-        if not body:
-            return None
-        lines = ",".join(line.strip().rstrip(",") for line in body.splitlines() if line.strip())
-        for form in (body, f"[{body}", f"[{lines}]"):
-            try:
-                value = ast.literal_eval(form)
-                return json.dumps(value if isinstance(value, list) else [value], ensure_ascii=False)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                continue
-        return None
-
-    return x.map(one)
-
-
 def recovered_records(df: DataFrame, raw: str) -> DataFrame:
-    """Adds ``records``: of a model's raw output, as an array, as it is, else line by line, else mended, else as a Python literal; empty if all fail."""
-    from ..functions.text import repaired_json, without_reasoning
-
-    text = without_reasoning(F.col(raw))
-    array = f"array<struct<{RECORD}>>"
-    whole = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), array, {"mode": "PERMISSIVE"})
-    good = lambda xs: F.filter(xs, lambda r: r["type"].isNotNull())
-    mended = F.from_json(repaired_json(text), array)
-    first = good(F.coalesce(whole, F.array().cast(array)))
-    second = good(F.coalesce(mended, F.array().cast(array)))
-    found = df.withColumn("records", F.when(F.size(first) > 0, first).otherwise(second))
-    literal = good(F.coalesce(F.from_json(literal_json(F.when(F.size("records") == 0, text)), array), F.array().cast(array)))
-    return found.withColumn("records", F.when(F.size("records") > 0, F.col("records")).otherwise(literal))
+    """Adds ``records``: an array of the records of a model's raw output, empty if it holds none. :func:`recovery.record_rows` gives a row for each instead, for outputs of any size."""
+    records = F.from_json(recovery.all_records(F.col(raw)), f"array<struct<{recovery.RECORD}>>")
+    return df.withColumn("records", F.filter(records, lambda r: r["type"].isNotNull()))
 
 
 def newest_file(spark: SparkSession, folder: str, glob: str = "*.nt") -> DataFrame:

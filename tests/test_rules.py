@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import domain, text
+from quillgraph.operators import names as name_ops
 from quillgraph.operators import evidence, events, facets, graph, hierarchy, places, triples
 from quillgraph.plans import queries, scheduler
 from quillgraph.sources import readers
@@ -40,13 +41,13 @@ def test_list_numbers_are_removed(spark):
 def test_mentions_in_all_scripts(spark):
     texts = spark.createDataFrame([(1, "蘇州进士"), (2, "苏州進士"), (3, "苏"), (4, None)], "id long, t string")
     names = spark.createDataFrame([("蘇州",), ("进士",), ("苏",)], "n string")
-    one = {(r.id, r.n) for r in evidence.mentions(texts, "id", "t", names, "n").collect()}
-    every = {(r.id, r.n) for r in evidence.mentions(texts, "id", "t", names, "n", scripts=True).collect()}
+    one = {(r.id, r.n) for r in name_ops.mentions(texts, "id", "t", names, "n").collect()}
+    every = {(r.id, r.n) for r in name_ops.mentions(texts, "id", "t", names, "n", scripts=True).collect()}
     assert one == {(1, "蘇州"), (1, "进士"), (2, "苏"), (3, "苏")}
     assert every == {(1, "蘇州"), (1, "进士"), (1, "苏"), (2, "蘇州"), (2, "进士"), (2, "苏"), (3, "苏")}
-    spaced = evidence.mentions(texts, "id", "t", spark.createDataFrame([("苏 州",)], "n string"), "n", normal=True).collect()
+    spaced = name_ops.mentions(texts, "id", "t", spark.createDataFrame([("苏 州",)], "n string"), "n", normal=True).collect()
     assert [(r.id, r.n) for r in spaced] == [(2, "苏 州")]
-    assert "NestedLoop" not in plan(evidence.mentions(texts, "id", "t", names, "n", scripts=True))
+    assert "NestedLoop" not in plan(name_ops.mentions(texts, "id", "t", names, "n", scripts=True))
 
 
 def test_search_by_alias(spark):

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import names as name_ops
 from quillgraph.operators import evidence
 from quillgraph.plans import scheduler
 from quillgraph.sources import extraction, files, readers
@@ -55,14 +56,15 @@ def test_instruction(spark):
     assert first.endswith("Text: t\nEntities: x、y") and second.endswith("Text: \nEntities: ")
 
 
-def test_mentions_lose_no_name_between_blocks(spark):
+def test_mentions_lose_no_name_between_pieces(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "abcd"), (2, "bc"), (3, None), (4, "")], "id long, t string")
     names = spark.createDataFrame([(n,) for n in ["a", "b", "c", "d", "bc", "bc", "", None, "zz"]], "n string")
     want = {(i, n) for i, t in ((1, "abcd"), (2, "bc")) for n in ["a", "b", "c", "d", "bc"] if n in t}
-    for most in (1, 4, 1000):
-        got = [(r["id"], r["n"]) for r in evidence.mentions(texts, "id", "t", names, "n", most_bytes=most).collect()]
+    for piece in (1, 2, 1000):
+        monkeypatch.setattr(name_ops, "PIECE", piece)
+        got = [(r["id"], r["n"]) for r in name_ops.mentions(texts, "id", "t", names, "n").collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    assert evidence.mentions(texts, "id", "t", names.limit(0), "n").count() == 0
+    assert name_ops.mentions(texts, "id", "t", names.limit(0), "n").count() == 0
 
 
 def test_grouped_entities(spark):
