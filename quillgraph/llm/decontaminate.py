@@ -15,6 +15,7 @@ their own rows; a null id keeps its rows; very long texts are read whole, a slic
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
@@ -31,8 +32,8 @@ LEAST_MATCH, THRESHOLD = 5, 0.5
 BLOCK_BYTES = 16 << 20
 #: Length of the first windows; windows of longer matches are tried when one is twice as long.
 FIRST_WINDOW = 20
-#: Tilings that a task remembers (copies of a passage need tiling once).
-REMEMBERED = 20_000
+#: Tilings that a task remembers (copies of a passage need tiling once), and tiles in all of them; stretches are remembered by 128 bits, whatever their length.
+REMEMBERED, REMEMBERED_TILES = 20_000, 200_000
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)], bool)
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _PRIME, _RADIX = (1 << 61) - 1, 1_000_003
@@ -228,12 +229,14 @@ def _tile(seeds: Block, h: np.ndarray, where: np.ndarray, seed: np.ndarray, firs
         run = np.append(True, starts[1:] > starts[:-1] + least)
         lo, hi = starts[run], starts[np.append(run[1:], True)] + least
         doc = [x for a, z in zip(lo, hi, strict=True) for x in [*(h[a:z] >> np.uint64(3)).astype(np.int64).tolist(), -1]]
-        key = (int(item[s]), tuple(doc))
-        if key not in known:
-            if len(known) >= REMEMBERED:
+        key = (int(item[s]), hashlib.blake2b(np.array(doc, np.int64).tobytes(), digest_size=16).digest())
+        tiles = known.get(key)
+        if tiles is None:
+            tiles = greedy_tiles(words, doc, least)
+            known["tiles"] = known.get("tiles", 0) + len(tiles)
+            if len(known) > REMEMBERED or known["tiles"] > REMEMBERED_TILES:
                 known.clear()
-            known[key] = greedy_tiles(words, doc, least)
-        tiles = known[key]
+            known[key] = tiles
         covered = sum(n for _, _, n in tiles)
         if covered >= threshold * len(words):
             place = np.concatenate([np.append(np.arange(a, z), -1) for a, z in zip(lo, hi, strict=True)]) - first

@@ -121,21 +121,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     hashed = staged(unique.select("key", "label", "n", "v").mapInArrow(hash_, "key long, label string, n long, dim int, v binary, codes binary, buckets array<int>"), "hashed")
     where = ["label", "dim", "tbl", "bucket"]
     names = hashed.select("key", "label", "dim", F.posexplode("buckets").alias("tbl", "bucket"))
-    large = staged(names.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select(*where, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "large")
-    dealt = hashed.select("key", "label", "n", "dim", "v", "codes", F.posexplode("buckets").alias("tbl", "bucket")).join(large, where, "left")
+    large = staged(names.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select(*where, "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "large")
+    copies = large.agg(F.sum(F.col("m") * (F.col("blocks") - 1))).first()[0] or 0  # a row of a large bucket is dealt once a block
+    dealt = hashed.select("key", "label", "n", "dim", "v", "codes", F.posexplode("buckets").alias("tbl", "bucket")).join(large.drop("m"), where, "left")
     block = F.pmod(F.xxhash64("key", F.lit(3)), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = dealt.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     dealt = dealt.select("key", "n", "v", "codes", "tbl", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.xxhash64(*where, F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "label", "dim", "bucket")
-    tasks = tasks_of(total * tables, 40_000)
+    tasks = tasks_of(total * tables + copies, 40_000)
 
-    @tidy
-    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[tuple, list] = {}
-        for b in it:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key, n, vec, code, tbl, mine, lo, hi, _, label, dim, bucket = r
-                cells.setdefault((label, dim, tbl, bucket, lo, hi), []).append((key, n, vec, code, mine))
-        turns: dict[int, np.ndarray] = {}
+    def compared(cells: dict[tuple, list], turns: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for (_, dim, tbl, _, lo, hi), members in cells.items():
             members.sort(key=lambda m: (m[4], m[0]))
             keys, counts = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
@@ -175,7 +169,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 on = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(links[on]), pa.array(keys[root[on]])], ["key", "links", "root"])
 
-    met = staged(dealt.repartition(tasks, "cell").mapInArrow(meet, "key long, links long, root long"), "links")
+    @tidy
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        cells: dict[tuple, list] = {}
+        now = None
+        for b in it:  # sorted by cell, so one cell's rows are held at a time
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key, n, vec, code, tbl, mine, lo, hi, cell, label, dim, bucket = r
+                if cell != now:
+                    yield from compared(cells, turns)
+                    cells, now = {}, cell
+                cells.setdefault((label, dim, tbl, bucket, lo, hi), []).append((key, n, vec, code, mine))
+        yield from compared(cells, turns)
+
+    met = staged(dealt.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(meet, "key long, links long, root long"), "links")
     roots = connected_components(met.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("key").agg(F.sum("links").alias("links"))
     named = unique.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "key").alias("root"))

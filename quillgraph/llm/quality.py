@@ -3,7 +3,8 @@
 Two generative models over hashed word unigrams and bigrams: the target's, from labelled good documents, and the
 raw text's, from all documents. A document's log importance weight sums, over its n-grams, the log ratio of the target's share to the
 raw share. The sample is a Gumbel top-k: every document's weight gets Gumbel noise drawn from its id, and the
-k largest keys stay, which samples k documents without replacement in proportion to their weights.
+k largest keys stay, which samples k documents without replacement in proportion to the ``SHARPNESS``-th power of their weights (2: sharper than the weights themselves, so
+that a document far above the cut is hardly ever lost to the noise).
 
 Three adjustments make the weight fit for filtering texts of very different lengths. Each n-gram counts once a document (one long or
 repetitive document says no more than another). Counts are shrunk towards the raw model, and a ratio of either sign counts only where it is large
