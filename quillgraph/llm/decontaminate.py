@@ -247,4 +247,4 @@ def _tile(seeds: Block, h: np.ndarray, where: np.ndarray, seed: np.ndarray, firs
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents that no benchmark item contaminates, with all their columns."""
     found = contaminations(docs, benchmark, id_col, text_col, **kw)
-    return without_ids(docs, staged(found.where("id is not null").select("id").distinct(), "contaminated"), id_col)
+    return without_ids(docs, found.select("id"), id_col)
