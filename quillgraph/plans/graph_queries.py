@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import counts, graph, hierarchy, spans, triples
+from ..operators.staging import shared_folder
+from ..sources import readers
 from .registry import query
 
 # --- hierarchies -----------------------------------------------------------------------------------------------------
@@ -118,6 +122,33 @@ def pattern_chain(v):
     return found.select(F.regexp_extract("person", r"(\d+)$", 1).cast("long").alias("person"), F.col("name").alias("place"), "field")
 
 
+# --- Turtle ----------------------------------------------------------------------------------------------------------
+
+_NOTE = "'said \"x\" . then' || chr(10) || c_mktsegment || ' .' || chr(10) || '# no comment'"
+
+
+@query(
+    f"""SELECT 'http://ex/p#' || c_custkey AS s, unnest(['type', 'name', 'note', 'bornIn', 'size', 'of']) AS p_local,
+    unnest(['http://ex/o#Person', c_name, {_NOTE}, 'http://ex/n#' || c_nationkey, CAST(c_custkey AS VARCHAR) || '.5', 'x']) AS o, unnest(['iri', 'lit', 'lit', 'iri', 'lit', 'lit']) AS o_kind FROM customer
+    UNION ALL SELECT 'blank', 'in', 'http://ex/n#' || c_nationkey, 'iri' FROM customer"""
+)
+def turtle_statements(v):
+    """Customers written as one Turtle file, its prefix changed half way, strings over lines with ends and marks of comments in them, and read back by statement."""
+    c = v.table("customer")
+    half = c.agg(F.expr("max(c_custkey) div 2")).first()[0] or 0
+    body = F.concat(
+        F.when(F.col("c_custkey") <= half, "p:").otherwise("q:"), F.col("c_custkey").cast("string"), F.lit(' a o:Person ; # a person.\n  o:name "'), F.col("c_name"), F.lit('" ;\n  o:note \"\"\"said \\"x\\" . then\n'), F.col("c_mktsegment"),
+        F.lit(" .\n# no comment\"\"\" ;\n  o:bornIn n:"), F.col("c_nationkey").cast("string"), F.lit(" ; o:size "), F.col("c_custkey").cast("string"), F.lit(".5 ; o:of 'x'.[] o:in n:"), F.col("c_nationkey").cast("string"), F.lit(" ."),
+    )
+    heads = [(-1, '@prefix p: <http://ex/p#> .\nPREFIX o: <http://ex/o#>\n@prefix n: <http://ex/n#>.')]
+    rows = c.select(F.col("c_custkey").alias("ord"), body.alias("value")).union(v.spark.createDataFrame(heads, "ord long, value string"))
+    rows = rows.union(c.select(F.lit(half).cast("long"), F.lit("@prefix q: <http://ex/p#> .\n")).limit(1))
+    where = f"{shared_folder(v.spark)}/quillgraph/turtle-{uuid.uuid4().hex[:12]}.ttl"
+    rows.repartition(1).sortWithinPartitions("ord", F.col("value").startswith("@")).select("value").write.text(where)
+    found = readers.read_triples(v.spark, where)
+    return found.select(F.when(F.col("s_kind") == "bnode", "blank").otherwise(F.col("s")).alias("s"), "p_local", "o", "o_kind")
+
+
 # --- spans -----------------------------------------------------------------------------------------------------------
 
 _WORDS = "SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL"

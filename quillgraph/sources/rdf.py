@@ -1,4 +1,4 @@
-"""Turtle and RDF/XML, a whole file a task: their prefixes and nesting do not allow a file to be cut."""
+"""Readers of Turtle and RDF/XML documents. Files of Turtle are cut (:mod:`turtle`); RDF/XML, and files of unknown syntax, are read a whole file a task."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ Triple = tuple[str, str, str, str, str, str, str]
 
 _TOKEN = re.compile(
     r"""(?s)(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3})|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-    r"""|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)|\d*\.\d+|\d+)(?![\w:]))|(?P<blank>_:[\w.-]*\w)|(?P<name>[\w.-]*:(?:[\w:%.-]*[\w:%-])?|[A-Za-z]\w*)|(?P<mark>[.;,\[\]()])""",
+    r"""|(?P<lang>@[A-Za-z][A-Za-z0-9-]*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)|\d*\.\d+|\d+)(?![\w:]))|(?P<blank>_:[\w.-]*\w)|(?P<name>(?:\w[\w.-]*)?:(?:[\w:%.-]*[\w:%-])?|[A-Za-z]\w*)|(?P<mark>[.;,\[\]()])""",
 )
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
 _LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
@@ -29,9 +29,9 @@ def _plain(x: str) -> str:
 
 
 class _Turtle:
-    """A recursive-descent reader of one document; raises ValueError where it is not Turtle."""
+    """A recursive-descent reader of one document or statement; raises ValueError where it is not Turtle."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, prefixes: dict[str, str] | None = None, base: str = "", stem: str = "t"):
         self.tokens, at = [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -40,7 +40,7 @@ class _Turtle:
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
-        self.at, self.prefixes, self.base, self.fresh, self.out = 0, {}, "", 0, []
+        self.at, self.prefixes, self.base, self.stem, self.fresh, self.out = 0, dict(prefixes or {}), base, stem, 0, []
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
@@ -100,7 +100,7 @@ class _Turtle:
 
     def blank(self) -> str:
         self.fresh += 1
-        return f"_:t{self.fresh}"
+        return f"_:{self.stem}{self.fresh}"
 
     def add(self, s: str, s_kind: str, p: str, o: tuple[str, str, str, str]) -> None:
         self.out.append((s, s_kind, p, *o))
@@ -137,8 +137,12 @@ class _Turtle:
         return self.out
 
 
-def turtle(text: str) -> list[Triple]:
-    return _Turtle(text).read()
+def turtle(text: str, prefixes: dict[str, str] | None = None, base: str = "", stem: str = "t") -> list[Triple]:
+    """The triples of a text, with what prefixes and base hold before it; new blank nodes are ``_:`` and ``stem`` and a number."""
+    try:
+        return _Turtle(text, prefixes, base, stem).read()
+    except RecursionError as e:
+        raise ValueError("blank nodes or lists nested too deeply") from e
 
 
 def rdf_xml(text: str) -> list[Triple]:

@@ -50,13 +50,15 @@ def malformed(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_triples(spark: SparkSession, path: str, unknown: str = "nt") -> DataFrame:
-    """Triples of a file or folder, its syntax told by the suffix: N-Triples by the line, Turtle and RDF/XML by the file.
+    """Triples of a file or folder, its syntax told by the suffix: N-Triples by the line, Turtle by the statement, RDF/XML by the file.
 
     A suffix that says nothing means ``unknown``: ``nt``, ``turtle``, ``xml``, or ``try``, which gives each file the first syntax in this order that reads all of it."""
-    from . import rdf
+    from . import rdf, turtle
 
     kind = rdf.SUFFIXES.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), unknown)
-    return parse_triples(spark.read.text(path)) if kind == "nt" else rdf.read_files(spark, path, kind)
+    if kind == "nt":
+        return parse_triples(spark.read.text(path))
+    return turtle.read(spark, path) if kind == "turtle" else rdf.read_files(spark, path, kind)
 
 
 def line_documents(df: DataFrame, text: str, key: str) -> DataFrame:

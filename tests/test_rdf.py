@@ -102,3 +102,46 @@ def test_report_and_newest_file(spark, tmp_path):
         (tmp_path / name).write_text("x")
         os.utime(tmp_path / name, (1000 + k, 1000 + k))
     assert readers.newest_file(spark, str(tmp_path)).first()[0].endswith("new.nt")
+
+
+MANY = (
+    "﻿@prefix a: <http://e/a#> .\n# no end. here\nPREFIX b: <http://e/b#>\n@base <http://e/base/> .\n"
+    + "".join(f'a:s{k} a b:T ; b:n {k} , {k}.25 ; b:said "x . y" , \'\'\'long\n. # {k} "\n""" end\'\'\'@en ; b:of [ b:in <rel{k}> ] .\n' for k in range(40))
+    + '@prefix a: <http://e/other#> .\na:last b:p """one\n""two\\" ." \n.""".a:again b:p ( 1 2 ).\n'
+    + "_:x b:p _:x .\na:end b:p a:x.y ."
+)
+
+
+@pytest.mark.parametrize("size", [64, 300, 2000, 1 << 20])
+def test_turtle_files_are_cut(spark, tmp_path, size):
+    """Blocks of any size give the triples of the whole document, but for the names of blank nodes."""
+    for name in ("a.ttl", "b.ttl"):
+        (tmp_path / name).write_text(MANY if name == "a.ttl" else MANY.replace("http://e/", "http://f/"), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, host in (("a.ttl", "http://e/"), ("b.ttl", "http://f/")):
+            got = readers.read_triples(spark, str(tmp_path / name))
+            plain = lambda rows: sorted(tuple("_" if str(x).startswith("_:") else x for x in r) for r in rows)
+            want = rdf.turtle(MANY.removeprefix("﻿").replace("http://e/", host))
+            assert plain((r.s, r.s_kind, r.p, r.o, r.o_kind, r.o_lang, r.o_dtype) for r in got.collect()) == plain(want)
+            labels = {r.s for r in got.where("s = o").collect()}
+            assert len(labels) == 1 and got.where("s_kind = 'bnode'").select("s").distinct().count() == 43
+        if size < 1000:
+            from quillgraph.sources import turtle
+
+            assert spark.read.text(str(tmp_path / "a.ttl")).rdd.getNumPartitions() > 5
+            assert turtle.statements(spark, f"{tmp_path}/*.ttl").groupBy("file").count().count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_turtle_faults_name_their_statement(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text("@prefix a: <http://e/> .\na:x a:y a:z .\na:x a:y .\n")
+    with pytest.raises(Exception, match=r"a\.ttl, statement 3"):
+        readers.read_triples(spark, str(tmp_path / "a.ttl")).collect()
+    (tmp_path / "b.ttl").write_text("")
+    assert readers.read_triples(spark, str(tmp_path / "b.ttl")).count() == 0
+    with pytest.raises(ValueError, match="too deeply"):
+        rdf.turtle("<http://a> <http://b> " + "[ <http://c> " * 5000)
