@@ -24,8 +24,8 @@ def match_facets(people: DataFrame, attributes: DataFrame, chosen: dict[str, lis
         wanted = spark.createDataFrame([(v,) for v in values], "wanted string")
         form = (lambda c: c) if facet in exact else text.norm_token
         wanted = F.broadcast(wanted.select(form(F.col("wanted")).alias("wanted")).distinct())  # what a user chose
-        hits = mine.select("person_id", form(F.col("value")).alias("wanted")).join(wanted, "wanted", "left_semi")
-        people = people.join(hits, "person_id", "left_semi")
+        spelt = mine.select("value").distinct().withColumn("wanted", form(F.col("value"))).join(wanted, "wanted", "left_semi")  # distinct spellings are put in normal form, not facts
+        people = people.join(mine.join(spelt, "value", "left_semi"), "person_id", "left_semi")
     return people
 
 
@@ -38,8 +38,9 @@ def admitted(attributes: DataFrame, facet: str = "户籍类型", values: tuple[s
 
 def bucket_hits(attributes: DataFrame, target: str, key: str = "person_id", value: str = "value") -> DataFrame:
     """Distinct keys with a value that equals the target when both are normalised without white space."""
-    same = text.strip_ws(text.nfkc(F.col(value))) == text.strip_ws(text.nfkc(F.lit(target)))
-    return attributes.where(same).select(key).distinct()
+    spelt = attributes.select(value).distinct()
+    spelt = spelt.where(text.strip_ws(text.nfkc(F.col(value))) == text.strip_ws(text.nfkc(F.lit(target))))
+    return attributes.join(spelt, value, "left_semi").select(key).distinct()
 
 
 def school_types(assertions: DataFrame, by_local_name: bool = True, form: str = "place") -> DataFrame:

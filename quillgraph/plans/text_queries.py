@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domain, script, text
 from ..operators import evidence, facets, names, places, triples
-from ..sources import recovery
+from ..sources import datasets, recovery
 from .registry import query
 
 # --- records out of raw output ---------------------------------------------------------------------------------------
@@ -274,3 +274,16 @@ _GIVEN = {x: f"CASE WHEN (p_partkey + {k}) % 4 > 0 THEN p_type || '{k}' END" for
 def position_fields(v):
     """All seventeen fields of a position."""
     return triples.position_rows(v.facts("part", "p_partkey", {k: x for k, x in _GIVEN.items()}))
+
+
+@query("SELECT 'people' AS page, c_mktsegment AS bucket, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'rich', c_mktsegment, count(*) FROM customer WHERE c_acctbal >= 5000 GROUP BY ALL UNION ALL SELECT 'rich', c_mktsegment, count(*) FROM customer WHERE c_acctbal >= 0 GROUP BY ALL")
+def pages_by_name(v):
+    """Pages opened by name over one dataset: one as it is, one with two options."""
+
+    def buckets(df, least=None):
+        kept = df if least is None else df.where(F.col("c_acctbal") >= least)
+        return kept.groupBy(F.col("c_mktsegment").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+    pages = datasets.Pages(datasets.Datasets(v.spark, lambda spark, path: spark.read.parquet(path).select("c_mktsegment", "c_acctbal")), {"people": buckets, "rich": buckets})
+    opened = lambda name, **options: pages.open(name, f"{v.dir}/customer.parquet", **options).select(F.lit(name).alias("page"), "bucket", "n")
+    return opened("people").union(opened("rich", least=5000)).union(opened("rich", least=0))

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.hierarchy import closure
+from ..operators.staging import settled
+
 ERAS = [("甲元", 1993, 1995), ("乙元", 1995, 1997), ("丙元", 1998, 1999), ("丁元", 2000, 2001), ("戊元", 2001, 2003)]
 YEARS = (1993, 2003)
 ERA_SQL = "(VALUES " + ", ".join(f"('{e}', {a}, {b}, {k})" for k, (e, a, b) in enumerate(ERAS)) + ") AS era(era, y0, y1, ord)"
@@ -44,6 +47,7 @@ def sql(query: str, *names: str) -> str:
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._closure: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -58,9 +62,10 @@ class Views:
         return pair("supplier", "s_suppkey", "S", "s_nationkey", "N").union(pair("nation", "n_nationkey", "N", "n_regionkey", "R")).union(pair("region", "r_regionkey", "R", None, ""))
 
     def closure(self) -> DataFrame:
-        from ..operators.hierarchy import closure
-
-        return closure(self.edge(), self.place().select(F.col("place_id").alias("node")), 3)
+        """All places with their ancestors, derived once for all uses of a query."""
+        if self._closure is None:
+            self._closure = settled(closure(self.edge(), self.place().select(F.col("place_id").alias("node")), 3))
+        return self._closure
 
     def event(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")

@@ -41,3 +41,31 @@ class Datasets:
         for df in self.views.values():
             df.unpersist()
         self.views, self.state = {}, None
+
+
+class PageFailed(RuntimeError):
+    """Names the page; the cause is chained."""
+
+
+class Pages:
+    """Named analyses over one shared dataset: ``table`` has, by name, a function of the dataset and of options that gives a result.
+
+    A page's result is made at its first use with the same options and kept until the dataset changes; a page that fails takes no other with it, and is tried anew next time."""
+
+    def __init__(self, datasets: Datasets, table: dict[str, Callable[..., DataFrame]]):
+        faults = [repr(n) for n, f in table.items() if not n.strip() or not callable(f)]
+        if faults:
+            raise ValueError(f"no pages: {', '.join(faults)}")
+        self.datasets, self.table = datasets, dict(table)
+
+    def names(self) -> list[str]:
+        return list(self.table)
+
+    def open(self, name: str, path: str, **options: str | int | float | bool | None) -> DataFrame:
+        if name not in self.table:
+            raise KeyError(f"no page {name!r}; there are {', '.join(self.table)}")
+        key = f"page {name} {sorted(options.items())!r}"
+        try:
+            return self.datasets.view(path, key, lambda df: self.table[name](df, **options))
+        except Exception as e:
+            raise PageFailed(f"page {name!r}") from e

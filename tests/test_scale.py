@@ -277,3 +277,30 @@ def test_changed_stages_run_again(spark, tmp_path):
     runs = [scheduler.run_stages(source, stages(k), folder) for k in (1, 1, 2)]
     assert [[o.resumed for o in log] for _, log in runs] == [[False, False], [True, True], [True, False]]
     assert {r.y for r in runs[2][0].collect()} == {2}
+
+
+def test_pages_by_name(spark, tmp_path):
+    from quillgraph.sources import datasets
+
+    spark.range(4).write.parquet(f"{tmp_path}/d")
+    made = []
+
+    def page(df, n=0):
+        made.append(n)
+        if n > 8:
+            raise RuntimeError("broken")
+        return df.where(F.col("id") >= n)
+
+    pages = datasets.Pages(datasets.Datasets(spark, lambda s, p: s.read.parquet(p)), {"a": page, "b": page})
+    path = f"{tmp_path}/d"
+    assert pages.names() == ["a", "b"] and [pages.open("a", path).count(), pages.open("a", path).count(), pages.open("a", path, n=3).count()] == [4, 4, 1]
+    assert made == [0, 3]
+    with pytest.raises(datasets.PageFailed, match="'b'"):
+        pages.open("b", path, n=9)
+    assert pages.open("b", path).count() == 4 and made == [0, 3, 9, 0]
+    spark.range(6).write.mode("append").parquet(path)
+    assert pages.open("a", path).count() == 10
+    with pytest.raises(KeyError, match="no page 'c'; there are a, b"):
+        pages.open("c", path)
+    with pytest.raises(ValueError, match="no pages"):
+        datasets.Pages(pages.datasets, {" ": page})
