@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import math
 import zlib
 from collections import Counter
 
@@ -52,18 +53,20 @@ def similar(docs, least=0.8):
     return components(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
 
 
+def signature(words):
+    """Two min-hashes of the three-word shingles, by hashes of our own."""
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    return tuple(min(zlib.crc32(x, seed) for x in shingles) for seed in (1, 2))
+
+
 def importance_weights(docs, good, shrink, dead_zone, deviations):
     """{id: log importance weight} over distinct words and pairs of words; large groups of one signature count once."""
-    from quillgraph.llm import quality
-
     grams, signs = {}, {}
     for i, text in docs:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         words = [w for w, _ in _words(low)]
         grams[i] = (set(words), set(zip(words, words[1:])))
-        data = (text or "").encode()
-        h, doc = quality.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-        signs.setdefault(int(quality.signatures(h, doc, 1)[0]), []).append(i)
+        signs.setdefault(signature(words), []).append(i)
     counted = set()
     for mine in signs.values():
         large = len(mine) >= max(2.0, 2 * len(docs) / len(good))
@@ -206,6 +209,26 @@ def embeddings(rows, threshold=0.93):
     return {i: (links[i], roots[i]) for i, _, _ in rows}
 
 
+def importance_sample(docs, labels, shrink, dead_zone, deviations, power, seed):
+    """({id: log weight}, {id: key}, ids of the sample): Gumbel top-k of as many documents as reach the cut that separates the labelled ones best."""
+    judged = {}
+    for i, quality, toxic in labels:
+        if quality is not None and toxic is not None:
+            judged[i] = judged.get(i, True) and quality == 1 and toxic == 0
+    good = {i for i, ok in judged.items() if ok}
+    w = importance_weights(docs, good, shrink, dead_zone, deviations)
+    keys = {}
+    for i in w:
+        first = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+        u = (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=first) % (1 << 52) + 0.5) / (1 << 52)
+        keys[i] = w[i] - math.log(-math.log(u)) / power
+    known = sorted({w[i] for i in judged if i in w})
+    share = lambda cut, ok: sum(w[i] >= cut for i, g in judged.items() if g == ok and i in w) / max(1, sum(g == ok for i, g in judged.items() if i in w))
+    cut = max(known, key=lambda c: (share(c, True) - share(c, False), c))
+    k = sum(x >= cut for x in w.values())
+    return w, keys, set(sorted(keys, key=lambda i: -keys[i])[:k])
+
+
 def token_ids(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 

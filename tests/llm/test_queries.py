@@ -3,11 +3,12 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 import brute
-from quillgraph.llm import queries, secret_scan
+from quillgraph.llm import quality, queries, secret_scan
 
 SF = "/root/testdata/sf0.001"
 TYPES = {
@@ -75,6 +76,19 @@ def test_op3(spark, texts):
     assert min(r[2] for r in got) > float("-inf")
 
 
+def test_op3_against_plain_models(spark):
+    """Weights, keys and the chosen set from dictionaries of whole words, with hashes and a cut of our own; buckets shared by words may move a few."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in table("documents", sf)]
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in table("labels", sf)]
+    w, keys, chosen = brute.importance_sample(docs, labels, quality.SHRINK, quality.DEAD_ZONE, quality.DEVIATIONS, 2, 7)
+    got = {r[0]: r[1:] for r in rows(spark, "op3_quality", sf)}
+    same = [i for i in got if abs(got[i][0] - w[i]) < 1e-3]
+    assert len(same) >= 0.97 * len(got) and np.std(list(w.values())) > 1
+    assert all(abs(got[i][1] - got[i][0] - (keys[i] - w[i])) < 1e-9 for i in got)  # the same draw of noise
+    assert len(set(got) ^ chosen) <= 0.02 * len(chosen)
+
+
 def test_op4(spark, texts):
     got = rows(spark, "op4_decontamination")
     items = {r["item_id"]: " ".join((r["text"] or "").split()) for r in table("benchmark")}
