@@ -238,23 +238,6 @@ def _once(make, *key):
     return _loaded[make, *key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): one row per document; ``path`` names a file of ranks that every worker has."""
-
-    @tidy
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(Encoder, path, pattern)
-        for b in it:
-            size = pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
-            for s, e in slices(size, BATCH_BYTES):
-                ids = encoder.encode(b.column(1)[s:e].to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([b.column(0)[s:e], pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("t")).mapInArrow(run, "id long, ids array<int>")
-
-
 def joined_tokens(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """The bytes of ids, one after the other."""
     if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.lengths) or (vocabulary.lengths[ids] < 0).any()):
@@ -266,20 +249,46 @@ def joined_tokens(vocabulary: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return vocabulary.bytes[at]
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))]))
+
+
+def _texts(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids."""
+    bounds = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+    data = joined_tokens(vocabulary, ids)
+    ends = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])[bounds - bounds[0]]
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(id, ids array<int>): one row per document; ``path`` names a file of ranks that every worker has. With ``back`` also ``decoded``, what the ids decode to, in the same pass."""
+
+    @tidy
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _once(Encoder, path, pattern)
+        for b in it:
+            size = pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for s, e in slices(size, BATCH_BYTES):
+                ids = _lists(encoder.encode(b.column(1)[s:e].to_pylist()))
+                more = [_texts(encoder.vocabulary, ids)] if back else []
+                yield pa.RecordBatch.from_arrays([b.column(0)[s:e], ids, *more], ["id", "ids", "decoded"][: 2 + back])
+
+    schema = "id long, ids array<int>" + ", decoded binary" * back
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("t")).mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded(id, ids)`` -> (id, ids, decoded binary); an id that the vocabulary does not have is an error. Null ids lists decode to nothing."""
+    """``encoded(id, ids)`` -> (id, ids, decoded binary); an id that the vocabulary does not have is an error. Null lists of ids decode to nothing."""
 
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _once(Vocabulary, path)
         for b in it:
             lists = b.column(1)
-            bounds = lists.offsets.to_numpy()
-            for s, e in slices(np.diff(bounds) * 4, BATCH_BYTES):
-                ids = lists.values.to_numpy(zero_copy_only=False)[bounds[s] : bounds[e]]
-                data = joined_tokens(vocabulary, ids)
-                ends = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])[bounds[s : e + 1] - bounds[s]]
-                out = pa.Array.from_buffers(pa.large_binary(), e - s, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([b.column(0)[s:e], lists[s:e], out.cast(pa.binary())], ["id", "ids", "decoded"])
+            for s, e in slices(np.diff(lists.offsets.to_numpy()) * 4, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0)[s:e], lists[s:e], _texts(vocabulary, lists[s:e])], ["id", "ids", "decoded"])
 
     return encoded.select("id", F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "id long, ids array<int>, decoded binary")

@@ -10,11 +10,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised step works on at once; its temporaries take some 30 times as much.
 CHUNK_BYTES = 1 << 20
@@ -210,34 +208,27 @@ def fresh_names(df: DataFrame, n: int) -> list[str]:
 
 
 #: Bits a row, and bounds, of the filter that tells which documents a table of ids may name.
-FILTER_BITS, LEAST_FILTER, MOST_FILTER = 16, 1 << 16, 1 << 26
+FILTER_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 16, 1 << 26
 
 
-def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test whether an id may be one of a written table ``ids(id)``: never false for one of them, rarely true for others.
+def split_by_ids(docs: DataFrame, id_: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that a written table ``ids(id)`` may name, among them all that it does, and the rows that it does not.
 
-    Its bits, 8 MB at most whatever the number of ids, are or-ed together by Spark and sent to all tasks; where ids are too many for them more documents pass, and none is lost."""
-    spark = ids.sparkSession
+    Each id sets one bit of a filter; its words, a million at most whatever the number of ids, are or-ed together by Spark and broadcast, so no row is shuffled to tell. Where ids are too many for the bits, more rows pass, and none is lost."""
     bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_BITS * ids.count()).bit_length()))
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (11, 12)]
-    each = ids.select(F.explode(F.array(*places(F.col("id").cast("long")))).alias("b"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
-    table = each.groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(bit).alias("x")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[table.column("w").to_numpy()] = table.column("x").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(words)
-
-    @F.pandas_udf(T.BooleanType())
-    def held(a: pd.Series, b: pd.Series) -> pd.Series:
-        on = [(sent.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) for x in (a.to_numpy(), b.to_numpy())]
-        return pd.Series((on[0] & on[1]) == 1)
-
-    return lambda c: held(*places(c))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(bits))
+    word, bit = fresh_names(docs, 2)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))
+    words = ids.select(place(F.col("id").cast("long")).alias("b")).groupBy(F.floor(F.col("b") / 64).alias(word)).agg(F.bit_or(mask).alias(bit))
+    marked = docs.join(F.broadcast(staged(words, "filter")), F.floor(place(id_) / 64) == F.col(word), "left")
+    held = F.coalesce(F.call_function("shiftright", F.col(bit), (place(id_) % 64).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return marked.where(held).drop(word, bit), marked.where(~held).drop(word, bit)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is not in ``gone(id)``, whatever their columns are called; null ids stay. Only rows that may be gone are joined, the others stay where they are."""
     (name,) = fresh_names(docs, 1)
-    there = staged(gone.where("id is not null").select(F.col("id").cast("long").alias(name)).distinct(), "gone")
-    may = id_filter(there.select(F.col(name).alias("id")))(docs[id_col].cast("long"))
-    return docs.where(~may).unionAll(docs.where(may).join(there, docs[id_col].cast("long") == F.col(name), "left_anti"))
+    there = staged(gone.where("id is not null").select(F.col("id").cast("long").alias("id")).distinct(), "gone")
+    id_ = docs[id_col].cast("long")
+    may, rest = split_by_ids(docs, id_, there)
+    return rest.unionAll(may.join(there.withColumnRenamed("id", name), id_ == F.col(name), "left_anti"))

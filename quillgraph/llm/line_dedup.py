@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_names, id_filter, join_counted, mix, staged, tasks_of, text_column, tidy
+from .common import fresh_names, join_counted, mix, split_by_ids, staged, tasks_of, text_column, tidy
 
 LEAST_WORDS = 5
 #: Places of a line up to which it pairs all its documents: a bound of the pairs of one line, not of what is found; commoner lines link to their first.
@@ -204,10 +204,10 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     names = docs.columns
     at = names.index(text_col)
     plain = docs.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(names)), F.col(id_col).cast("long").alias("__id"))
-    may = id_filter(found.select("id"))(F.col("__id"))
+    may, rest = split_by_ids(plain, F.col("__id"), found.select("id"))
     found = found.withColumnRenamed("id", "__id")
-    touched = plain.where(may).join(found.hint("merge"), "__id", "left")  # the same plan at every size: deletions grow with the data
-    rest = plain.where(~may).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("gone", "partners")})  # texts that lose nothing stay where they are
+    touched = may.join(found.hint("merge"), "__id", "left")  # the same plan at every size: deletions grow with the data
+    rest = rest.withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("gone", "partners")})  # texts that lose nothing stay where they are
     both = touched.unionByName(rest).drop("__id")
     schema = T.StructType([*(T.StructField(f"__c{i}", docs.schema[c].dataType if c != text_col else T.StringType()) for i, c in enumerate(names)), *(T.StructField(c, T.LongType()) for c in EXTRA)])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_roots, id_filter, mix, staged, tasks_of, text_column, tidy, without_ids
+from .common import find_roots, mix, split_by_ids, staged, tasks_of, text_column, tidy, without_ids
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, BITS = 4, 4, 64
@@ -415,7 +415,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = staged(distinct.join(several, "key").select("key", "id", "size", crowded.alias("crowded")), "buckets")
     n = members.count()
     wanted = staged(members.select("id").distinct(), "wanted")
-    found = staged(given.where(id_filter(wanted)(F.col("id"))).join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
+    found = staged(split_by_ids(given, F.col("id"), wanted)[0].join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
     ordered = members.where("NOT crowded").join(found, "id").select("key", "id", "found").repartition(tasks_of(n, 20_000), "key").sortWithinPartitions("key", "id")
     links_ = staged(_within(ordered, least).union(each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))), "links")
     crowds = members.where("crowded")

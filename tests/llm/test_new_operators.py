@@ -192,6 +192,8 @@ def test_encode_decode_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string, ids int")
     got = byte_bpe.decode(byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
     assert sorted((r.id is None, r.id or 0, bytes(r.decoded).decode()) for r in got) == sorted((i is None, i or 0, t or "") for i, t, *_ in rows)
+    together = byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, back=True).collect()
+    assert sorted(map(repr, together)) == sorted(map(repr, got))
     assert all((r.ids == []) == (bytes(r.decoded) == b"") for r in got)
     assert byte_bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
     with pytest.raises(Exception, match="vocabulary does not have"):
