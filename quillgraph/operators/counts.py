@@ -78,6 +78,26 @@ def without_conflicts(df: DataFrame, keys: list[str], value: str, least: int = 2
     return df.join(bad, keys, "left_anti")
 
 
+def distinct_and_first(rows: DataFrame, key: str, value: str, n: str = "n", first: str = "first") -> DataFrame:
+    """(key, n, first): of each key how many distinct values it has, and the least of them. Null values do not count."""
+    return rows.groupBy(key).agg(F.countDistinct(value).alias(n), F.min(value).alias(first))
+
+
+def conflicted(rows: DataFrame, key: str, value: str, least: int = 2, n: str = "n") -> DataFrame:
+    """(key, n): the keys that hold ``least`` distinct values or more."""
+    return rows.groupBy(key).agg(F.countDistinct(value).alias(n)).where(F.col(n) >= least)
+
+
+def options(rows: DataFrame, value: str, option: str = "option") -> DataFrame:
+    """(option): the distinct values to choose from, sorted; blank ones are no option."""
+    return rows.select(F.col(value).alias(option)).where(F.trim(option) != "").distinct().orderBy(option)
+
+
+def by_family(rows: DataFrame, families: Column, unknown: str, n: str = "n") -> DataFrame:
+    """(family, n): rows of each family that they have, those without any under ``unknown``."""
+    return rows.select(F.explode_outer(families).alias("f")).groupBy(F.coalesce("f", F.lit(unknown)).alias("family")).agg(F.count(F.lit(1)).alias(n))
+
+
 def zero_filled(axis: DataFrame, counts: DataFrame, on: list[str], n: str) -> DataFrame:
     return axis.join(counts, on, "left").fillna({n: 0})
 

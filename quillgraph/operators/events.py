@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import domain
+
 # Predicates from an event to its place.
 PLACE_PREDICATES = ["hasPlace", "tookPlaceAt", "happenedIn"]
 
@@ -42,3 +44,18 @@ def people_at_places(event_person: DataFrame, event_place: DataFrame, on: str =
 def single(pairs: DataFrame, key: str, value: str) -> DataFrame:
     """The least value of each key, for maps that hold one."""
     return pairs.groupBy(key).agg(F.min(value).alias(value))
+
+
+def candidates(*parts: tuple[DataFrame, str], person: str = "person_id") -> DataFrame:
+    """(person): everyone whom any of the given (rows, column) names, once."""
+    out = None
+    for rows, column in parts:
+        mine = rows.where(F.col(column).isNotNull()).select(F.col(column).alias(person))
+        out = mine if out is None else out.unionAll(mine)
+    return out.distinct()
+
+
+def rank_records(participations: DataFrame, honours: Column, said: Column, keys: list[str], classes: tuple[str, ...] = ("二甲", "三甲")) -> DataFrame:
+    """(keys, jiadi, rank): a row for each rank that a participation's text ``said`` names, of those whose class of honours, as ``honours`` tells it, is one of ``classes``."""
+    each = participations.withColumns({"jiadi": domain.honours_class(honours), "__ranks": domain.ranks(said)}).where(F.col("jiadi").isin(*classes))
+    return each.select(*keys, "jiadi", F.explode("__ranks").alias("rank")).where("rank is not null")

@@ -14,10 +14,24 @@ from .registry import query
 # --- hierarchies -----------------------------------------------------------------------------------------------------
 
 #: Customers stand in chains of 1,500, each the child of the next; the last ten of a chain also form a cycle.
-_CHAIN = "SELECT c_custkey AS child, c_custkey + 1 AS parent FROM customer WHERE c_custkey % 1500 < 1499 UNION ALL SELECT c_custkey, c_custkey - 9 FROM customer WHERE c_custkey % 1500 = 1499"
+_CHAIN = """SELECT c_custkey AS child, c_custkey + 1 AS parent
+    FROM customer
+    WHERE c_custkey % 1500 < 1499
+    UNION ALL SELECT c_custkey, c_custkey - 9
+    FROM customer
+    WHERE c_custkey % 1500 = 1499"""
 
 
-@query(f"WITH RECURSIVE link AS ({_CHAIN}), pair AS (SELECT child AS node, parent AS ancestor FROM link UNION SELECT p.node, l.parent FROM pair p JOIN link l ON l.child = p.ancestor) SELECT node, count(*) AS ancestors, CAST(sum(ancestor) AS BIGINT) AS keys FROM pair WHERE node <> ancestor GROUP BY 1")
+@query(
+    f"""WITH RECURSIVE link AS ({_CHAIN}), pair AS (SELECT child AS node, parent AS ancestor
+    FROM link
+    UNION SELECT p.node, l.parent
+    FROM pair p
+    JOIN link l ON l.child = p.ancestor) SELECT node, count(*) AS ancestors, CAST(sum(ancestor) AS BIGINT) AS keys
+    FROM pair
+    WHERE node <> ancestor
+    GROUP BY 1"""
+)
 def deep_closure(v):
     """All ancestors of nodes up to 1,499 levels deep, with cycles."""
     c = v.table("customer").select("c_custkey")
@@ -37,13 +51,26 @@ def _members(v):
     return v.member(urgent=False).unionAll(v.table("customer").select(F.lit(-1).cast("long").alias("event_id"), F.col("c_custkey").alias("person_id")))
 
 
-@query(f"WITH m AS ({_MEMBERS}) SELECT a.person_id AS a, count(*) AS meetings, count(DISTINCT b.person_id) AS partners FROM m a JOIN m b ON a.event_id = b.event_id AND a.person_id <> b.person_id GROUP BY 1")
+@query(
+    f"""WITH m AS ({_MEMBERS}) SELECT a.person_id AS a, count(*) AS meetings, count(DISTINCT b.person_id) AS partners
+    FROM m a
+    JOIN m b ON a.event_id = b.event_id AND a.person_id <> b.person_id
+    GROUP BY 1"""
+)
 def comembers_of_large_events(v):
     """Over all orders, and an event with every customer in it, cut into blocks."""
     return graph.comembers(_members(v)).groupBy("a").agg(F.count(F.lit(1)).alias("meetings"), F.countDistinct("b").alias("partners"))
 
 
-@query("WITH m AS (SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS person_id FROM lineitem) SELECT a.person_id AS src, b.person_id AS dst, string_agg(DISTINCT o_orderstatus, '、' ORDER BY o_orderstatus) AS label FROM m a JOIN m b ON a.event_id = b.event_id AND a.person_id < b.person_id JOIN orders ON o_orderkey = a.event_id GROUP BY 1, 2")
+@query(
+    """WITH m AS (SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS person_id
+    FROM lineitem) SELECT a.person_id AS src, b.person_id AS dst, string_agg(DISTINCT o_orderstatus, '、'
+    ORDER BY o_orderstatus) AS label
+    FROM m a
+    JOIN m b ON a.event_id = b.event_id AND a.person_id < b.person_id
+    JOIN orders ON o_orderkey = a.event_id
+    GROUP BY 1, 2"""
+)
 def merged_edges_of_all_orders(v):
     kinds = v.table("orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("rel"))
     return graph.merged_edges(graph.member_pairs(v.member(urgent=False)).join(kinds, "event_id"))
@@ -99,7 +126,12 @@ def pg_edges_composed(v):
 _SOLD = "SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS sold FROM lineitem GROUP BY 1"
 
 
-@query(f"SELECT l_partkey, sold, row_number() OVER (ORDER BY sold DESC, l_partkey) AS rank, round_even(CAST(sold AS DOUBLE) / (SELECT sum(sold) FROM ({_SOLD})), 4) AS share, round_even(sum(round_even(CAST(sold AS DOUBLE) / (SELECT sum(sold) FROM ({_SOLD})), 4)) OVER (ORDER BY sold DESC, l_partkey), 4) AS cumulative FROM ({_SOLD})")
+@query(
+    f"""SELECT l_partkey, sold, row_number() OVER (ORDER BY sold DESC, l_partkey) AS rank, round_even(CAST(sold AS DOUBLE) / (SELECT sum(sold)
+    FROM ({_SOLD})), 4) AS share, round_even(sum(round_even(CAST(sold AS DOUBLE) / (SELECT sum(sold)
+    FROM ({_SOLD})), 4)) OVER (ORDER BY sold DESC, l_partkey), 4) AS cumulative
+    FROM ({_SOLD})"""
+)
 def part_shares(v):
     """Ranks and running shares of all parts, without a window over all of them."""
     sold = v.table("lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("sold"))

@@ -299,17 +299,17 @@ def person_event_place(v):
 
 @query(sql("SELECT person_id, count(DISTINCT exam) AS exams, min(exam) AS first_exam FROM part_in GROUP BY 1", "part_in"))
 def person_exam(v):
-    return v.participation().groupBy("person_id").agg(F.countDistinct("exam").alias("exams"), F.min("exam").alias("first_exam"))
+    return counts.distinct_and_first(v.participation(), "person_id", "exam", "exams", "first_exam")
 
 
 @query(sql("SELECT person_id, count(*) AS positions FROM appoint GROUP BY 1", "appoint"))
 def person_position(v):
-    return v.appointment().groupBy("person_id").agg(F.count(F.lit(1)).alias("positions"))
+    return counts.distinct_and_first(v.appointment(), "person_id", "position_id", "positions").drop("first")
 
 
 @query(sql("SELECT person_id, min(place_id) AS place_id FROM birth GROUP BY 1", "birth"))
 def person_birth_place(v):
-    return v.birth().groupBy("person_id").agg(F.min("place_id").alias("place_id"))
+    return events.single(v.birth(), "person_id", "place_id")
 
 
 @query(
@@ -766,8 +766,7 @@ def rank_bucket_roster(v):
 )
 def participation_records(v):
     said = F.concat(F.lit("第"), F.col("rank").cast("string"), F.lit("名，又"), (F.col("rank") + 1).cast("string"), F.lit("名；第"), F.col("rank").cast("string"), F.lit("名"))
-    p = v.palace().withColumn("jiadi", domain.honours_class(F.concat(F.lit("殿试"), "jiadi"))).withColumn("ranks", domain.ranks(said))
-    return p.where(F.col("jiadi").isin("二甲", "三甲")).select("person_id", "pe", "exam", "jiadi", F.explode("ranks").alias("rank")).where("rank is not null")
+    return events.rank_records(v.palace(), F.concat(F.lit("殿试"), "jiadi"), said, ["person_id", "pe", "exam"])
 
 def _positions(v: Views, label) -> DataFrame:
     labelled = v.position().select("position_id", label.alias("label"))
@@ -800,13 +799,13 @@ def position_label_4d(v):
 
 @query(sql("SELECT position_id, count(*) AS people, min(person_id) AS first FROM appoint GROUP BY 1", "appoint"))
 def position_incumbents(v):
-    return v.appointment().groupBy("position_id").agg(F.countDistinct("person_id").alias("people"), F.min("person_id").alias("first"))
+    return counts.distinct_and_first(v.appointment(), "position_id", "person_id", "people")
 
 
 @query(sql("SELECT CASE WHEN core = 'ECONOMY' THEN '(未识别职系)' ELSE core END AS family, count(*) AS positions FROM pos GROUP BY 1", "pos"))
 def positions_by_family(v):
     family = F.when(F.col("core") != "ECONOMY", F.array("core"))
-    return v.position().select(F.explode_outer(family).alias("f")).groupBy(F.coalesce("f", F.lit("(未识别职系)")).alias("family")).agg(F.count(F.lit(1)).alias("positions"))
+    return counts.by_family(v.position(), family, "(未识别职系)", "positions")
 
 
 @query(sql("SELECT position_id, inst, core, CAST(CASE tier WHEN '执行' THEN 0 WHEN '分管' THEN 1 WHEN '决策' THEN 2 ELSE 3 END AS INT) AS tier_rank FROM pos", "pos"))
@@ -841,7 +840,7 @@ def hosted_people_by_year(v):
 
 @query(sql("SELECT person_id, count(DISTINCT exam) AS exams FROM part_in WHERE palace GROUP BY 1 HAVING count(DISTINCT exam) >= 2", "part_in"))
 def exam_conflicts(v):
-    return v.palace().groupBy("person_id").agg(F.countDistinct("exam").alias("exams")).where("exams >= 2")
+    return counts.conflicted(v.palace(), "person_id", "exam", n="exams")
 
 
 SHARE = "SELECT year, count(DISTINCT p.person_id) AS den, count(DISTINCT CASE WHEN facet = 'BUILDING' THEN p.person_id END) AS num FROM part_in p JOIN facet f ON f.person_id = p.person_id WHERE palace GROUP BY 1"
@@ -868,7 +867,7 @@ def era_sum_totals(v):
 
 @query(sql("SELECT era, CAST(min(year) AS INT) AS first, CAST(max(year) AS INT) AS last FROM year_era GROUP BY 1", "year_era"))
 def era_brackets(v):
-    return v.year_era().groupBy("era").agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    return domain.era_brackets(v.year_era(), "year")
 
 
 @query(
@@ -898,7 +897,7 @@ def places_by_level(v):
 
 @query("SELECT DISTINCT c_mktsegment AS option FROM customer")
 def option_lists(v):
-    return v.table("customer").select(F.col("c_mktsegment").alias("option")).distinct().orderBy("option")
+    return counts.options(v.table("customer"), "c_mktsegment")
 
 
 @query("SELECT o_orderstatus AS rel, count(*) AS n FROM orders GROUP BY 1")
@@ -1032,8 +1031,7 @@ def migration_path(v):
 
 @query("SELECT s_suppkey AS person_id FROM supplier UNION SELECT c_custkey FROM customer UNION SELECT l_suppkey FROM lineitem")
 def candidate_people(v):
-    parts = [v.table(t).select(F.col(c).alias("person_id")) for t, c in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("lineitem", "l_suppkey"))]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
+    return events.candidates((v.table("supplier"), "s_suppkey"), (v.table("customer"), "c_custkey"), (v.table("lineitem"), "l_suppkey"))
 
 
 # --- lists and orders of reports -------------------------------------------------------------------------------------

@@ -50,7 +50,14 @@ def reasoning_removed(v):
 
 # --- scripts, names and texts ----------------------------------------------------------------------------------------
 
-_ENTRIES = "SELECT DISTINCT p_name AS s, upper(p_name) AS t FROM part WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT split_part(p_name, ' ', 1), '<' || split_part(p_name, ' ', 1) || '>' FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) || '/' || split_part(p_name, ' ', 1), '=' FROM part WHERE p_partkey % 2 = 0"
+_ENTRIES = """SELECT DISTINCT p_name AS s, upper(p_name) AS t
+    FROM part
+    WHERE p_partkey % 3 = 0
+    UNION SELECT DISTINCT split_part(p_name, ' ', 1), '<' || split_part(p_name, ' ', 1) || '>'
+    FROM part
+    UNION SELECT DISTINCT split_part(p_name, ' ', 2) || '/' || split_part(p_name, ' ', 1), '='
+    FROM part
+    WHERE p_partkey % 2 = 0"""
 _TEXTS = "SELECT a.p_partkey, a.p_name || '/' || b.p_name AS body FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 1) % (SELECT count(*) FROM part)"
 
 
@@ -74,7 +81,16 @@ def script_phrases(v):
     return bodies.select("p_partkey", convert(F.col("body")).alias("converted"), F.size(script.forms(F.col("body"), convert)).alias("forms"))
 
 
-_TYPED = "SELECT DISTINCT right(s_name, 5) AS term FROM supplier UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT 'Customer#' || right(s_name, 9) FROM supplier UNION SELECT right(s_name, 2) FROM supplier UNION SELECT right(s_name, 1) FROM supplier"
+_TYPED = """SELECT DISTINCT right(s_name, 5) AS term
+    FROM supplier
+    UNION SELECT DISTINCT c_mktsegment
+    FROM customer
+    UNION SELECT 'Customer#' || right(s_name, 9)
+    FROM supplier
+    UNION SELECT right(s_name, 2)
+    FROM supplier
+    UNION SELECT right(s_name, 1)
+    FROM supplier"""
 
 
 @query(
@@ -88,7 +104,16 @@ def person_search_many(v):
     return names.search_many(names.name_index(v.table("customer"), "c_name", "c_custkey"), typed.distinct(), "term")
 
 
-_CALLED = "SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT c_name FROM customer UNION SELECT DISTINCT split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) FROM documents UNION SELECT split_part(text, ' ', 2) FROM documents"
+_CALLED = """SELECT DISTINCT p_name AS name
+    FROM part
+    UNION SELECT DISTINCT c_mktsegment
+    FROM customer
+    UNION SELECT c_name
+    FROM customer
+    UNION SELECT DISTINCT split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)
+    FROM documents
+    UNION SELECT split_part(text, ' ', 2)
+    FROM documents"""
 
 
 @query(f"WITH called AS ({_CALLED}) SELECT name, count(*) AS docs FROM called JOIN documents ON name <> '' AND contains(text, name) GROUP BY 1")
@@ -135,7 +160,11 @@ def place_levels_canonical(v):
     return places.metadata(v.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node")), facts).select("node", "level")
 
 
-@query("SELECT s_suppkey, replace(n_name, ' ', '') || '省|' || s_name || CASE s_suppkey % 4 WHEN 0 THEN '市' WHEN 1 THEN '县' WHEN 2 THEN '市|市|辖区' ELSE '' END AS tokens, CASE s_suppkey % 4 WHEN 0 THEN '市' WHEN 1 THEN '县/区/旗' WHEN 2 THEN '县/区/旗' END AS level FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query(
+    """SELECT s_suppkey, replace(n_name, ' ', '') || '省|' || s_name || CASE s_suppkey % 4 WHEN 0 THEN '市' WHEN 1 THEN '县' WHEN 2 THEN '市|市|辖区' ELSE '' END AS tokens, CASE s_suppkey % 4 WHEN 0 THEN '市' WHEN 1 THEN '县/区/旗' WHEN 2 THEN '县/区/旗' END AS level
+    FROM supplier
+    JOIN nation ON n_nationkey = s_nationkey"""
+)
 def fn_admin_tokens(v):
     both = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     name = F.concat("n_name", F.lit("省、"), "s_name", F.expr("CASE s_suppkey % 4 WHEN 0 THEN '市' WHEN 1 THEN '县' WHEN 2 THEN '市市辖区' ELSE '' END"))
@@ -145,7 +174,10 @@ def fn_admin_tokens(v):
 _SOUTH, _WEST = "CASE WHEN s_suppkey % 3 = 1 THEN -1 ELSE 1 END", "CASE WHEN s_suppkey % 2 = 1 THEN -1 ELSE 1 END"
 
 
-@query(f"SELECT s_suppkey, CAST({_SOUTH} * (s_suppkey % 30 + 20.5) AS DOUBLE) AS lat_a, CAST(s_suppkey % 60 + 75.25 AS DOUBLE) AS lon_a, CAST({_SOUTH} * (s_suppkey % 30 + 20.5) AS DOUBLE) AS lat_b, CAST({_WEST} * (s_suppkey % 60 + 75.25) AS DOUBLE) AS lon_b FROM supplier")
+@query(
+    f"""SELECT s_suppkey, CAST({_SOUTH} * (s_suppkey % 30 + 20.5) AS DOUBLE) AS lat_a, CAST(s_suppkey % 60 + 75.25 AS DOUBLE) AS lon_a, CAST({_SOUTH} * (s_suppkey % 30 + 20.5) AS DOUBLE) AS lat_b, CAST({_WEST} * (s_suppkey % 60 + 75.25) AS DOUBLE) AS lon_b
+    FROM supplier"""
+)
 def fn_coords(v):
     raw = F.expr("concat(s_suppkey % 30 + 20, '.5', if(s_suppkey % 3 = 1, 'S', '°N'), ', ', s_suppkey % 60 + 75, '.25', if(s_suppkey % 2 = 1, 'W', '°E'))")
     a, b = domain.coordinates_pair(raw), domain.coordinates_merged(raw)
@@ -182,7 +214,10 @@ def _numeral_text(n: str) -> str:
     return "concat(" + ", ".join(place(10**k, w) for k, w in ((3, "千"), (2, "百"), (1, "十"), (0, ""))) + ")"
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN CAST(o_orderkey % 9999 + 1 AS INTEGER) ELSE CAST(o_orderkey % 9999 + 1 AS INTEGER) END AS value FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN NULL WHEN 4 THEN CAST(o_orderkey % 9999 + 1 AS INTEGER) ELSE CAST(o_orderkey % 9999 + 1 AS INTEGER) END AS value
+    FROM orders"""
+)
 def fn_cn_numeral(v):
     """Ranks in Chinese numerals, alone, as ranks, with a letter between, and in digits."""
     written = _numeral_text("CAST(o_orderkey % 9999 + 1 AS INT)")
@@ -216,7 +251,14 @@ _HOSTED = "(VALUES " + ", ".join(f"({y}, '{next(e for e, a, b in _era_rows('time
 _MING_YEAR = "CAST(1368 + o_orderkey % 277 AS INTEGER)"
 
 
-@query(f"SELECT era, count(DISTINCT year) AS years, count(DISTINCT o_custkey) AS people FROM (SELECT o_custkey, {_MING_YEAR} AS year FROM orders) JOIN {_HOSTED} USING (year) GROUP BY 1 HAVING contains(era, '正') OR bool_or(starts_with(CAST(year AS VARCHAR), '142'))")
+@query(
+    f"""SELECT era, count(DISTINCT year) AS years, count(DISTINCT o_custkey) AS people
+    FROM (SELECT o_custkey, {_MING_YEAR} AS year
+    FROM orders)
+    JOIN {_HOSTED} USING (year)
+    GROUP BY 1
+    HAVING contains(era, '正') OR bool_or(starts_with(CAST(year AS VARCHAR), '142'))"""
+)
 def eras_shown(v):
     """The eras that a typed query shows, with the hosted years that have people in the data, and the people."""
     held = v.ming().join(F.broadcast(domain.hosted_years(v.spark)), "year")
@@ -234,7 +276,11 @@ def era_brackets_hosted(v):
 _CLIPPED = f"SELECT min(year) AS lo, max(year) AS hi FROM (SELECT {_YEAR} AS year FROM orders WHERE o_orderkey % 560 BETWEEN 100 AND 200)"
 
 
-@query(f"SELECT era, CAST(greatest(y0, lo) AS INTEGER) AS first, CAST(least(y1, hi) AS INTEGER) AS last FROM (VALUES {_ERA_VALUES['trend']}) AS t(era, y0, y1, ord) JOIN ({_CLIPPED}) ON greatest(y0, lo) <= least(y1, hi)")
+@query(
+    f"""SELECT era, CAST(greatest(y0, lo) AS INTEGER) AS first, CAST(least(y1, hi) AS INTEGER) AS last
+    FROM (VALUES {_ERA_VALUES['trend']}) AS t(era, y0, y1, ord)
+    JOIN ({_CLIPPED}) ON greatest(y0, lo) <= least(y1, hi)"""
+)
 def era_bands_clipped(v):
     """The eras clipped to the range of the data's years."""
     years = v.table("orders").where("o_orderkey % 560 BETWEEN 100 AND 200").select(F.expr("CAST(1360 + o_orderkey % 560 AS INT)").alias("year"))
@@ -276,7 +322,19 @@ def position_fields(v):
     return triples.position_rows(v.facts("part", "p_partkey", {k: x for k, x in _GIVEN.items()}))
 
 
-@query("SELECT 'people' AS page, c_mktsegment AS bucket, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'rich', c_mktsegment, count(*) FROM customer WHERE c_acctbal >= 5000 GROUP BY ALL UNION ALL SELECT 'rich', c_mktsegment, count(*) FROM customer WHERE c_acctbal >= 0 GROUP BY ALL")
+@query(
+    """SELECT 'people' AS page, c_mktsegment AS bucket, count(*) AS n
+    FROM customer
+    GROUP BY ALL
+    UNION ALL SELECT 'rich', c_mktsegment, count(*)
+    FROM customer
+    WHERE c_acctbal >= 5000
+    GROUP BY ALL
+    UNION ALL SELECT 'rich', c_mktsegment, count(*)
+    FROM customer
+    WHERE c_acctbal >= 0
+    GROUP BY ALL"""
+)
 def pages_by_name(v):
     """Pages opened by name over one dataset: one as it is, one with two options."""
 
