@@ -98,7 +98,7 @@ _TYPED = """SELECT DISTINCT right(s_name, 5) AS term
     SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY term ORDER BY name, node) <= 30"""
 )
 def person_search_many(v):
-    """All terms at once, by posting lists of n-grams."""
+    """All terms at once, by the windows of the names."""
     s, tail = v.table("supplier"), lambda n: F.expr(f"right(s_name, {n})").alias("term")
     typed = s.select(tail(5)).union(v.table("customer").select("c_mktsegment")).union(s.select(F.concat(F.lit("Customer#"), tail(9)))).union(s.select(tail(2))).union(s.select(tail(1)))
     return names.search_many(names.name_index(v.table("customer"), "c_name", "c_custkey"), typed.distinct(), "term")
@@ -121,7 +121,7 @@ def text_contains_names(v):
     """Names of parts, segments, customers, and two words of every document, in all documents."""
     d, word = v.table("documents"), lambda n: F.split_part("text", F.lit(" "), F.lit(n))
     called = v.table("part").select(F.col("p_name").alias("name")).union(v.table("customer").select("c_mktsegment")).union(v.table("customer").select("c_name")).union(d.select(F.concat_ws(" ", word(3), word(4)))).union(d.select(word(2)))
-    return names.mentions(d, "doc_id", "text", called.distinct(), "name").groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+    return names.mention_counts(d, "doc_id", "text", called.distinct(), "name").withColumnRenamed("texts", "docs")
 
 
 # --- places ----------------------------------------------------------------------------------------------------------
