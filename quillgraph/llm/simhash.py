@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,12 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle_words + 1
     hashes = np.fromiter((h64(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes``, one at least."""
+    n = len(hashes)
     octets = hashes.view(np.uint8).reshape(n, 8)
     if n < 200:
         ones = _BYTE_BITS[octets].sum(0)
@@ -382,10 +388,28 @@ def _in_crowds(crowds: DataFrame, found: DataFrame, links_: DataFrame, least: fl
     return links_.union(_ask(rest, open_, found, least, most_members, most_shingles))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SIMILAR, most_members: int = MEMBERS_AT_ONCE, most_shingles: int = SHINGLES_AT_ONCE) -> DataFrame:
+def _decided(proposed: DataFrame, given: DataFrame, sets: Callable, links_: DataFrame, least: float, most_members: int, most_shingles: int) -> DataFrame:
+    """``links_(a, b)`` with the links that the shingles of ``given(id, t)``, read by ``sets``, show within the buckets of ``proposed(key, id, size)``."""
+    # Near copies meet in many buckets: of those with the same members, by 128 bits of their hashes, one is compared.
+    who = [F.bit_xor(F.xxhash64("id", "size", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
+    several = proposed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *who).where("n > 1")
+    several = several.groupBy("n", "shingles", "who1", "who2").agg(F.min("key").alias("key"))
+    crowded = (F.col("n") > most_members) | (F.col("shingles") > most_shingles)
+    members = staged(proposed.join(several, "key").select("key", "id", "size", crowded.alias("crowded")), "buckets")
+    n = members.count()
+    wanted = staged(members.select("id").distinct(), "wanted")
+    found = staged(split_by_ids(given, F.col("id"), wanted)[0].join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
+    ordered = members.where("NOT crowded").join(found, "id").select("key", "id", "found").repartition(tasks_of(n, 20_000), "key").sortWithinPartitions("key", "id")
+    links_ = staged(_within(ordered, least).union(links_), "links")
+    crowds = members.where("crowded")
+    return links_ if crowds.isEmpty() else _in_crowds(crowds.select("key", "id", "size"), found, links_, least, most_members, most_shingles)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SIMILAR, most_members: int = MEMBERS_AT_ONCE, most_shingles: int = SHINGLES_AT_ONCE, radius: int = RADIUS) -> DataFrame:
     """(id, component_id) over documents linked where the Jaccard similarity of their five-word shingles is ``least`` or more; null ids take no part.
 
-    No radius of 64-bit SimHash fits: a pair at 0.8 differs in some ten bits, and in many more by chance. Bands of min-hashes propose the pairs, and the shingles decide.
+    SimHash comes first: the fingerprints of the sets are linked by ball hashing (:func:`links`), and within each group of linked fingerprints the shingles decide. A pair at 0.8 differs in some ten bits, more than the radius reaches:
+    what lies beyond it is proposed by bands of min-hashes, whose buckets count only where SimHash has left several groups in them, and decided by the shingles too.
     Equal sets are joined beforehand; a bucket's pairs are compared unless links connect them already, so near copies take few comparisons.
     A bucket of more than ``most_members`` sets or ``most_shingles`` shingles is compared in parts that a task can hold, with the same links."""
 
@@ -395,7 +419,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sets = [shingles(t.as_py()) for t in b.column(1)]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "same", "size", "keys"])
+            fp = pa.array(np.fromiter((majority(x) if len(x) else 0 for x in sets), np.uint64, len(sets)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array([len(x) for x in sets], pa.int64()), keys, fp], ["id", "same", "size", "keys", "fp"])
 
     @tidy
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,24 +428,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["id", "found"])
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).cast("binary").alias("t"))
-    each = staged(given.mapInArrow(sketch, "id long, same binary, size long, keys array<long>"), "sketches")
+    each = staged(given.mapInArrow(sketch, "id long, same binary, size long, keys array<long>, fp long"), "sketches")
     firsts = staged(each.groupBy("same").agg(F.min("id").alias("first")), "same")
-    distinct = each.join(firsts, "same").where("id = first").select("id", "size", F.explode("keys").alias("key")).distinct()
-    distinct = staged(distinct, "bands")
-    # Near copies meet in many bands: of the buckets with the same members, by 128 bits of their hashes, one is compared.
-    who = [F.bit_xor(F.xxhash64("id", "size", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *who).where("n > 1")
-    several = several.groupBy("n", "shingles", "who1", "who2").agg(F.min("key").alias("key"))
-    crowded = (F.col("n") > most_members) | (F.col("shingles") > most_shingles)
-    members = staged(distinct.join(several, "key").select("key", "id", "size", crowded.alias("crowded")), "buckets")
-    n = members.count()
-    wanted = staged(members.select("id").distinct(), "wanted")
-    found = staged(split_by_ids(given, F.col("id"), wanted)[0].join(wanted, "id", "left_semi").mapInArrow(sets, "id long, found binary").dropDuplicates(["id"]), "sets")
-    ordered = members.where("NOT crowded").join(found, "id").select("key", "id", "found").repartition(tasks_of(n, 20_000), "key").sortWithinPartitions("key", "id")
-    links_ = staged(_within(ordered, least).union(each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))), "links")
-    crowds = members.where("crowded")
-    if not crowds.isEmpty():
-        links_ = _in_crowds(crowds.select("key", "id", "size"), found, links_, least, most_members, most_shingles)
+    sets_ = staged(each.join(firsts, "same").where("id = first").select("id", "size", "keys", "fp", "same").dropDuplicates(["id", "same"]), "distinct")
+    # SimHash: sets whose fingerprints are connected within the radius are one bucket, named by the fingerprint they come to.
+    prints = staged(sets_.where("size > 0").select("fp").distinct(), "prints")
+    balls = connected_components(links(prints, prints.count(), radius))
+    near = sets_.where("size > 0").join(balls.withColumnRenamed("node", "fp"), "fp", "left").select("id", "size", F.coalesce("root", "fp").alias("key")).distinct()
+    of_copies = each.join(firsts, "same").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links_ = _decided(staged(near, "balls"), given, sets, of_copies, least, most_members, most_shingles)
+    # Beyond the radius: of the bands' buckets those that hold several of the groups so far.
+    groups = sets_.select("id").distinct().join(connected_components(links_).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("comp"))
+    bands = sets_.select("id", "size", F.explode("keys").alias("key")).distinct().join(staged(groups, "groups"), "id")
+    bands = staged(bands, "bands")
+    open_ = bands.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    links_ = _decided(bands.join(open_, "key").select("key", "id", "size"), given, sets, links_, least, most_members, most_shingles)
     roots = connected_components(links_)
     return each.select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
 

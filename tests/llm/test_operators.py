@@ -105,6 +105,19 @@ def test_pipeline_links_texts_of_similarity_08(spark, docs, empty):
     assert simhash.keep_one_similar(empty).count() == 0
 
 
+def test_similar_documents_come_by_simhash_first(spark, monkeypatch):
+    """Without any bands, texts within the radius are linked if their shingles agree, and only then."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(reversed(words)))]
+    monkeypatch.setattr(simhash, "band_keys", lambda found: np.zeros(0, np.int64))
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: simhash.majority(simhash.shingles(t.encode())) for i, t in rows}
+    assert (prints[1] ^ prints[2]).bit_count() <= simhash.RADIUS
+    assert {r.id: r.component_id for r in simhash.similar_documents(given).collect()} == {1: 1, 2: 1, 3: 3}
+    far = simhash.similar_documents(given, least=0.999)
+    assert {r.id: r.component_id for r in far.collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_similar_documents_in_crowded_buckets(spark, monkeypatch):
     """A group of near copies, a chain, documents on one template that are no copies, repeated rows: whole buckets and parts of them give the same links."""
     rng = np.random.default_rng(12)
