@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import shared_folder
+from .staging import dealt, shared_folder
 
 
 def scan(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -79,10 +79,12 @@ def display_name(nodes: DataFrame, triples: DataFrame, keys: list[str]) -> DataF
 
 
 def attribute_row(triples: DataFrame, keys: list[str], fallbacks: dict[str, str] | None = None) -> DataFrame:
-    """One row per subject, one column per key (its least literal); ``fallbacks`` names the column that stands in."""
+    """One row per subject, one column per key (its least literal); ``fallbacks`` names the column that stands in.
+
+    The literals are dealt by subject before they are grouped: grouped where they are read, a task would sort all that its part of a file holds."""
     fallbacks = fallbacks or {}
     every = [*dict.fromkeys([*keys, *fallbacks.values()])]
-    wide = literals(triples).where(F.col("p_local").isin(every)).groupBy("s").pivot("p_local", every).agg(F.min("o"))
+    wide = dealt(literals(triples).where(F.col("p_local").isin(every)), "s").groupBy("s").pivot("p_local", every).agg(F.min("o"))
     return wide.select("s", *(F.coalesce(k, fallbacks[k]).alias(k) if k in fallbacks else F.col(k) for k in keys))
 
 

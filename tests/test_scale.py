@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import script
 from quillgraph.operators import counts, evidence, graph, hierarchy, names, spans, triples
+from quillgraph.operators.staging import dealt
 from quillgraph.plans import graph_queries, scheduler
 from quillgraph.sources import recovery
 from quillgraph.streaming import graph_store, lines
@@ -18,6 +19,32 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def grouped_where_read(df):
+    """Whether rows are grouped by the tasks that read them, whatever these hold."""
+    return "Aggregate" in plan(df).rpartition("Exchange")[2]
+
+
+# --- tasks of bounded size -------------------------------------------------------------------------------------------
+
+
+def test_tasks_grow_with_the_rows(spark):
+    df = spark.range(0, 50_000, 1, 1)
+    for out in (dealt(df, "id", rows=1000), dealt(df, "id", rows=1000, n=50_000)):
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 50 and max(sizes) < 1500 and sum(sizes) == 50_000
+    assert dealt(df.limit(0), "id").count() == 0
+
+
+def test_literals_are_dealt_before_they_become_rows(spark):
+    """Many subjects in one task, one with many values, one without a subject."""
+    facts = [(f"s{k}", p, f"{p}{k}", "lit") for k in range(300) for p in ("机构", "通用层级", "x")] + [("s1", "机构", f"z{k}", "lit") for k in range(500)] + [(None, "机构", "n", "lit"), ("s2", "层级", " ", "lit"), ("s3", "层级", "t", "lit")]
+    got = triples.position_rows(spark.createDataFrame(facts, "s string, p_local string, o string, o_kind string").coalesce(1))
+    assert not grouped_where_read(got)
+    want = {(f"s{k}", "z0" if k == 1 else f"机构{k}", "t" if k == 3 else f"通用层级{k}") for k in range(300)} | {(None, "n", None)}
+    rows = got.select("s", "机构", "层级").collect()
+    assert len(rows) == 301 and set(map(tuple, rows)) == want
+
+
 # --- recovery --------------------------------------------------------------------------------------------------------
 
 A, B = {"type": "node", "label": "a"}, {"type": "node", "label": 'b{"}'}
