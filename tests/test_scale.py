@@ -90,6 +90,17 @@ def test_record_rows(spark):
     assert [(r.k, r.ord, r.record.label) for r in got] == [(1, 0, "a"), (1, 1, 'b{"}')]
 
 
+def test_outputs_of_one_file_are_read_by_many_tasks(spark):
+    """Outputs that are equal too; a record with a field of another kind costs no other record."""
+    odd = '{"type":"node","label":"c","properties":"none"}'
+    df = spark.range(0, 600, 1, 1).select("id", F.create_map(F.lit("k"), "id").alias("m"), F.lit(f"{RAW_A}\n{odd}\n{RAW_B}").alias("raw"))
+    found = recovery.record_rows(df, "raw")
+    assert found.columns == ["id", "m", "raw", "ord", "record"] and dict(found.dtypes)["ord"] == "int"
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.id, r.m["k"], r.ord, r.record.label) for r in got if r.ord != 1) == [(k, k, o, x) for k in range(600) for o, x in ((0, "a"), (2, 'b{"}'))]
+    assert len({r.task for r in got}) == 12
+
+
 # --- names -----------------------------------------------------------------------------------------------------------
 
 
