@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import settled
+from .staging import ROWS, dealt, settled
 
 
 def people_per(df: DataFrame, *by: str, person: str = "person_id") -> DataFrame:
@@ -125,12 +125,18 @@ def on_axis(axis: DataFrame, domains: list[str], domain: str, counts: DataFrame,
     return every.join(counts, [domain, on], "left").fillna({n: 0}).select(domain, on, n)
 
 
-def per_dimension(holders: DataFrame, positions: DataFrame, dimensions: list[str], key: str = "position_id") -> DataFrame:
+def per_dimension(holders: DataFrame, positions: DataFrame, dimensions: list[str], key: str = "position_id", n: int | None = None) -> DataFrame:
     """(dimension, label, people): distinct holders of the positions that share a label, for every dimension; blank labels do not count.
 
-    ``positions`` has the key and a column for each dimension; all are counted in one pass."""
-    each = positions.select(key, F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.trim(F.col(d)).alias("label")) for d in dimensions))).alias("x")).select(key, "x.*")
-    return people_per(holders.join(each.where("label <> ''"), key), "dimension", "label")
+    ``positions`` has the key and a column for each dimension; all are counted in one pass. ``n`` is the number of holders or a bound of it; without it they are counted first.
+    Holders meet their positions' labels by the position and are then dealt by the person, so that each task tells its own people apart, a bounded number of labels of them, and only counts are added up."""
+    n = holders.count() if n is None else n
+    named = F.array(*(F.struct(F.lit(k).alias("dimension"), F.trim(F.col(d)).alias("label")) for k, d in enumerate(dimensions)))
+    labels = positions.select(key, F.filter(named, lambda x: x["label"] != "").alias("labels"))
+    rows = -(-3 * ROWS // len(dimensions))
+    held = dealt(holders.select(key, "person_id"), key, rows=rows, n=n).join(labels.hint("merge"), key).select("person_id", "labels")  # no broadcast: labels are many times their table's size
+    each = dealt(held, "person_id", rows=rows, n=n).select("person_id", F.explode("labels").alias("x")).select("person_id", "x.*")
+    return people_per(each, "dimension", "label").select(F.get(F.array(*map(F.lit, dimensions)), "dimension").alias("dimension"), "label", "people")
 
 
 def ordered(df: DataFrame, *order: Column | str, most: int | None = None) -> DataFrame:

@@ -45,6 +45,24 @@ def test_literals_are_dealt_before_they_become_rows(spark):
     assert len(rows) == 301 and set(map(tuple, rows)) == want
 
 
+@pytest.mark.parametrize("n", [None, 9_000_000])
+def test_people_are_told_apart_where_they_are_dealt(spark, n):
+    """One position that all hold, one that nobody holds, holders twice, without a position and without a person; blank and missing labels. Labels travel once a holder, and a task's part of them is bounded."""
+    rng = random.Random(4)
+    held = [(p, rng.randrange(40)) for p in range(300) for _ in range(5)] + [(p, 50) for p in range(300)] + [(7, 50), (8, None), (None, 51)]
+    names = {k: (f" a{k % 7} ", None if k % 3 else "b", " " if k % 2 else "a1") for k in (*range(41), 50, 51, 60)}
+    holders = spark.createDataFrame(held, "person_id long, position_id long")
+    found = counts.per_dimension(holders, spark.createDataFrame([(k, *v) for k, v in names.items()], "position_id long, x string, y string, z string"), ["x", "y", "z"], n=n)
+    above, _, below = plan(found).rpartition("hashpartitioning(person_id")
+    assert "Broadcast" not in plan(found) and "hashpartitioning(dimension" in above and "Generate explode(labels" in above and "Aggregate" not in below
+    want = {}
+    for p, k in held:
+        for d, label in zip("xyz", names.get(k, ())):
+            if (label or "").strip():
+                want.setdefault((d, label.strip()), set()).add(p)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, len(v - {None})) for k, v in want.items())
+
+
 # --- recovery --------------------------------------------------------------------------------------------------------
 
 A, B = {"type": "node", "label": "a"}, {"type": "node", "label": 'b{"}'}
