@@ -254,6 +254,14 @@ def test_member_pairs_once_each(spark, block):
     assert sorted((r.event_id, r.a, r.b) for r in graph.comembers(df, block).collect()) == sorted([*want, *((e, b, a) for e, a, b in want)])
 
 
+def test_groups_are_dealt_by_their_pairs(spark):
+    """3,000 events of 60 members make 5 million pairs, in one small task's files; one of 1,500 members makes 1 million more, in its blocks."""
+    m = spark.range(0, 180_000, 1, 1).select((F.col("id") / 60).cast("long").alias("event_id"), (F.col("id") % 60).alias("person_id"))
+    m = m.union(spark.range(1_500).select(F.lit(-1).cast("long"), "id"))
+    sizes = [r["count"] for r in graph.member_pairs(m, 100).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000 * 60 * 59 // 2 + 1_500 * 1_499 // 2 and len(sizes) == 12 and max(sizes) < 1_000_000
+
+
 @pytest.mark.parametrize("block", [1, 5, 1000])
 def test_partners_are_the_distinct_comembers(spark, block):
     """Large events that overlap, people in several of them, small events within, across and beside them."""
