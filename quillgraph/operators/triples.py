@@ -114,9 +114,10 @@ def position_rows(triples: DataFrame) -> DataFrame:
 
 
 def key_values(triples: DataFrame, keys: list[str], hide_prefix: str | None = None) -> DataFrame:
-    """(s, ord, key, value) rows in the keys' order."""
+    """(s, ord, key, value) rows in the keys' order. Rows are dealt before repeated ones are dropped, so that a task holds a bounded number."""
     keys = [k for k in keys if not hide_prefix or not k.startswith(hide_prefix)]
-    return literals(triples).withColumn("ord", _priority(keys)).where("ord is not null").select("s", "ord", F.col("p_local").alias("key"), F.col("o").alias("value")).distinct()
+    rows = literals(triples).withColumn("ord", _priority(keys)).where("ord is not null").select("s", "ord", F.col("p_local").alias("key"), F.col("o").alias("value"))
+    return dealt(rows, "s", "ord", "value").distinct()
 
 
 class Layout:

@@ -45,6 +45,16 @@ def test_literals_are_dealt_before_they_become_rows(spark):
     assert len(rows) == 301 and set(map(tuple, rows)) == want
 
 
+def test_details_are_dealt_before_repeats_are_dropped(spark):
+    """Many values of one subject, each twice, one without a subject, a code that is hidden."""
+    facts = 2 * ([("s1", "机构", f"z{k}", "lit") for k in range(400)] + [("s2", "官职名称", " y ", "lit"), (None, "机构", "n", "lit"), ("s2", "对齐码_core", "c", "lit"), ("s2", "x", "c", "lit")])
+    got = triples.position_details(spark.createDataFrame(facts, "s string, p_local string, o string, o_kind string").coalesce(1))
+    assert not grouped_where_read(got)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    want = {("s1", 2, "机构", f"z{k}") for k in range(400)} | {("s2", 8, "官职名称", "y"), (None, 2, "机构", "n")}
+    assert len(rows) == 402 and {tuple(r)[:4] for r in rows} == want and len({r.task for r in rows}) == 12
+
+
 @pytest.mark.parametrize("n", [None, 9_000_000])
 def test_people_are_told_apart_where_they_are_dealt(spark, n):
     """One position that all hold, one that nobody holds, holders twice, without a position and without a person; blank and missing labels. Labels travel once a holder, and a task's part of them is bounded."""
