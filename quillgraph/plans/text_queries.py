@@ -119,8 +119,8 @@ _CALLED = """SELECT DISTINCT p_name AS name
 @query(f"WITH called AS ({_CALLED}) SELECT name, count(*) AS docs FROM called JOIN documents ON name <> '' AND contains(text, name) GROUP BY 1")
 def text_contains_names(v):
     """Names of parts, segments, customers, and two words of every document, in all documents."""
-    d, word = v.table("documents"), lambda n: F.split_part("text", F.lit(" "), F.lit(n))
-    called = v.table("part").select(F.col("p_name").alias("name")).union(v.table("customer").select("c_mktsegment")).union(v.table("customer").select("c_name")).union(d.select(F.concat_ws(" ", word(3), word(4)))).union(d.select(word(2)))
+    d, word = v.table("documents"), lambda n: F.split_part(F.substring_index("text", " ", 4), F.lit(" "), F.lit(n))  # the first words, not the whole text, are split
+    called = v.table("part").select(F.col("p_name").alias("name")).union(v.table("customer").select("c_mktsegment")).union(v.table("customer").select("c_name")).union(d.select(F.explode(F.array(word(2), F.concat_ws(" ", word(3), word(4))))))
     return names.mention_counts(d, "doc_id", "text", called.distinct(), "name").withColumnRenamed("texts", "docs")
 
 

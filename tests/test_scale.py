@@ -185,6 +185,44 @@ def test_mentions_and_their_counts_over_pieces(spark, monkeypatch, piece):
     assert {(r.id, r.n) for r in both} == {(i, x) for i, t in texts for x in called if simple(x) in simple(t or "")}
 
 
+def test_texts_are_counted_by_dealt_tasks_in_one_pass(spark, monkeypatch):
+    """Names without a space, with one at any place and with several, line breaks, spaces in a row, words over and over, texts that are cut; texts of one file are dealt and looked through once."""
+    monkeypatch.setattr(names, "PIECE", 300)
+    rng = random.Random(11)
+    made = lambda n: "".join(rng.choices("aab \n國", k=n))
+    called = sorted({made(rng.randint(1, 7)) for _ in range(400)} | {" ", "  ", " a", "a ", "a b", "a  b", "a b a", "國" * 40, "a" * 33 + " b"})
+    texts = [(k, made(rng.choice([1, 5, 60, 290, 310, 900]))) for k in range(80)] + [(k, t) for k, t in enumerate(["", None, " ", "國" * 90, "a" * 299 + " b", "a  b a b"], 90)]
+    df, n = spark.createDataFrame(texts, "id long, t string").coalesce(1), spark.createDataFrame([(x,) for x in called], "n string")
+    found = names.mention_counts(df, "id", "t", n, "n")
+    below = plan(found).partition("MapInArrow")[2]
+    assert plan(found).count("MapInArrow") == 1 and "hashpartitioning(key" in below
+    want = {x: sum(x in (t or "") for _, t in texts) for x in called}
+    assert sorted(map(tuple, found.collect())) == sorted((x, k) for x, k in want.items() if k)
+
+
+@pytest.mark.parametrize("held, spread", [(1 << 20, 1 << 22), (40, 3)])
+def test_what_is_counted_is_given_up_in_time(monkeypatch, held, spread):
+    """What a task holds and expands at once is bounded, and the sums are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(names, "MOST_HELD", held)
+    monkeypatch.setattr(names, "SPREAD", spread)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abc ", k=30)) for _ in range(60)]
+    counter, got, most = names._Counter({0: [1, 2, 3], 1: [1, 2, 3], 2: [0, 1, 2], 3: [4, 5]}, np.full(2, 0xFFFFFFFF, np.uint64), 64), {}, 0  # all windows pass
+    for k in range(0, 60, 5):
+        counter.add(pa.array(texts[k : k + 5]))
+        most = max(most, len(counter.number))
+        if counter.full() or k == 55:
+            for b in counter.rows(pa.nulls(1, pa.int64())):
+                for w, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    got[w] = got.get(w, 0) + x
+    windows = {t[s : s + n] for t in texts for n in range(1, 6) for s in range(31 - n)}
+    want = {w for w in windows if (w.count(" ") == 0 and len(w) < 4) or (w.count(" ") == 1 and w.find(" ") < 3 and len(w) - w.find(" ") < 4) or (w.count(" ") > 1 and len(w) > 3)}
+    assert got == {w: sum(w in t for t in texts) for w in want} and not counter.number and (held > 40) == (most > 500)
+
+
 def test_windows_of_one_hash_are_told_apart():
     import numpy as np
 
